@@ -485,7 +485,7 @@ def _reverse_change_set(spark, sf_dir):
         "ORD_NEW_T",
         """SELECT 4 AS stage, 1 AS dep_rank, 'I' AS op, o_orderkey, o_custkey, o_orderstatus, o_totalprice
         FROM ORD_NEW_T WHERE NOT _delete
-        UNION ALL SELECT 4, 0, 'I', c_custkey, c_custkey, c_mktsegment, c_acctbal FROM customer""",
+        UNION ALL SELECT 4, 0, 'I', c_custkey, c_nationkey, c_mktsegment, c_acctbal FROM customer""",
     ),
 )
 def _fresh_rows(spark, sf_dir):
@@ -493,9 +493,15 @@ def _fresh_rows(spark, sf_dir):
     customers = diff.fresh_rows(table(spark, sf_dir, "customer"), ["c_custkey"], table="customer", dep_rank=0)
     return orders.select(
         "stage", "dep_rank", "op", "key.o_orderkey", "after.o_custkey", "after.o_orderstatus", "after.o_totalprice"
-    ).union(
+    ).unionByName(
         customers.select(
-            "stage", "dep_rank", "op", "key.c_custkey", "key.c_custkey", "after.c_mktsegment", "after.c_acctbal"
+            "stage",
+            "dep_rank",
+            "op",
+            F.col("key.c_custkey").alias("o_orderkey"),
+            F.col("after.c_nationkey").cast("bigint").alias("o_custkey"),
+            F.col("after.c_mktsegment").alias("o_orderstatus"),
+            F.col("after.c_acctbal").alias("o_totalprice"),
         )
     )
 
