@@ -119,13 +119,12 @@ def overlay_update_only(base: DataFrame, overlay: DataFrame, key: list[str]) ->
     a base row are ignored."""
     overlay = align_names(overlay, base.columns)
     values = [c for c in overlay.columns if c in base.columns and c not in key]
-    found = overlay.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(
-        F.lit(True).alias("__found"), *[F.max(c).alias(f"__{c}") for c in values]
-    )
+    found = overlay.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.max(F.struct(*values)).alias("__found"))
     match = all_of([base[k].eqNullSafe(found[f"__{k}"]) for k in key])
+    matched = F.col("__found").isNotNull()
     return base.join(found, match, "left").select(
         *[
-            (F.when(F.col("__found"), F.col(f"__{c}")).otherwise(base[c]).alias(c) if c in values else base[c])
+            F.when(matched, F.col("__found")[c]).otherwise(base[c]).alias(c) if c in values else base[c]
             for c in base.columns
         ]
     )
