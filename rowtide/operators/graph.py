@@ -315,7 +315,8 @@ def statement_table(text: Column) -> Column:
 def statement_lineage(df: DataFrame, text: str) -> DataFrame:
     """Adds schema and table of the first table each statement names."""
     name = statement_table(F.col(text))
-    return df.withColumn("table_schema", name_schema(name)).withColumn("table_name", name_object(name))
+    schema = F.when(name.isNotNull(), name_schema(name))
+    return df.withColumn("table_schema", schema).withColumn("table_name", name_object(name))
 
 
 # Fixed value: a textual foreign key definition.
