@@ -1,9 +1,9 @@
 """Catalog assembly: exported catalog rows become objects.
 
 The lists gathered here are the columns, dimensions or events of one object,
-which the source database bounds (32 columns in a key or an index, 1,600 in a
-table, four trigger events). Rows are made distinct on their way, so repeated
-exports do not lengthen a list.
+which the source database bounds: a table has at most 1,600 columns, a trigger
+four events. A row outside these bounds stops the job, and rows are made
+distinct on their way, so no list can grow with the data.
 """
 
 from __future__ import annotations
@@ -22,12 +22,18 @@ FOREIGN_KEY_RULES = {
     "d": "SET DEFAULT",
 }
 
+# What can fire a trigger.
+TRIGGER_EVENTS = ("INSERT", "UPDATE", "DELETE", "TRUNCATE")
+
 NO_KEY_WARNING = "primary key definition not found"
+MAX_COLUMNS = 1600
 
 
 def ordered(position: str, *values: str) -> list[Column]:
     """The values in order of position, as parallel arrays."""
-    rows = F.array_sort(F.collect_set(F.struct(position, *values)))
+    excess = F.raise_error(F.concat(F.lit("position out of bounds: "), F.col(position).cast("string")))
+    place = F.when(F.col(position) <= MAX_COLUMNS, F.col(position)).otherwise(excess)
+    rows = F.array_sort(F.collect_set(F.struct(place.alias(position), *values)))
     # Taking a field of an array of structs gives the array of that field.
     return [rows[v].alias(v) for v in values]
 
@@ -152,9 +158,12 @@ def assemble_indexes(rows: DataFrame, constraints: DataFrame, scope: list[str])
 def assemble_triggers(rows: DataFrame, scope: list[str]) -> DataFrame:
     """One trigger with its sorted events from one row per event."""
     statement = F.trim(F.regexp_replace("statement", r"(?i)execute\s+(procedure|function)", ""))
+    event = F.upper("event")
+    unknown = F.raise_error(F.concat(F.lit("unknown trigger event: "), F.col("event")))
+    event = F.when(event.isin(*TRIGGER_EVENTS), event).otherwise(unknown)
     return rows.groupBy(
         *scope, "table_name", "trigger_name", "timing", "orientation", statement.alias("function_call")
-    ).agg(F.array_sort(F.collect_set("event")).alias("events"))
+    ).agg(F.array_sort(F.collect_set(event)).alias("events"))
 
 
 def collapse_serials(columns: DataFrame, sequences: DataFrame, scope: list[str]) -> tuple[DataFrame, DataFrame]:
