@@ -37,6 +37,14 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda x, y: x | y, conditions, F.lit(False))
 
 
+def texts_present(texts: list[Column]) -> Column:
+    """The texts that are not NULL, in order, as an array. They have to differ
+    from each other. (Unlike a lambda filter this keeps generated code.)"""
+    if not texts:
+        return F.array().cast("array<string>")
+    return F.array_except(F.array(*texts), F.array(F.lit(None).cast("string")))
+
+
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda x, y: x & y, conditions, F.lit(True))
 

@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rowtide.functions.cells import texts_present
 from rowtide.functions.text import normalise_check, normalise_query, sorted_lower
 from rowtide.operators.pairing import IN_NEW, IN_OLD, NEW_COPIES, OLD_COPIES, new_side, old_side, pair_states
 
@@ -68,7 +69,7 @@ def catalog_diff(
 
     pairs = pair_states(side(old), side(new), [*scope, *[f"id_{i}" for i in identity]], on_duplicate="flag")
     differs = {c: ~fold(old_side(c)).eqNullSafe(fold(new_side(c))) for c, fold in compare.items()}
-    changed = F.array_compact(F.array(*[F.when(d, F.lit(c)) for c, d in differs.items()]).cast("array<string>"))
+    changed = texts_present([F.when(d, F.lit(c)) for c, d in differs.items()])
     action = (
         F.when((F.col(OLD_COPIES) > 1) | (F.col(NEW_COPIES) > 1), AMBIGUOUS)
         .when(~F.col(IN_OLD), CREATE)
@@ -171,15 +172,15 @@ def drift_tables(old: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame:
     )
     pairs = pair_states(before, after, key, on_duplicate="flag")
     moved = F.lower(old_side("schema_name")) != F.lower(new_side("schema_name"))
-    steps = F.array_compact(
-        F.array(
+    steps = texts_present(
+        [
             F.when((F.col(OLD_COPIES) > 1) | (F.col(NEW_COPIES) > 1), "invalid rename")
             .when(~F.col(IN_OLD) & new_side("declared"), "invalid rename")
             .when(~F.col(IN_OLD), CREATE)
             .when(~F.col(IN_NEW), DROP)
             .when(new_side("declared"), "rename"),
             F.when(F.col(IN_OLD) & F.col(IN_NEW) & (F.col(NEW_COPIES) == 1) & new_side("declared") & moved, "reschema"),
-        )
+        ]
     )
     return pairs.select(
         *scope,
@@ -213,9 +214,9 @@ def drift_columns(old: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame
         key,
         on_duplicate="flag",
     )
-    both = F.col(IN_OLD) & F.col(IN_NEW)
-    default_differs = ~old_side("dflt").eqNullSafe(new_side("dflt"))
     unclear = (F.col(OLD_COPIES) > 1) | (F.col(NEW_COPIES) > 1)
+    both = F.col(IN_OLD) & F.col(IN_NEW) & ~unclear
+    default_differs = ~old_side("dflt").eqNullSafe(new_side("dflt"))
     lost_name = ~F.col(IN_OLD) & new_side("declared")
 
     def step(condition: Column, action: str, stage: int) -> Column:
@@ -223,32 +224,32 @@ def drift_columns(old: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame
 
     add = ~F.col(IN_OLD) & ~new_side("declared")
     fill = new_side("dflt").isNotNull() & ~new_side("nullable")
-    clear = F.filter(
-        F.array(
-            step(add, "add", 1),
-            step(add & fill, "fill default", 1),
-            step(add & ~new_side("nullable"), "set not null", 3),
-            step(lost_name, "invalid rename", 1),
-            step(~F.col(IN_NEW), DROP, 3),
-            step(both & new_side("declared"), "rename", 1),
-            step(both & (old_side("data_type") != new_side("data_type")), "alter type", 1),
-            step(both & default_differs & new_side("dflt").isNull(), "drop default", 1),
-            step(both & default_differs & new_side("dflt").isNotNull(), "set default", 1),
-            step(both & ~old_side("nullable") & new_side("nullable"), "drop not null", 1),
-            step(both & old_side("nullable") & fill, "fill default", 1),
-            step(both & old_side("nullable") & ~new_side("nullable"), "set not null", 3),
-        ),
-        lambda s: s.isNotNull(),
+    steps = F.array(
+        step(unclear, AMBIGUOUS, 1),
+        step(~unclear & add, "add", 1),
+        step(~unclear & add & fill, "fill default", 1),
+        step(~unclear & add & ~new_side("nullable"), "set not null", 3),
+        step(~unclear & lost_name, "invalid rename", 1),
+        step(~unclear & ~F.col(IN_NEW), DROP, 3),
+        step(both & new_side("declared"), "rename", 1),
+        step(both & (old_side("data_type") != new_side("data_type")), "alter type", 1),
+        step(both & default_differs & new_side("dflt").isNull(), "drop default", 1),
+        step(both & default_differs & new_side("dflt").isNotNull(), "set default", 1),
+        step(both & ~old_side("nullable") & new_side("nullable"), "drop not null", 1),
+        step(both & old_side("nullable") & fill, "fill default", 1),
+        step(both & old_side("nullable") & ~new_side("nullable"), "set not null", 3),
+    )
+    # The steps that do not apply are NULL and go after the explode.
+    return (
+        pairs.select(
+            *scope,
+            F.coalesce(new_side("table_name"), old_side("table_name")).alias("table_name"),
+            F.coalesce(new_side("column_name"), old_side("column_name")).alias("column_name"),
+            F.explode(steps).alias("step"),
+        )
+        .filter(F.col("step").isNotNull())
+        .select(*scope, "table_name", "column_name", "step.action", "step.stage")
     )
-    steps = F.when(
-        unclear, F.array(F.struct(F.lit(AMBIGUOUS).alias("action"), F.lit(1).alias("stage")))
-    ).otherwise(clear)
-    return pairs.select(
-        *scope,
-        F.coalesce(new_side("table_name"), old_side("table_name")).alias("table_name"),
-        F.coalesce(new_side("column_name"), old_side("column_name")).alias("column_name"),
-        F.explode(steps).alias("step"),
-    ).select(*scope, "table_name", "column_name", "step.action", "step.stage")
 
 
 def drift_constraints(old: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame:

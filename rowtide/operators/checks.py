@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowtide.functions.cells import all_of, any_of
+from rowtide.functions.cells import all_of, any_of, texts_present
 from rowtide.functions.text import strip_check
 from rowtide.functions.types import length_limit, spark_type
 from rowtide.operators.graph import dependency_order
@@ -157,7 +157,7 @@ def with_domain_violations(df: DataFrame, column: str, domain: DomainSpec, name:
         broken = F.expr(_about(check.predicate, "__value")) == F.lit(False)
         rules.append(F.when(broken, F.lit(check.name)))
     typed = df.withColumn("__value", value.try_cast(spark_type(domain.base_type)))
-    return typed.withColumn(name, F.array_compact(F.array(*rules))).drop("__value")
+    return typed.withColumn(name, texts_present(rules)).drop("__value")
 
 
 def check_domain(df: DataFrame, column: str, domain: DomainSpec) -> DataFrame:

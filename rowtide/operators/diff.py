@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from rowtide.functions.cells import TYPED, all_of, any_of, cell_equal
+from rowtide.functions.cells import TYPED, all_of, any_of, cell_equal, texts_present
 from rowtide.operators.pairing import (
     IN_NEW,
     IN_OLD,
@@ -92,6 +92,7 @@ def compare_rows(
     mode: str = TYPED,
     tombstone: str = TOMBSTONE,
     on_duplicate: str = "fail",
+    null_keys: bool = True,
     how: str = "full_outer",
 ) -> DataFrame:
     """Both sides of every key with ``op`` and the list of changed columns.
@@ -102,10 +103,17 @@ def compare_rows(
     old, new = live_rows(align_names(old, pk), tombstone), live_rows(align_names(new, pk), tombstone)
     old_columns, new_columns = _value_columns(old, pk, tombstone), _value_columns(new, pk, tombstone)
     pairs = pair_states(
-        old, new, pk, old_columns=old_columns, new_columns=new_columns, on_duplicate=on_duplicate, how=how
+        old,
+        new,
+        pk,
+        old_columns=old_columns,
+        new_columns=new_columns,
+        on_duplicate=on_duplicate,
+        null_keys=null_keys,
+        how=how,
     )
     differs = _differences(old_columns, new_columns, mode)
-    changed = F.array_compact(F.array(*[F.when(d, F.lit(c)) for c, d in differs.items()]).cast("array<string>"))
+    changed = texts_present([F.when(d, F.lit(c)) for c, d in differs.items()])
     op = (
         F.when(~F.col(IN_OLD), F.lit(INSERT))
         .when(~F.col(IN_NEW), F.lit(DELETE))
@@ -154,16 +162,15 @@ def cell_changes(old: DataFrame, new: DataFrame, pk: list[str], mode: str = TYPE
     """One row per changed cell: key, column name, old text, new text."""
     pairs = compare_rows(old, new, pk, mode=mode, how="inner", **options).filter(F.col("op") == UPDATE)
     known = {c[len("__old_") :].lower(): c for c in pairs.columns if c.startswith("__old_")}
-    cells = []
+    cells = []  # one struct per column, NULL where the cell did not change
     for c in _value_columns(new, pk, options.get("tombstone", TOMBSTONE)):
         before = F.col(f"`{known[c.lower()]}`").cast("string") if c.lower() in known else F.lit(None).cast("string")
-        cells.append(
-            F.struct(F.lit(c).alias("column"), before.alias("old_value"), new_side(c).cast("string").alias("new_value"))
+        cell = F.struct(
+            F.lit(c).alias("column_name"), before.alias("old_value"), new_side(c).cast("string").alias("new_value")
         )
-    touched = F.filter(F.array(*cells), lambda cell: F.array_contains("changed", cell["column"]))
-    return pairs.select(*pk, F.explode(touched).alias("cell")).select(
-        *pk, F.col("cell.column").alias("column_name"), "cell.old_value", "cell.new_value"
-    )
+        cells.append(F.when(F.array_contains("changed", c), cell))
+    long = pairs.select(*pk, F.explode(F.array(*cells)).alias("cell"))
+    return long.filter(F.col("cell").isNotNull()).select(*pk, "cell.*")
 
 
 # -- change sets --------------------------------------------------------------
@@ -179,6 +186,7 @@ def change_set(
     mode: str = TYPED,
     tombstone: str = TOMBSTONE,
     on_duplicate: str = "fail",
+    null_keys: bool = True,
     keep_unchanged: bool = False,
 ) -> DataFrame:
     """All inserts, updates and deletes in one pass.
@@ -186,7 +194,9 @@ def change_set(
     Columns: ``table, stage, dep_rank, op, key, changed, before, after`` where
     stage 2 holds deletes and stage 4 updates and inserts.
     """
-    pairs = compare_rows(old, new, pk, mode=mode, tombstone=tombstone, on_duplicate=on_duplicate)
+    pairs = compare_rows(
+        old, new, pk, mode=mode, tombstone=tombstone, on_duplicate=on_duplicate, null_keys=null_keys
+    )
     if not keep_unchanged:
         pairs = pairs.filter(F.col("op") != UNCHANGED)
     before = F.struct(*[old_side(c).alias(c) for c in _value_columns(old, pk, tombstone)] or [F.lit(True).alias("_")])

@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rowtide.functions.cells import texts_present
 from rowtide.functions.types import is_integer, is_serial, spark_type
 from rowtide.operators.checks import with_domain_violations
 from rowtide.operators.pairing import find_column, new_side, old_side, pair_states
@@ -292,7 +293,7 @@ def evolution_guards(
         (both & differs("part_count"), "partition count changed"),
         (old_side("inherits").isNull() != new_side("inherits").isNull(), "inheritance changed"),
     ]
-    refused = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in rules])))
+    refused = F.explode(texts_present([F.when(c, F.lit(t)) for c, t in rules]))
     tables = pairs.select(*table_key, F.lit(None).cast("string").alias("column_name"), refused.alias("violation"))
 
     serial = F.lower("data_type").isin("serial", "bigserial")

@@ -121,7 +121,7 @@ def _levels(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     edges = cut_lineage(edges.filter(F.col("child") != F.col("parent")).distinct())
     fan = edges.groupBy(*keys, "child").agg(F.count(F.lit(1)).alias("__fan"), F.min("parent").alias("__only"))
     single = fan.filter("__fan = 1").select(*keys, F.col("child").alias("node"), F.col("__only").alias("target"))
-    folded = cut_lineage(follow_pointers(single, keys, "node", "target"))
+    folded = follow_pointers(single, keys, "node", "target")
 
     def on_keys(*extra):
         return all_of([F.col(k) == F.col(f"__{k}") for k in keys] + list(extra))
@@ -176,7 +176,7 @@ def _levels(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
         .select(*keys, "node", (F.col("__level") + F.col("steps")).alias("level"))
     )
     stuck = pending.select(*keys, "node").distinct().withColumn("level", F.lit(None).cast("int"))
-    return cut_lineage(placed.unionByName(members).unionByName(stuck))
+    return placed.unionByName(members).unionByName(stuck)
 
 
 def _graph(nodes: DataFrame, edges: DataFrame, keys: list[str], node: str, child: str, parent: str):

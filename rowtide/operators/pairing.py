@@ -14,13 +14,18 @@ side is guarded first:
            costs one row per map task
 ``trust``  the caller knows that keys are unique (the input is an aggregate on
            the key, or ``check_primary_key`` has just come back empty)
+
+A NULL in a key equals a NULL. Where keys hold none, ``null_keys=False`` joins on
+plain equality, which lets Spark use the layout the data already has (bucketed
+tables, or an aggregate on the key) and skip the shuffle; the guard then also
+proves that there is no NULL.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowtide.functions.cells import all_of
+from rowtide.functions.cells import all_of, any_of
 
 IN_OLD = "__in_old"
 IN_NEW = "__in_new"
@@ -49,22 +54,28 @@ def align_names(df: DataFrame, like: list[str]) -> DataFrame:
     return df.withColumnsRenamed(renames) if renames else df
 
 
-def require_unique(df: DataFrame, key: list[str], what: str) -> DataFrame:
-    """``df``, but the job fails if a key occurs twice.
+def require_unique(df: DataFrame, key: list[str], what: str, null_keys: bool = True) -> DataFrame:
+    """``df``, but the job fails if a key occurs twice (or, without
+    ``null_keys``, holds a NULL).
 
     The proof runs as a scalar subquery over the key columns alone and is done
     before the rows it guards are read.
     """
-    copies = df.groupBy(*[F.col(f"`{k}`") for k in key]).agg(F.count(F.lit(1)).alias("n"))
-    most = copies.agg(F.max("n").alias("n")).scalar()
-    message = F.lit(f"{what}: key ({', '.join(key)}) is not unique")
+    columns = [F.col(f"`{k}`") for k in key]
+    copies = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    worst = F.max("n")
+    if not null_keys:
+        worst = F.max(F.when(any_of([c.isNull() for c in columns]), F.lit(2)).otherwise(F.col("n")))
+    most = copies.agg(worst.alias("n")).scalar()
+    fault = "not unique" if null_keys else "not unique or holds NULL"
+    message = F.lit(f"{what}: key ({', '.join(key)}) is {fault}")
     return df.filter(
         F.when(F.coalesce(most, F.lit(0)) > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
     )
 
 
 def _one_side(
-    df: DataFrame, key: list[str], columns: list[str], prefix: str, present: str, on_duplicate: str
+    df: DataFrame, key: list[str], columns: list[str], prefix: str, present: str, on_duplicate: str, null_keys: bool
 ) -> DataFrame:
     keys = [F.col(f"`{k}`").alias(f"{prefix}key{i}") for i, k in enumerate(key)]
     values = [F.col(f"`{c}`").alias(f"{prefix}{c}") for c in columns]
@@ -74,7 +85,7 @@ def _one_side(
         folded = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count), *kept)
         return folded.withColumn(present, F.lit(True))
     if on_duplicate == "fail":
-        df = require_unique(df, key, "old state" if present == IN_OLD else "new state")
+        df = require_unique(df, key, "old state" if present == IN_OLD else "new state", null_keys)
     return df.select(*keys, *values, F.lit(True).alias(present))
 
 
@@ -86,6 +97,7 @@ def pair_states(
     old_columns: list[str] | None = None,
     new_columns: list[str] | None = None,
     on_duplicate: str = "fail",
+    null_keys: bool = True,
     how: str = "full_outer",
 ) -> DataFrame:
     """Key columns, presence flags and the asked-for columns of both sides.
@@ -102,9 +114,10 @@ def pair_states(
     old_columns = [c for c in old.columns if c not in key] if old_columns is None else old_columns
     new_columns = [c for c in new.columns if c not in key] if new_columns is None else new_columns
 
-    left = _one_side(old, key, old_columns, "__old_", IN_OLD, on_duplicate)
-    right = _one_side(new, key, new_columns, "__new_", IN_NEW, on_duplicate)
-    same_key = all_of([F.col(f"__old_key{i}").eqNullSafe(F.col(f"__new_key{i}")) for i in range(len(key))])
+    left = _one_side(old, key, old_columns, "__old_", IN_OLD, on_duplicate, null_keys)
+    right = _one_side(new, key, new_columns, "__new_", IN_NEW, on_duplicate, null_keys)
+    sides = [(F.col(f"__old_key{i}"), F.col(f"__new_key{i}")) for i in range(len(key))]
+    same_key = all_of([a.eqNullSafe(b) if null_keys else a == b for a, b in sides])
     joined = left.join(right, same_key, how)
 
     keys = [

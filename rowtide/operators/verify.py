@@ -126,4 +126,5 @@ def verify_cells(
             for c in values
         ]
     )
-    return found.select(*pk, F.explode(F.array_compact(cells)).alias("cell")).select(*pk, "cell.*")
+    long = found.select(*pk, F.explode(cells).alias("cell"))
+    return long.filter(F.col("cell").isNotNull()).select(*pk, "cell.*")

@@ -14,6 +14,9 @@ from rowtide.spec import TableSpec
 ORDER_KEY = ["o_orderkey"]
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 
+# The line states are aggregates on their key, so it is unique, and their layout serves the join.
+GROUPED = {"on_duplicate": "trust", "null_keys": False}
+
 # -- pieces of the oracles ----------------------------------------------------
 
 ORDER_VALUES = ("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
@@ -216,7 +219,7 @@ def _change_set(spark, sf_dir):
 
 @query("change_set_composite_key", oracle("LI_OLD LI_NEW", f"SELECT * FROM ({LINE_OPS}) AS c WHERE op <> 'N'"))
 def _change_set_composite_key(spark, sf_dir):
-    return diff.change_set(*line_states(spark, sf_dir), LINE_KEY).select(
+    return diff.change_set(*line_states(spark, sf_dir), LINE_KEY, **GROUPED).select(
         "key.l_orderkey",
         "key.l_linenumber",
         "op",
@@ -372,10 +375,13 @@ MANY = f"""
     UNION ALL SELECT 'public.customer', 'I', c_custkey, 0, 0, '' FROM customer
 """
 
-KEY_ONE = F.coalesce(
-    *[F.get_json_object("key", f"$.{c}") for c in ("o_orderkey", "l_orderkey", "s_suppkey", "c_custkey")]
-).cast("bigint")
-KEY_TWO = F.coalesce(F.get_json_object("key", "$.l_linenumber").cast("int"), F.lit(0))
+def key_one():
+    names = ("o_orderkey", "l_orderkey", "s_suppkey", "c_custkey")
+    return F.coalesce(*[F.get_json_object("key", f"$.{c}") for c in names]).cast("bigint")
+
+
+def key_two():
+    return F.coalesce(F.get_json_object("key", "$.l_linenumber").cast("int"), F.lit(0))
 
 
 @query(
@@ -392,8 +398,8 @@ def _diff_many_tables(spark, sf_dir):
         "stage",
         "dep_rank",
         "op",
-        KEY_ONE.alias("k1"),
-        KEY_TWO.alias("k2"),
+        key_one().alias("k1"),
+        key_two().alias("k2"),
         F.array_join("changed", ",").alias("changed"),
     )
 
@@ -410,7 +416,7 @@ def _diff_many_tables(spark, sf_dir):
     ),
 )
 def _ordered_change_set(spark, sf_dir):
-    changes = many_changes(spark, sf_dir).withColumn("key", F.struct(KEY_ONE.alias("k1"), KEY_TWO.alias("k2")))
+    changes = many_changes(spark, sf_dir).withColumn("key", F.struct(key_one().alias("k1"), key_two().alias("k2")))
     return assign_serial(changes, diff.order_columns(), start=1, name="position").select(
         "position", "table", "op", "key.k1", "key.k2"
     )
@@ -429,7 +435,7 @@ def _ordered_change_set(spark, sf_dir):
 )
 def _diff_summary(spark, sf_dir):
     orders = diff.change_set(*order_states(spark, sf_dir), ORDER_KEY, table="orders", keep_unchanged=True)
-    lines = diff.change_set(*line_states(spark, sf_dir), LINE_KEY, table="lines", keep_unchanged=True)
+    lines = diff.change_set(*line_states(spark, sf_dir), LINE_KEY, table="lines", keep_unchanged=True, **GROUPED)
     return diff.diff_summary(orders.select("table", "op").unionByName(lines.select("table", "op")))
 
 

@@ -15,7 +15,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from rowtide.functions.cells import all_of
+from rowtide.functions.cells import all_of, texts_present
 from rowtide.operators.checks import breaks_check, outside_enum
 from rowtide.operators.diff import DELETE
 from rowtide.spec import CheckSpec, EnumSpec, ForeignKeySpec
@@ -129,7 +129,7 @@ def constraint_violations(
         joined = joined.join(known, match, "left_outer")
         complete = all_of([F.col(c).isNotNull() for c in fk.columns])
         broken.append(F.when(complete & F.col(f"__found{i}").isNull(), F.lit(fk.name)))
-    return joined.select(*rows.columns, F.explode(F.array_compact(F.array(*broken))).alias("constraint_name"))
+    return joined.select(*rows.columns, F.explode(texts_present(broken)).alias("constraint_name"))
 
 
 def stream_constraint_check(rows: DataFrame, path: str, checkpoint: str, **rules) -> DataStreamWriter:
