@@ -4,43 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Microseconds of each interval unit, with the spellings of the
-# unit. A month counts as 30 days, as it does when intervals are compared.
 SECOND = 1_000_000
-INTERVAL_UNITS = {
-    r"years?|yrs?|y": 360 * 86_400 * SECOND,
-    r"months?|mons?": 30 * 86_400 * SECOND,
-    r"weeks?|w": 7 * 86_400 * SECOND,
-    r"days?|d": 86_400 * SECOND,
-    r"hours?|hrs?|h": 3_600 * SECOND,
-    r"minutes?|mins?|m": 60 * SECOND,
-    r"seconds?|secs?|s": SECOND,
-    r"milliseconds?|msecs?|ms": 1_000,
-    r"microseconds?|usecs?|us": 1,
-}
 
-CLOCK = r"(-?)(\d+):(\d{1,2})(?::(\d{1,2}(?:\.\d+)?))?"
+# Interval units, their spellings and their microseconds. A month
+# counts as 30 days and a year as 12 months, as they do when intervals are
+# compared.
+INTERVAL_UNITS = (
+    ("y yr yrs year years", 360 * 86_400 * SECOND),
+    ("mon mons month months", 30 * 86_400 * SECOND),
+    ("w week weeks", 7 * 86_400 * SECOND),
+    ("d day days", 86_400 * SECOND),
+    ("h hr hrs hour hours", 3_600 * SECOND),
+    ("m min mins minute minutes", 60 * SECOND),
+    ("s sec secs second seconds", SECOND),
+    ("ms msec msecs millisecond milliseconds", 1_000),
+    ("us usec usecs microsecond microseconds", 1),
+)
+
+CLOCK = r"-?\d+:\d{1,2}(?::\d{1,2}(?:\.\d+)?)?"
+AMOUNT = r"(-?\d+(?:\.\d+)?)\s*([a-z]+)"
 
 
 def interval_microseconds(text: Column) -> Column:
     """Length of an interval: ``@ 2 hours 30 minutes``, ``2h 30m``, ``02:30:00``,
-    ``1 day 02:00``, with ``ago`` for its negative. NULL if nothing is read."""
+    ``1 day 02:00``, with ``ago`` for its negative. NULL if it cannot be read."""
     text = F.lower(F.trim(text))
-    total = F.lit(0).cast("decimal(38,6)")
-    read = F.lit(False)
-    for unit, size in INTERVAL_UNITS.items():
-        amount = F.regexp_extract(text, rf"(-?\d+(?:\.\d+)?)\s*(?:{unit})\b", 1).try_cast("decimal(20,6)")
-        total = total + F.coalesce(amount, F.lit(0)) * size
-        read = read | amount.isNotNull()
-    hours = F.regexp_extract(text, CLOCK, 2).try_cast("bigint")
-    minutes = F.coalesce(F.regexp_extract(text, CLOCK, 3).try_cast("bigint"), F.lit(0))
-    seconds = F.coalesce(F.regexp_extract(text, CLOCK, 4).try_cast("decimal(20,6)"), F.lit(0))
-    sign = F.when(F.regexp_extract(text, CLOCK, 1) == "-", -1).otherwise(1)
-    clock = (hours * 3_600 + minutes * 60 + seconds) * SECOND * sign
-    total = total + F.coalesce(clock, F.lit(0))
-    read = read | hours.isNotNull()
+    clock = F.regexp_extract(text, CLOCK, 0)
+    rest = F.regexp_replace(text, CLOCK + r"|\bago\b", " ")
+    size = F.create_map(*[F.lit(x) for names, n in INTERVAL_UNITS for name in names.split() for x in (name, n)])
+    amounts = F.regexp_extract_all(rest, F.lit(AMOUNT), F.lit(1))
+    units = F.regexp_extract_all(rest, F.lit(AMOUNT), F.lit(2))
+    parts = F.zip_with(amounts, units, lambda a, u: a.try_cast("decimal(18,6)") * size[u])
+    zero = F.lit(0).cast("decimal(38,6)")
+    total = F.aggregate(parts, zero, lambda sum_, part: (sum_ + part).cast("decimal(38,6)"))
+
+    fields = F.transform(F.split(F.replace(clock, F.lit("-"), F.lit("")), ":"), lambda f: f.try_cast("decimal(18,6)"))
+    seconds = fields[0] * 3_600 + fields[1] * 60 + F.coalesce(F.get(fields, F.lit(2)), F.lit(0))
+    signed = F.when(clock.startswith("-"), -seconds).otherwise(seconds) * SECOND
+    total = total + F.when(clock != "", signed).otherwise(F.lit(0))
     total = F.when(text.rlike(r"\bago$"), -total).otherwise(total)
-    return F.when(read, F.round(total).cast("bigint"))
+    return F.when((clock != "") | (F.size(units) > 0), F.round(total).cast("bigint"))
 
 
 def time_value(text: Column, declared: str) -> Column:

@@ -306,13 +306,15 @@ def diff_many_tables(
     *,
     ranks: dict[str, int] | None = None,
     tables: list[str] | None = None,
+    table_options: dict[str, dict] | None = None,
     **options,
 ) -> DataFrame:
     """One change set for the union of both states' tables.
 
     Row contents become JSON text so that tables of any shape share one schema.
     ``tables`` restricts the work; a table left out is never read. A table in
-    only one state yields all its rows as inserts or deletes.
+    only one state yields all its rows as inserts or deletes. ``options`` go to
+    every comparison, ``table_options`` to that of one table.
     """
     wanted = None if tables is None else {t if "." in t else f"public.{t}" for t in tables}
     parts = []
@@ -327,7 +329,8 @@ def diff_many_tables(
         elif new_name is None:
             part = reverse_change_set(fresh_rows(old[old_name], pk, table=name, dep_rank=rank))
         else:
-            part = change_set(old[old_name], new[new_name], pk, table=name, dep_rank=rank, **options)
+            chosen = {**options, **(table_options or {}).get(name, {})}
+            part = change_set(old[old_name], new[new_name], pk, table=name, dep_rank=rank, **chosen)
         parts.append(
             part.select(
                 "table",

@@ -37,8 +37,9 @@ def typed_compare(declared_value: Column, live_value: Column, declared: str, mod
     elif kind.startswith(("time", "date")):
         value = lambda text: time_value(text, kind)
     if value is not None:
+        # Only texts that differ are read as values.
         same_moment = F.coalesce(value(blank_a) == value(blank_b), F.lit(False))
-        equal = equal | ((blank_a != "") & (blank_b != "") & same_moment)
+        equal = F.when(equal, True).when((blank_a == "") | (blank_b == ""), False).otherwise(same_moment)
     if mode == TYPED:
         return F.when(declared_value.isNull() | live_value.isNull(), declared_value.isNull() & live_value.isNull()).otherwise(
             equal

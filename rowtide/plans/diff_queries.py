@@ -16,6 +16,7 @@ LINE_KEY = ["l_orderkey", "l_linenumber"]
 
 # The line states are aggregates on their key, so it is unique, and their layout serves the join.
 GROUPED = {"on_duplicate": "trust", "null_keys": False}
+PRIMARY = {"null_keys": False}
 
 # -- pieces of the oracles ----------------------------------------------------
 
@@ -363,7 +364,9 @@ def many_changes(spark, sf_dir):
         "public.supplier": table(spark, sf_dir, "supplier"),
     }
     new = {"public.customer": table(spark, sf_dir, "customer"), "public.orders": orders_new, "public.lines": lines_new}
-    return diff.diff_many_tables(old, new, STATE_SPECS, ranks=STATE_RANKS)
+    return diff.diff_many_tables(
+        old, new, STATE_SPECS, ranks=STATE_RANKS, table_options={"public.lines": GROUPED, "public.orders": PRIMARY}
+    )
 
 
 MANY = f"""
@@ -375,13 +378,12 @@ MANY = f"""
     UNION ALL SELECT 'public.customer', 'I', c_custkey, 0, 0, '' FROM customer
 """
 
-def key_one():
-    names = ("o_orderkey", "l_orderkey", "s_suppkey", "c_custkey")
-    return F.coalesce(*[F.get_json_object("key", f"$.{c}") for c in names]).cast("bigint")
-
-
-def key_two():
-    return F.coalesce(F.get_json_object("key", "$.l_linenumber").cast("int"), F.lit(0))
+def flat_key(changes):
+    """JSON keys of the four tables as two plain columns."""
+    kind = "o_orderkey bigint, l_orderkey bigint, s_suppkey bigint, c_custkey bigint, l_linenumber int"
+    key = F.from_json("key", kind)
+    one = F.coalesce(key["o_orderkey"], key["l_orderkey"], key["s_suppkey"], key["c_custkey"])
+    return changes.withColumn("key", F.struct(one.alias("k1"), F.coalesce(key["l_linenumber"], F.lit(0)).alias("k2")))
 
 
 @query(
@@ -393,14 +395,8 @@ def key_two():
     ),
 )
 def _diff_many_tables(spark, sf_dir):
-    return many_changes(spark, sf_dir).select(
-        "table",
-        "stage",
-        "dep_rank",
-        "op",
-        key_one().alias("k1"),
-        key_two().alias("k2"),
-        F.array_join("changed", ",").alias("changed"),
+    return flat_key(many_changes(spark, sf_dir)).select(
+        "table", "stage", "dep_rank", "op", "key.k1", "key.k2", F.array_join("changed", ",").alias("changed")
     )
 
 
@@ -416,8 +412,7 @@ def _diff_many_tables(spark, sf_dir):
     ),
 )
 def _ordered_change_set(spark, sf_dir):
-    changes = many_changes(spark, sf_dir).withColumn("key", F.struct(key_one().alias("k1"), key_two().alias("k2")))
-    return assign_serial(changes, diff.order_columns(), start=1, name="position").select(
+    return assign_serial(flat_key(many_changes(spark, sf_dir)), diff.order_columns(), start=1, name="position").select(
         "position", "table", "op", "key.k1", "key.k2"
     )
 
