@@ -135,12 +135,17 @@ def effective_permissions(rows: DataFrame, owners: DataFrame, scope: list[str])
     """One grant per object and role: sorted permissions and grant option.
 
     The owner's own permissions come with ownership and are left out. Roles
-    ignore case. The permissions of a grant are a subset of a fixed list.
+    ignore case. The permissions gathered for a grant come from a fixed list;
+    any other stops the job (``invalid_permissions`` finds them).
     """
+    name = F.upper("permission")
+    known = {*PERMISSIONS, *ACL_CODES.values(), *[p for ps in VALID_PERMISSIONS.values() for p in ps]}
+    unknown = F.raise_error(F.concat(F.lit("unknown permission: "), F.col("permission")))
+    name = F.when(name.isin(*sorted(known)), name).otherwise(unknown)
     owner = owners.select(*_scoped(scope), F.lower("owner").alias("__owner")).distinct()
     granted = rows.join(owner, _on(scope, F.lower("grantee") == F.col("__owner")), "left_anti")
     return granted.groupBy(*scope, F.lower("grantee").alias("grantee")).agg(
-        F.array_sort(F.collect_set("permission")).alias("permissions"),
+        F.array_sort(F.collect_set(name)).alias("permissions"),
         F.coalesce(F.bool_or("grantable"), F.lit(False)).alias("grantable"),
     )
 

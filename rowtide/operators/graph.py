@@ -71,22 +71,27 @@ def follow_pointers(links: DataFrame, keys: list[str], node: str, target: str) -
         moving = state.filter("__moved").drop("__moved")
         if moving.isEmpty():
             return arrived
-        reach *= 2
-        if reach > longest:
+        # Before this round every pointer already covered the longest possible
+        # chain, so what still moves goes round in a circle.
+        if reach >= longest:
             endless = moving.select(
                 *keys, "node", F.lit(None).cast(moving.schema["last"].dataType).alias("last"),
                 F.lit(None).cast("int").alias("steps"),
             )
             return arrived.unionByName(endless)
+        reach *= 2
 
 
-def ancestor_pairs(links: DataFrame, keys: list[str], node: str, parent: str, max_depth: int = 1 << 16) -> DataFrame:
-    """Every (node, ancestor, depth) of a forest; covered depth doubles per round."""
+def ancestor_pairs(links: DataFrame, keys: list[str], node: str, parent: str, max_depth: int = 1024) -> DataFrame:
+    """Every (node, ancestor, depth) of a forest; covered depth doubles per
+    round. Parents that go round in a circle are an error."""
     pairs = cut_lineage(
         links.select(
             *keys, F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")
         ).filter(F.col("ancestor").isNotNull())
     )
+    sizes = pairs.groupBy(*keys).count() if keys else pairs.agg(F.count(F.lit(1)).alias("count"))
+    deepest = min(sizes.agg(F.max("count")).first()[0] or 0, max_depth)
     jumps, reach = pairs, 1
     while True:
         # A jump of exactly `reach` steps, followed by every pair known so far.
@@ -101,9 +106,9 @@ def ancestor_pairs(links: DataFrame, keys: list[str], node: str, parent: str, ma
         )
         if longer.isEmpty():
             return pairs
+        if reach >= deepest:
+            raise ValueError(f"no end within {deepest} levels: the parents form a cycle")
         reach *= 2
-        if reach > max_depth:
-            raise ValueError(f"no end within {max_depth} levels: the parents form a cycle")
         jumps = longer.filter(F.col("depth") == reach)
         pairs = pairs.unionByName(longer)
 

@@ -38,19 +38,15 @@ def partition_counts(df: DataFrame, spec: PartitionSpec) -> DataFrame:
     )
 
 
-def write_partitioned(df: DataFrame, spec: PartitionSpec, path: str, files_per_partition: int = 1) -> None:
+def write_partitioned(df: DataFrame, spec: PartitionSpec, path: str) -> None:
     """Write each partition to its own folder.
 
-    Rows are spread by partition and by a hash of the whole row, so a heavy
-    partition is written by several tasks.
+    The rebalance hint brings the rows of a partition together; from the
+    measured sizes Spark then splits a heavy partition among several tasks and
+    joins small ones, so no folder depends on one task.
     """
     routed = modulo_partition(df, spec)
-    if files_per_partition > 1:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(files_per_partition))
-        routed = routed.repartition((spec.parts + 1) * files_per_partition, F.col("part"), salt)
-    else:
-        routed = routed.repartition(spec.parts + 1, F.col("part"))
-    routed.write.partitionBy("part").parquet(path)
+    routed.hint("rebalance", F.col("part")).write.partitionBy("part").parquet(path)
 
 
 def read_partition(spark: SparkSession, path: str, spec: PartitionSpec, key: int) -> DataFrame:

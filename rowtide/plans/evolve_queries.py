@@ -249,7 +249,7 @@ def _partition_counts(spark, sf_dir):
 @query("write_partitioned", oracle("PARTS", f"SELECT o_orderkey, k, {_part(8)} AS part FROM PARTS WHERE k = 11"))
 def _write_partitioned(spark, sf_dir):
     spec, path = PartitionSpec("k", 8), scratch_path(spark, "partitioned")
-    partitions.write_partitioned(frame(spark, sf_dir, "PARTS"), spec, path, files_per_partition=2)
+    partitions.write_partitioned(frame(spark, sf_dir, "PARTS"), spec, path)
     return partitions.read_partition(spark, path, spec, 11)
 
 

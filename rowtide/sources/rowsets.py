@@ -25,6 +25,7 @@ _CELL = T.StructType(
     ]
 )
 _ROW = T.StructType([T.StructField("_delete", T.BooleanType()), T.StructField("col", T.ArrayType(_CELL))])
+_UNREAD = "_unread"
 ROWS_SCHEMA = T.StructType(
     [
         T.StructField("_columns", T.StringType()),
@@ -107,14 +108,21 @@ def read_declared_rows(spark: SparkSession, path: str, columns: list[str] | None
     """Declared rows: ``columns`` (header), ``cells`` (tagged) and ``_delete``.
 
     The files hold ``rows`` elements with a header, rows of cells and delimited
-    lines. If the header is given, single ``row`` elements are read from splits
-    of the files, so one large element is shared among tasks; otherwise each
-    ``rows`` element is read whole to learn its header.
+    lines. Without ``columns`` each ``rows`` element is read whole to learn its
+    header. If the header is given and every ``row`` stands on a line of its
+    own, the files are read line by line, so one large element is shared among
+    tasks; a row that cannot be read that way stops the job.
     """
     reader = spark.read.format("xml").option("ignoreSurroundingSpaces", "false")
     if columns is not None:
-        rows = reader.option("rowTag", "row").option("multiLine", "false").schema(_ROW).load(path)
-        return rows.select(
+        by_line = T.StructType([*_ROW.fields, T.StructField(_UNREAD, T.StringType())])
+        lines = reader.option("rowTag", "row").option("multiLine", "false").option("columnNameOfCorruptRecord", _UNREAD)
+        rows = lines.schema(by_line).load(path)
+        unread = F.col(_UNREAD)
+        broken = F.raise_error(F.concat(F.lit("row is not on a line of its own: "), unread)).cast("boolean")
+        # The lines between rows are the tags of the elements around them.
+        is_row = F.when(unread.isNull(), True).when(unread.rlike(r"</?(row|col)\b"), broken).otherwise(False)
+        return rows.filter(is_row).select(
             F.array(*[F.lit(c) for c in columns]).alias("columns"),
             _cells(F.col("col")).alias("cells"),
             F.coalesce("_delete", F.lit(False)).alias(TOMBSTONE),
