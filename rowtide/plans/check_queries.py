@@ -35,7 +35,7 @@ def _check_primary_key(spark, sf_dir):
     oracle(
         "DOMAIN",
         """SELECT 'segment_balance_unique' AS constraint_name, segment, balance_band, count(*) AS n
-        FROM (SELECT segment, floor(balance / 100) AS balance_band FROM DOMAIN) AS d
+        FROM (SELECT segment, CAST(floor(balance / 100) AS BIGINT) AS balance_band FROM DOMAIN) AS d
         WHERE segment IS NOT NULL AND balance_band IS NOT NULL GROUP BY segment, balance_band HAVING count(*) > 1""",
     ),
 )

@@ -111,8 +111,8 @@ def _serial_to_int(spark, sf_dir):
     "migrate_enum",
     oracle(
         "DOMAIN",
-        """SELECT segment, count(*) AS n, sum(CASE WHEN segment NOT IN ('BUILDING', 'MACHINERY', 'OTHER') THEN 1 ELSE 0
-            END) AS lost FROM DOMAIN WHERE segment IS NOT NULL GROUP BY segment""",
+        """SELECT segment, count(*) AS n, CAST(sum(CASE WHEN segment NOT IN ('BUILDING', 'MACHINERY', 'OTHER') THEN 1
+            ELSE 0 END) AS BIGINT) AS lost FROM DOMAIN WHERE segment IS NOT NULL GROUP BY segment""",
     ),
 )
 def _migrate_enum(spark, sf_dir):
@@ -279,7 +279,7 @@ def _inheritance_scan(spark, sf_dir):
         "OWN_COLUMNS TABLE_PARENTS",
         """
         SELECT conv_id, turn, column_name, data_type, defined_in, depth FROM (
-            SELECT t.conv_id, t.turn, c.column_name, c.data_type, c.turn AS defined_in, t.turn - c.turn AS depth,
+            SELECT t.conv_id, t.turn, c.column_name, c.data_type, c.turn AS defined_in, CAST(t.turn - c.turn AS INTEGER) AS depth,
                 row_number() OVER (PARTITION BY t.conv_id, t.turn, lower(c.column_name) ORDER BY c.turn DESC) AS rn
             FROM TABLE_PARENTS t JOIN OWN_COLUMNS c ON c.conv_id = t.conv_id AND c.turn <= t.turn) AS x
         WHERE rn = 1""",

@@ -112,7 +112,7 @@ FIXTURES["REF_COLUMNS"] = """
         SELECT e.conv_id, e.column_id, e.terminal_id,
             CASE WHEN e.data_type IS NOT NULL THEN e.data_type WHEN t.data_type = 'serial' THEN 'int'
                 WHEN t.data_type = 'bigserial' THEN 'bigint' ELSE t.data_type END AS resolved_type,
-            e.column_id - e.terminal_id AS steps
+            CAST(e.column_id - e.terminal_id AS INTEGER) AS steps
         FROM ends e JOIN REF_COLUMNS t ON t.conv_id = e.conv_id AND t.column_id = e.terminal_id""",
     ),
 )

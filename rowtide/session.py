@@ -25,6 +25,8 @@ def build_session(app: str = "rowtide", master: str | None = None, **settings: s
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Checkpoints go once nothing refers to them any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for name, value in {**defaults, **settings}.items():
         builder = builder.config(name, value)
@@ -34,14 +36,15 @@ def build_session(app: str = "rowtide", master: str | None = None, **settings: s
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from the session's own setting.
 
-    Only where the setting is absent (local tests) a temporary folder is made
-    and put in its place.
+    Where the setting is absent a local session (as in tests) gets a temporary
+    folder; on a cluster that is an error.
     """
-    configured = spark.conf.get(CHECKPOINT_SETTING, None)
     context = spark.sparkContext
+    configured = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if not configured:
-        configured = context.getCheckpointDir() or tempfile.mkdtemp(prefix="rowtide-")
-        spark.conf.set(CHECKPOINT_SETTING, configured)
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="rowtide-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured

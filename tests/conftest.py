@@ -1,3 +1,5 @@
+import contextlib
+import io
 import os
 import sys
 
@@ -20,6 +22,8 @@ def spark(tmp_path_factory):
             "spark.driver.memory": "6g",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
+            "spark.sql.dataFrameQueryContext.enabled": "false",
+            "spark.python.sql.dataFrameDebugging.enabled": "false",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
     )
@@ -42,3 +46,11 @@ def rows(df, *columns):
     """Rows as a sorted list of tuples."""
     chosen = df.select(*columns) if columns else df
     return sorted((tuple(r) for r in chosen.collect()), key=repr)
+
+
+def plan_of(df, mode="simple"):
+    """Text of the physical plan."""
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain(mode)
+    return text.getvalue()

@@ -155,8 +155,8 @@ def test_views_functions_and_triggers(frame):
     assert len(rows(catalog.drift_views(old, new, ["db"], always=True))) == 2
 
     schema = "db int, table_name string, trigger_name string, function_name string, events array<string>, for_each string, timing string, dialect string"
-    same = (1, "t", "x", "f()", ["INSERT", "update"], "ROW", "BEFORE", "pgsql8")
-    other = (1, "t", "x", "F()", ["UPDATE", "insert"], "row", "before", "pgsql8")
+    same = (1, "t", "x", "f()", ["INSERT", "update"], "ROW", "BEFORE", "pgsql")
+    other = (1, "t", "x", "F()", ["UPDATE", "insert"], "row", "before", "pgsql")
     assert rows(catalog.drift_triggers(frame(schema, same), frame(schema, other), ["db"])) == []
     twice = (*same[:4], ["INSERT", "INSERT"], *same[5:])
     assert len(rows(catalog.drift_triggers(frame(schema, same), frame(schema, twice), ["db"]))) == 1
@@ -165,7 +165,7 @@ def test_views_functions_and_triggers(frame):
 def test_function_bodies_and_returned_types(frame):
     schema = ("db int, function_name string, params array<string>, dialect string, owner string, returns string, "
               "language string, body string, force boolean")
-    f = (1, "f", ["int"], "pgsql8", "me", "mood", "sql", "select 1", False)
+    f = (1, "f", ["int"], "pgsql", "me", "mood", "sql", "select 1", False)
     old = frame(schema, f, (1, "g", ["int"], *f[3:]), (1, "h", ["int"], *f[3:]))
     new = frame(schema, f, (1, "g", ["text"], *f[3:]), (1, "h", ["INT"], *f[3:7], "select 2", False))
     found = rows(catalog.drift_functions(old, new, ["db"]), "function_name", "params", "action", "stage")

@@ -1,10 +1,11 @@
-"""Every registered query against its oracle, on the smallest data."""
+"""Every registered query against its oracle, on the smallest data, and its plan:
+no pairing of everything with everything, no Python, no window."""
 
 import pytest
 
 import __spark_entry__ as entry
 from check import connect, oracle_result, spark_result
-from tests.conftest import SMALL
+from tests.conftest import SMALL, plan_of
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
@@ -16,7 +17,11 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    columns, found = spark_result(QUERIES[name](spark, SMALL))
+    df = QUERIES[name](spark, SMALL)
+    plan = plan_of(df)
+    for forbidden in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "EvalPython", "InPandas", "Window"):
+        assert forbidden not in plan
+    columns, found = spark_result(df)
     expected_columns, expected = oracle_result(duck, ORACLES[name])
     assert columns == expected_columns
     assert found == expected

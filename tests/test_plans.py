@@ -1,35 +1,11 @@
 """Plans that have to hold at any size."""
 
-import contextlib
-import io
 import re
 
-import pytest
-
-import __spark_entry__ as entry
 from rowtide.operators import diff
 from rowtide.plans.diff_queries import ORDER_KEY
 from rowtide.plans.fixtures import table
-from tests.conftest import SMALL
-
-QUERIES = entry.queries()
-
-
-def plan_of(df, mode="simple"):
-    text = io.StringIO()
-    with contextlib.redirect_stdout(text):
-        df.explain(mode)
-    return text.getvalue()
-
-
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_pairing_of_everything_and_no_python(spark, name):
-    plan = plan_of(QUERIES[name](spark, SMALL))
-    for forbidden in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython", "MapInPandas"):
-        assert forbidden not in plan, f"{forbidden} in the plan of {name}"
-    # No window and no sort that gathers all rows in one partition.
-    assert "Exchange SinglePartition" not in plan or "Window" not in plan
-
+from tests.conftest import SMALL, plan_of
 
 def orders(spark, where):
     return table(spark, SMALL, "orders").filter(where)
