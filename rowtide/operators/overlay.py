@@ -2,8 +2,7 @@
 
 Layer 0 is the base. A layer supplies the columns in its header, so whether a
 value counts is known from the header and never from the value being NULL.
-Each rule is one union of the layers and one aggregate on the key, combined
-before its shuffle.
+Layers are folded by one aggregate on the key, combined before its shuffle.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide.functions.cells import all_of
-from rowtide.operators.diff import TOMBSTONE
+from rowtide.operators.diff import TOMBSTONE, live_rows
 from rowtide.operators.pairing import align_names, find_column, require_unique
 
 LAYER = "_layer"
@@ -47,6 +46,34 @@ def _when_supplied(numbers: list[int], total: int) -> Column:
     return F.when(F.col(LAYER).isin(*numbers), F.col(LAYER))
 
 
+def _composite(layers: list[DataFrame], first: int, pk: list[str], tombstone: str) -> tuple[DataFrame, dict[str, str]]:
+    """The layers folded to one row per key, and for every value column the name
+    of the aggregate that holds its last supplier.
+
+    ``__top`` is the last layer that has the key, ``__buried`` the last one that
+    flagged it (-1 if none). Layers are numbered from ``first``.
+    """
+    stacked, supplied = stack_layers(layers, pk)
+    flag = next((c for c in supplied if c.lower() == tombstone.lower()), None)
+    layer = F.col(LAYER) + first
+    buried = F.lit(-1)
+    if flag is not None:
+        supplied.pop(flag)
+        buried = F.coalesce(F.max(F.when(F.coalesce(F.col(f"`{flag}`"), F.lit(False)), layer)), F.lit(-1))
+    values = [c for c in supplied if c not in pk]
+
+    # Columns with the same suppliers share one "last supplier" aggregate.
+    total = len(layers)
+    shared = {numbers: f"__last_{i}" for i, numbers in enumerate(dict.fromkeys(tuple(supplied[c]) for c in values))}
+    folded = stacked.groupBy(*pk).agg(
+        buried.alias("__buried"),
+        F.max(layer).alias("__top"),
+        *[F.max(_when_supplied(list(n), total) + first).alias(name) for n, name in shared.items()],
+        *[F.max_by(F.col(f"`{c}`"), _when_supplied(supplied[c], total)).alias(f"__v_{c}") for c in values],
+    )
+    return folded, {c: shared[tuple(supplied[c])] for c in values}
+
+
 def overlay_rows(
     layers: list[DataFrame], pk: list[str], tombstone: str = TOMBSTONE, on_duplicate: str = "fail"
 ) -> DataFrame:
@@ -54,33 +81,45 @@ def overlay_rows(
     keys are appended, and a tombstone removes what the layers below built. A
     key that a later layer brings back starts afresh.
 
-    Keys have to be unique within a layer; ``on_duplicate='trust'`` skips the
-    proof.
+    The upper layers are folded among themselves and meet the base in one left
+    join, so a large base need not move for small layers (Spark broadcasts them
+    if they are measured to be small). Keys the base lacks are found by its keys
+    alone. Keys have to be unique within a layer; ``on_duplicate='trust'`` skips
+    the proof.
     """
+    if not layers:
+        raise ValueError("at least one layer is needed")
+    layers = [align_names(d, pk) for d in layers]
     if on_duplicate == "fail":
-        layers = [require_unique(align_names(d, pk), pk, f"layer {i}") for i, d in enumerate(layers)]
-    stacked, supplied = stack_layers(layers, pk)
-    flags = supplied.pop(next((c for c in supplied if c.lower() == tombstone.lower()), tombstone), None)
-    if flags:
-        flagged = F.coalesce(F.col(f"`{find_column(stacked, tombstone)}`"), F.lit(False))
-        buried = F.coalesce(F.max(F.when(flagged, F.col(LAYER))), F.lit(-1))
-    else:
-        buried = F.lit(-1)
-    values = [c for c in supplied if c not in pk]
-    total = len(layers)
-
-    # Columns with the same suppliers share one "last supplier" aggregate.
-    last = {tuple(supplied[c]): f"__last_{i}" for i, c in enumerate(values)}
-    merged = stacked.groupBy(*pk).agg(
-        buried.alias("__buried"),
-        F.max(LAYER).alias("__top"),
-        *[F.max(_when_supplied(list(numbers), total)).alias(name) for numbers, name in last.items()],
-        *[F.max_by(F.col(f"`{c}`"), _when_supplied(supplied[c], total)).alias(c) for c in values],
-    )
-    alive = merged.filter(F.col("__top") > F.col("__buried"))
-    return alive.select(
-        *pk, *[F.when(F.col(last[tuple(supplied[c])]) > F.col("__buried"), F.col(f"`{c}`")).alias(c) for c in values]
-    )
+        layers = [require_unique(d, pk, f"layer {i}") for i, d in enumerate(layers)]
+    base = live_rows(layers[0], tombstone)
+    if len(layers) == 1:
+        return base
+    base_columns = [c for c in base.columns if c not in pk]
+    aligned = [align_names(d, base_columns) for d in layers[1:]]
+    upper, last = _composite(aligned, 1, pk, tombstone)
+    alive = F.col("__top") > F.col("__buried")
+    columns = [*base_columns, *[c for c in last if c not in base_columns]]
+
+    def from_upper(c: str) -> Column:
+        """Whether a layer above the last tombstone supplies the column."""
+        return F.col(last[c]) > F.col("__buried")
+
+    keys = upper.select(*[F.col(k).alias(f"__{k}") for k in pk], *[c for c in upper.columns if c not in pk])
+    same = all_of([F.col(k).eqNullSafe(F.col(f"__{k}")) for k in pk])
+    found = F.col("__top").isNotNull()
+    met = base.join(keys, same, "left").filter(~found | alive)
+    merged = []
+    for c in columns:
+        below = F.when(~found | (F.col("__buried") < 0), F.col(f"`{c}`")) if c in base_columns else F.lit(None)
+        merged.append((F.when(from_upper(c), F.col(f"`__v_{c}`")).otherwise(below) if c in last else below).alias(c))
+    appended = []
+    for c in columns:
+        absent = F.lit(None).cast(base.schema[c].dataType) if c in base_columns else F.lit(None)
+        appended.append((F.when(from_upper(c), F.col(f"`__v_{c}`")) if c in last else absent).alias(c))
+    known = base.select(*[F.col(k).alias(f"__{k}") for k in pk])
+    unseen = upper.filter(alive).join(known, same, "left_anti")
+    return met.select(*pk, *merged).unionByName(unseen.select(*pk, *appended))
 
 
 def overlay_overwrite(layers: list[DataFrame], key: list[str], attributes: list[str]) -> DataFrame:
