@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from rowtide.llm.common import free_name, slices, utf8, written
 
@@ -131,7 +132,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def word_count(texts: pa.Array) -> pa.Array:
     """Runs of anything but ASCII white space; null counts as none."""
     out = np.zeros(len(texts), np.int64)

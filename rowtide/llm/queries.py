@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm import compression, decontam, mixing, packing, sketch
+from rowtide.llm import boilerplate, collision, compression, decontam, licenses, mixing, packing, rankmerge, sketch, warc
+from rowtide.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +35,62 @@ def byte_pairs() -> dict:
     return {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "end_id": 50256, "pad_id": 50256}
 
 
+@query("op3_collision_neighbours")
+def collision_neighbours(spark, sf_dir):
+    """The 20 nearest by inner product of every twentieth vector."""
+    return collision.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op4_token_counts")
+def token_counts(spark, sf_dir):
+    """Tokens of every document in the word-end vocabulary."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = rankmerge.with_token_counts(docs, public_tokenizers.path("word_bpe_49k.json"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+OP5_SQL = r"""
+WITH t AS (
+  SELECT i, license, template, string_split(trim(regexp_replace(lower(body), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM (VALUES %s) v(i, license, template, body)
+), tg AS (
+  SELECT i, license, template, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS grams FROM t
+), d AS (
+  SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}\n]+', ' ', 'g') AS whole FROM documents
+), u AS (
+  SELECT doc_id,
+    list_filter(list_transform(string_split(whole, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines,
+    list_filter(list_transform(string_split_regex(whole, '\n *\n[ \n]*'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS parts FROM d
+), units AS (
+  SELECT doc_id, 'line' AS unit, unnest(lines) AS body, unnest(range(len(lines))) AS number FROM u
+  UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph' AS unit, unnest(parts) AS body, unnest(range(len(parts))) AS number FROM u) WHERE contains(body, chr(10))
+  UNION ALL SELECT doc_id, 'text', array_to_string(parts, ' '), 0 FROM u WHERE len(parts) > 1
+), words AS (
+  SELECT doc_id, unit, number, string_split_regex(body, '[ \n]+') AS w FROM units
+), ug AS (
+  SELECT doc_id, unit, number, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS grams FROM words WHERE len(w) > 1
+), scored AS (
+  SELECT doc_id, unit, number, license, template, 2.0::DOUBLE * len(list_intersect(ug.grams, tg.grams)) / (len(ug.grams) + len(tg.grams)) AS dice, i
+  FROM ug JOIN tg ON len(ug.grams) BETWEEN len(tg.grams) * (0.8 / 1.2) - 1e-9 AND len(tg.grams) * (1.2 / 0.8) + 1e-9
+)
+SELECT doc_id, unit, CAST(number AS INTEGER) AS number, license, template, dice FROM scored WHERE dice >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, unit, number ORDER BY dice DESC, i) = 1
+"""
+OP5_SQL = OP5_SQL.replace("%s", ", ".join(f"({i}, {_sql_text(a)}, {_sql_text(b)}, {_sql_text(c)})" for i, (a, b, c) in enumerate(licenses.TEMPLATES)))
+
+
+@query("op5_license_notices", OP5_SQL)
+def license_notices(spark, sf_dir):
+    """Every line, paragraph and text that is a licence notice."""
+    return licenses.notices(table(spark, sf_dir, "documents"))
+
+
 #: Sources by domain. Weights are targets of the mixture; what a source cannot give goes to its siblings.
 _LANGUAGES = {"en": 6.0, "de": 2.0, "fr": 2.0, "es": 1.0, mixing.OTHER: 1.0}
 
@@ -59,6 +116,35 @@ def mixture_levels() -> list:
     return [domain, F.col("lang"), source]
 
 
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
+), d AS (
+  SELECT page_id, octet_length(body) AS n, sha1(body) AS hex FROM p
+), digits AS (
+  SELECT page_id, n, hex, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    list_sum(list_transform(range(5), lambda k:
+      (((strpos('0123456789abcdef', substr(hex, 1 + (i * 5 + k) // 4, 1)) - 1) >> (3 - (i * 5 + k) % 4)) & 1) << (4 - k))) AS INTEGER), 1), '' ORDER BY i) AS code
+  FROM (SELECT page_id, n, hex, unnest(range(32)) AS i FROM d) GROUP BY page_id, n, hex
+), f AS (SELECT hex, max(page_id) AS first FROM d GROUP BY hex)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, code AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to, coalesce(url, '') AS url
+FROM digits JOIN f USING (hex) JOIN pages USING (page_id)
+"""
+
+
+@query("op1_capture_index", OP1_SQL)
+def capture_index(spark, sf_dir):
+    """Every page written to archives, found again through the capture index and read back."""
+    pages = table(spark, sf_dir, "pages")
+    path = scratch_path(spark, "warc")
+    warc.build_index(warc.write_archives(pages, path), path)
+    keys = pages.select(warc.url_key(F.coalesce(F.col("url"), F.lit(""))).alias("urlkey"))
+    records = warc.read_records(path, warc.lookup(spark, path, keys), payloads=False)
+    return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 @query("op2_pack_rows")
 def pack_rows(spark, sf_dir):
     """Every document as packed rows of 2048 ids."""
@@ -73,6 +159,12 @@ def mix_sources(spark, sf_dir):
     return taken.select("doc_id", "lang", "source", "copies")
 
 
+@query("op7_main_text")
+def main_text(spark, sf_dir):
+    """Main text of every page."""
+    return boilerplate.main_texts(table(spark, sf_dir, "pages"))
+
+
 @query("op8_compression_quality")
 def compression_quality(spark, sf_dir):
     """Each document's score for quality."""
