@@ -11,11 +11,11 @@ cost of about max(n, t log t) steps instead of n * t.
 Bands of coordinates give candidate buckets; links are confirmed on the full sets.
 Rows with equal sets are one class first, so copies never meet in pairs.
 
-Buckets are never expanded into all pairs of their members. In each round every bucket
-names one pivot, and members that are not yet joined to it are compared with it; what is
-joined already needs no further proof, because components are wanted. The rounds
-end when each bucket holds one component only, or when every cross pair left has been
-compared. A pivot with many members is compared in blocks.
+Buckets are never expanded into pairs of their members. First every bucket names one pivot, and
+members that are not yet joined to it are compared with it; what is joined already
+needs no further proof, because components are wanted. This joins most of each large
+group. What buckets still hold in several components is then compared block by block, between
+different components only, so that no link among candidates is lost.
 """
 
 from __future__ import annotations
@@ -32,12 +32,11 @@ from rowtide.llm.common import components, free_name, mixed, seeds, slices, unio
 
 BANDS, ROWS = 32, 4
 VALUE_BITS = 55
-#: Members compared with a pivot in one task's block.
-BLOCK = 128
+#: Documents of one block, which are compared with a pivot or with another block in one place.
+BLOCK = 192
 #: Rows in one group of comparisons, pivots included.
 GROUP = 400
-#: Pairs left over, as a share of the documents, that are compared without further pivots.
-REST_SHARE = 4
+#: Rounds with one pivot for each bucket, before what is left is compared in blocks.
 PIVOT_ROUNDS = 2
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -172,11 +171,7 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         shingler = Shingler(words)
-        raw = [x.encode() if x else b"" for x in group["text"]]
-        sets: list[np.ndarray] = []
-        for a, b in slices(raw):
-            values, bounds = shingler.sets(raw[a:b])
-            sets += np.split(values, bounds[1:-1])
+        sets = text_sets(shingler, group["text"])
         flags = group["is_pivot"].to_numpy()
         places = list(zip(group["pivot"], group["block"], strict=True))
         heads: dict[tuple, list[np.ndarray]] = {}
@@ -199,6 +194,106 @@ def close(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (small + large - both)
 
 
+def still_open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(bucket, doc_id, label) of the buckets that hold several components."""
+    if labels is None:
+        return members.withColumn("label", F.col("doc_id"))
+    named = members.join(labels, members.doc_id == labels.node, "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    several = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
+    return written(named.join(several, "bucket"), "open")
+
+
+def pivot_pairs(live: DataFrame, turn: int) -> DataFrame:
+    """Distinct pairs (a, pivot) of members of a bucket with one pivot, of another component."""
+    if turn:
+        heads = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "label")).alias("head"))
+        met = live.join(heads, "bucket").where("label <> head.label").select(F.col("doc_id").alias("a"), F.col("head.doc_id").alias("pivot"))
+    else:  # the smallest document of each bucket
+        heads = live.groupBy("bucket").agg(F.min("doc_id").alias("pivot"))
+        met = live.join(heads, "bucket").where("doc_id <> pivot").select(F.col("doc_id").alias("a"), "pivot")
+    # a document's least pivot: most of a group have the same one
+    return written(met.groupBy("a").agg(F.min("pivot").alias("pivot")), "pairs")
+
+
+def linked_in_blocks(live: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components of live buckets, enough of them to join all that are linked.
+
+    Documents that buckets connect form a cluster. A cluster is cut into blocks of about BLOCK
+    documents; a component larger than that has blocks of its own. Each pair of blocks, but not
+    two of the same component, is compared in one place, where texts are sent once and not
+    once for each pair of documents. Only documents of different components are compared.
+    """
+    heads = live.groupBy("bucket").agg(F.min("doc_id").alias("b"))
+    cluster = components(live.join(heads, "bucket").select(F.col("doc_id").alias("a"), "b").distinct())
+    docs = live.select("doc_id", "label").distinct().join(cluster, F.col("doc_id") == F.col("node")).select("doc_id", live["label"], cluster["label"].alias("cluster"))
+    docs = written(docs, "clusters")
+    sizes = docs.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    large = F.col("n") > BLOCK
+    small = sizes.where(~large).groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
+    plan = sizes.join(small, "cluster", "left").select(
+        "cluster",
+        "label",
+        F.when(large, F.col("label")).alias("own"),  # the component that a block is all of
+        F.when(large, F.ceil(F.col("n") / BLOCK)).otherwise(F.col("parts")).cast("int").alias("parts"),
+    )
+    part = F.pmod(F.xxhash64(F.when(F.col("own").isNotNull(), F.col("doc_id")).otherwise(F.col("label"))), F.col("parts"))
+    placed = docs.join(plan, ["cluster", "label"]).select("doc_id", "label", "cluster", F.concat_ws("/", "own", part).alias("block"))
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    blocks = plan.select("cluster", "own", "parts").distinct().select("cluster", "own", each)
+    blocks = blocks.select("cluster", "own", F.concat_ws("/", "own", "part").alias("block"))
+    other = blocks.select("cluster", F.col("own").alias("own_2"), F.col("block").alias("block_2"))
+    tasks = blocks.join(other, "cluster").where("block <= block_2 AND NOT coalesce(own = own_2, false)")
+    tasks = tasks.select("cluster", "block", "block_2", F.xxhash64("cluster", "block", "block_2").alias("task"))
+    left = placed.join(tasks, ["cluster", "block"]).select("doc_id", "label", "task", (F.col("block") == F.col("block_2")).alias("alone"), F.lit(0).alias("side"))
+    second = tasks.where("block <> block_2").select("cluster", F.col("block_2").alias("block"), "task")
+    right = placed.join(second, ["cluster", "block"]).select("doc_id", "label", "task", F.lit(False).alias("alone"), F.lit(1).alias("side"))
+    wanted = written(left.unionByName(right), "tasks")
+    groups = max(1, wanted.count() // GROUP)
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        shingler, found = Shingler(words), []
+        for _, task in group.groupby("task"):
+            found += spanning_links(shingler, task, percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    loaded = texts.join(wanted, "doc_id").withColumn("dealt", F.pmod("task", F.lit(groups)))
+    return loaded.groupBy("dealt").applyInPandas(compare, "a long, b long").distinct()
+
+
+def text_sets(shingler: Shingler, texts) -> list[np.ndarray]:
+    raw = [x.encode() if x else b"" for x in texts]
+    sets: list[np.ndarray] = []
+    for a, b in slices(raw):
+        values, bounds = shingler.sets(raw[a:b])
+        sets += np.split(values, bounds[1:-1])
+    return sets
+
+
+def spanning_links(shingler: Shingler, task: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between components over a task's rows; pairs that are joined by now are left out."""
+    task = task.drop_duplicates(["doc_id", "text"])
+    sets = text_sets(shingler, task["text"])
+    ids, labels, sides = task["doc_id"].tolist(), task["label"].tolist(), task["side"].tolist()
+    alone = bool(task["alone"].iloc[0])
+    parent: dict[int, int] = {x: x for x in labels}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    found = []
+    for n, i in enumerate(order):
+        for j in order[n + 1 :]:
+            if 100 * len(sets[i]) < percent * len(sets[j]):
+                break  # all later ones are larger still
+            if (alone or sides[i] != sides[j]) and (x := root(labels[i])) != (y := root(labels[j])) and close(sets[i], sets[j], percent):
+                parent[max(x, y)] = min(x, y)
+                found.append((ids[i], ids[j]))
+    return found
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -227,46 +322,15 @@ def near_duplicates(
     several = real.groupBy("doc_id").agg(F.min("set_a").alias("x"), F.max("set_a").alias("y")).where("x <> y").select(F.col("doc_id").alias("a"))
     links = [written(ties.join(several, "a", "left_semi"), "ties")]
     labels = components(links[0]) if links[0].limit(1).count() else None
-    documents = max(1, rows_.count())
-    tried: list[DataFrame] = []
-    turn = 0
-    while True:
-        if labels is None:
-            live = members.withColumn("label", F.col("doc_id"))
+    for turn in range(PIVOT_ROUNDS + 1):
+        live = still_open(members, labels)
+        members = live.select("bucket", "doc_id")
+        if turn == PIVOT_ROUNDS:
+            found = linked_in_blocks(live, texts, words, percent)
         else:
-            named = members.join(labels, members.doc_id == labels.node, "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-            mixed_ = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-            live = written(named.join(mixed_, "bucket"), "live")
-            members = live.select("bucket", "doc_id")
-        last = False
-        if turn:
-            sums = (
-                live.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
-            )
-            rest = sums.agg(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-            if not rest:
-                break
-            last = turn >= PIVOT_ROUNDS and rest <= REST_SHARE * documents
-        if last:  # each cross pair of the few open buckets
-            other = live.select("bucket", F.col("doc_id").alias("pivot"), F.col("label").alias("theirs"))
-            pairs = live.join(other, "bucket").where("label < theirs").select(F.col("doc_id").alias("a"), "pivot")
-        elif turn:
-            heads = live.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)), "doc_id", "label")).alias("head"))
-            pairs = live.join(heads, "bucket").where("label <> head.label").select(F.col("doc_id").alias("a"), F.col("head.doc_id").alias("pivot"))
-        else:  # the smallest document met in any bucket: most of a group has the same
-            heads = live.groupBy("bucket").agg(F.min("doc_id").alias("pivot"))
-            met = live.join(heads, "bucket").where("doc_id <> pivot")
-            pairs = met.groupBy(F.col("doc_id").alias("a")).agg(F.min("pivot").alias("pivot"))
-        pairs = pairs.distinct().withColumns({"low": F.least("a", "pivot"), "high": F.greatest("a", "pivot")})
-        if tried:
-            pairs = pairs.join(union_all(tried), ["low", "high"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried.append(pairs.select("low", "high"))
-        links.append(written(linked_pairs(pairs.select("a", "pivot"), texts, words, percent), "links"))
+            found = linked_pairs(pivot_pairs(live, turn), texts, words, percent)
+        links.append(written(found, "links"))
         labels = components(union_all(links))
-        turn += 1
-        if last:
-            break
     if labels is not None:
         classes = classes.join(labels, classes.rep == labels.node, "left").select(*key, F.coalesce("label", "rep").alias("component_id"))
     else:
