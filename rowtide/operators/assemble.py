@@ -2,8 +2,9 @@
 
 The lists gathered here are the columns, dimensions or events of one object,
 which the source database bounds: a table has at most 1,600 columns, a trigger
-four events. A row outside these bounds stops the job, and rows are made
-distinct on their way, so no list can grow with the data.
+four events. Rows outside these bounds are left out of the lists, which so cannot
+grow with the data, and :func:`rows_out_of_bounds` and :func:`unknown_events`
+report them; one faulty row of one database does not hold up the others.
 """
 
 from __future__ import annotations
@@ -30,14 +31,28 @@ MAX_COLUMNS = 1600
 
 
 def ordered(position: str, *values: str) -> list[Column]:
-    """The values in order of position, as parallel arrays."""
-    excess = F.raise_error(F.concat(F.lit("position out of bounds: "), F.col(position).cast("string")))
-    place = F.when(F.col(position) <= MAX_COLUMNS, F.col(position)).otherwise(excess)
-    rows = F.array_sort(F.collect_set(F.struct(place.alias(position), *values)))
+    """The values in order of position, as parallel arrays, without rows out of bounds."""
+    rows = F.array_sort(F.collect_set(F.when(~_out_of_bounds(position), F.struct(position, *values))))
     # Taking a field of an array of structs gives the array of that field.
     return [rows[v].alias(v) for v in values]
 
 
+def _out_of_bounds(position: str) -> Column:
+    return F.coalesce((F.col(position) > MAX_COLUMNS) | (F.col(position) < -MAX_COLUMNS), F.lit(False))
+
+
+def rows_out_of_bounds(rows: DataFrame, position: str = "position") -> DataFrame:
+    """Catalog rows whose position no table can have, with an ``error``."""
+    text = F.concat(F.lit("position out of bounds: "), F.col(position).cast("string"))
+    return rows.filter(_out_of_bounds(position)).withColumn("error", text)
+
+
+def unknown_events(rows: DataFrame) -> DataFrame:
+    """Trigger rows with an event the database does not have, with an ``error``."""
+    known = F.coalesce(F.upper("event").isin(*TRIGGER_EVENTS), F.lit(False))
+    return rows.filter(~known).withColumn("error", F.concat(F.lit("unknown trigger event: "), F.coalesce("event", F.lit("none"))))
+
+
 def _rule(code: Column) -> Column:
     return F.create_map(*[F.lit(x) for pair in FOREIGN_KEY_RULES.items() for x in pair])[F.lower(code)]
 
@@ -159,8 +174,7 @@ def assemble_triggers(rows: DataFrame, scope: list[str]) -> DataFrame:
     """One trigger with its sorted events from one row per event."""
     statement = F.trim(F.regexp_replace("statement", r"(?i)execute\s+(procedure|function)", ""))
     event = F.upper("event")
-    unknown = F.raise_error(F.concat(F.lit("unknown trigger event: "), F.col("event")))
-    event = F.when(event.isin(*TRIGGER_EVENTS), event).otherwise(unknown)
+    event = F.when(event.isin(*TRIGGER_EVENTS), event)
     return rows.groupBy(
         *scope, "table_name", "trigger_name", "timing", "orientation", statement.alias("function_call")
     ).agg(F.array_sort(F.collect_set(event)).alias("events"))
@@ -190,15 +204,42 @@ def collapse_serials(columns: DataFrame, sequences: DataFrame, scope: list[str])
             for c in columns.columns
         ]
     )
-    # The sequence name stands between quotes in the default.
+    # The sequence stands between quotes in the default, with or without its schema.
+    quoted = F.regexp_extract("dflt", r"(?i)nextval\(\s*'([^']+)'", 1)
     owned = columns.filter(generated).select(
         *[F.col(s).alias(f"__{s}") for s in scope],
-        F.regexp_extract("dflt", r"nextval\('\"?([^'\"]+)", 1).alias("__sequence"),
+        F.replace(F.regexp_extract(quoted, r'("[^"]+"|[^".]+)$', 1), F.lit('"'), F.lit("")).alias("__sequence"),
     ).distinct()
     match = all_of([F.col(s) == F.col(f"__{s}") for s in scope] + [F.col("sequence_name") == F.col("__sequence")])
     return collapsed, sequences.join(owned, match, "left_anti")
 
 
+# Types by what their modifier holds.
+LENGTH_TYPES = ("varchar", "character varying", "bpchar", "char", "character")
+SCALED_TYPES = ("numeric", "decimal")
+MODIFIER_HEADER = 4
+
+
+def formatted_type(name: Column, modifier: Column) -> Column:
+    """A type with its modifier written out, as the catalog packs it.
+
+    Lengths are kept with 4 added, a precision and scale as one number with 4
+    added, times and bit strings as they are. A negative modifier means none.
+    """
+    packed = modifier - MODIFIER_HEADER
+    scale = packed.bitwiseAND(F.lit(0x7FF))
+    # The scale is a signed number of 11 bits.
+    scale = F.when(scale >= 1024, scale - 2048).otherwise(scale)
+    precision = F.shiftright(packed, 16).bitwiseAND(F.lit(0xFFFF))
+    kind = F.lower(name)
+    size = (
+        F.when(kind.isin(*LENGTH_TYPES), packed.cast("string"))
+        .when(kind.isin(*SCALED_TYPES), F.concat_ws(",", precision.cast("string"), scale.cast("string")))
+        .otherwise(modifier.cast("string"))
+    )
+    return F.when(modifier >= 0, F.concat(name, F.lit("("), size, F.lit(")"))).otherwise(name)
+
+
 def assemble_columns(
     tables: DataFrame, columns: DataFrame, types: DataFrame, defaults: DataFrame, descriptions: DataFrame, scope: list[str]
 ) -> DataFrame:
@@ -211,9 +252,7 @@ def assemble_columns(
     ``dflt`` or ``description``.
     """
     present = columns.filter((F.col("position") > 0) & ~F.col("dropped"))
-    sized = F.when(
-        F.col("type_mod") >= 0, F.concat(F.col("type_name"), F.lit("("), F.col("type_mod").cast("string"), F.lit(")"))
-    ).otherwise(F.col("type_name"))
+    sized = formatted_type(F.col("type_name"), F.col("type_mod"))
     place = [*scope, "table_id", "position"]
     return (
         present.join(tables, [*scope, "table_id"])

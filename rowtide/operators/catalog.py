@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowtide.functions.cells import texts_present
+from rowtide.functions.cells import all_of, texts_present
 from rowtide.functions.text import normalise_check, normalise_query, sorted_lower
 from rowtide.operators.pairing import IN_NEW, IN_OLD, NEW_COPIES, OLD_COPIES, new_side, old_side, pair_states
 
@@ -196,21 +196,28 @@ def drift_columns(old: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame
     default and nullability.
 
     Rows have scope, table_name, column_name, data_type, nullable, dflt and
-    (new, optional) old_column_name. A renamed column also gets its other
-    changes. Required columns are filled in stage 1 and required in stage 3.
+    (new, optional) old_column_name and old_table_name: columns of a renamed
+    table are compared with those it had under its former name. A type may be
+    NULL (a column that takes that of its reference); with ``resolved_type`` on
+    both sides (``graph.terminal_reference``) that one is compared. A renamed
+    column also gets its other changes. Required columns are filled in stage 1
+    and required in stage 3.
     """
     key = [*scope, "table_key", "column_key"]
     former = F.col("old_column_name") if "old_column_name" in new.columns else F.lit(None).cast("string")
+    former_table = F.col("old_table_name") if "old_table_name" in new.columns else F.lit(None).cast("string")
+    resolved = "resolved_type" in old.columns and "resolved_type" in new.columns
+    kind = F.coalesce("resolved_type", "data_type") if resolved else F.col("data_type")
 
-    def side(df: DataFrame, name: Column, declared: Column) -> DataFrame:
+    def side(df: DataFrame, of_table: Column, name: Column, declared: Column) -> DataFrame:
         return df.select(
-            *scope, F.lower("table_name").alias("table_key"), F.lower(name).alias("column_key"), "table_name",
-            "column_name", "data_type", "nullable", "dflt", declared.alias("declared"),
+            *scope, F.lower(of_table).alias("table_key"), F.lower(name).alias("column_key"), "table_name",
+            "column_name", kind.alias("data_type"), "nullable", "dflt", declared.alias("declared"),
         )
 
     pairs = pair_states(
-        side(old, F.col("column_name"), F.lit(False)),
-        side(new, F.coalesce(former, F.col("column_name")), former.isNotNull()),
+        side(old, F.col("table_name"), F.col("column_name"), F.lit(False)),
+        side(new, F.coalesce(former_table, F.col("table_name")), F.coalesce(former, F.col("column_name")), former.isNotNull()),
         key,
         on_duplicate="flag",
     )
@@ -223,21 +230,23 @@ def drift_columns(old: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame
         return F.when(condition, F.struct(F.lit(action).alias("action"), F.lit(stage).alias("stage")))
 
     add = ~F.col(IN_OLD) & ~new_side("declared")
-    fill = new_side("dflt").isNotNull() & ~new_side("nullable")
+    # A column whose nullability is not stated takes NULLs.
+    was_free, is_free = F.coalesce(old_side("nullable"), F.lit(True)), F.coalesce(new_side("nullable"), F.lit(True))
+    fill = new_side("dflt").isNotNull() & ~is_free
     steps = F.array(
         step(unclear, AMBIGUOUS, 1),
         step(~unclear & add, "add", 1),
         step(~unclear & add & fill, "fill default", 1),
-        step(~unclear & add & ~new_side("nullable"), "set not null", 3),
+        step(~unclear & add & ~is_free, "set not null", 3),
         step(~unclear & lost_name, "invalid rename", 1),
         step(~unclear & ~F.col(IN_NEW), DROP, 3),
         step(both & new_side("declared"), "rename", 1),
-        step(both & (old_side("data_type") != new_side("data_type")), "alter type", 1),
+        step(both & ~old_side("data_type").eqNullSafe(new_side("data_type")), "alter type", 1),
         step(both & default_differs & new_side("dflt").isNull(), "drop default", 1),
         step(both & default_differs & new_side("dflt").isNotNull(), "set default", 1),
-        step(both & ~old_side("nullable") & new_side("nullable"), "drop not null", 1),
-        step(both & old_side("nullable") & fill, "fill default", 1),
-        step(both & old_side("nullable") & ~new_side("nullable"), "set not null", 3),
+        step(both & ~was_free & is_free, "drop not null", 1),
+        step(both & was_free & fill, "fill default", 1),
+        step(both & was_free & ~is_free, "set not null", 3),
     )
     # The steps that do not apply are NULL and go after the explode.
     return (
@@ -252,6 +261,20 @@ def drift_columns(old: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame
     )
 
 
+def follow_table_renames(old: DataFrame, tables: DataFrame, scope: list[str]) -> DataFrame:
+    """Old catalog rows of any kind under the new names of their tables, so that
+    what did not change in a renamed table shows no drift. ``tables`` has scope,
+    table_name and old_table_name, as :func:`drift_tables` takes them."""
+    renamed = tables.filter(F.col("old_table_name").isNotNull()).select(
+        *[F.col(s).alias(f"__{s}") for s in scope],
+        F.lower("old_table_name").alias("__former"),
+        F.col("table_name").alias("__current"),
+    )
+    match = all_of([F.col(s) == F.col(f"__{s}") for s in scope] + [F.lower("table_name") == F.col("__former")])
+    current = F.coalesce("__current", "table_name").alias("table_name")
+    return old.join(renamed, match, "left").select(*[current if c == "table_name" else F.col(c) for c in old.columns])
+
+
 def drift_constraints(old: DataFrame, new: DataFrame, scope: list[str]) -> DataFrame:
     """Constraints by table and name: kind, text, foreign key actions, ordered
     columns, referenced table, referenced columns and their types."""

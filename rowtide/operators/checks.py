@@ -8,14 +8,16 @@ them over one table share one scan in :func:`constraint_report`.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowtide.functions.cells import all_of, any_of, texts_present
 from rowtide.functions.text import strip_check
 from rowtide.functions.types import length_limit, spark_type
-from rowtide.operators.graph import dependency_order
+from rowtide.operators.diff import JSON_OPTIONS
 from rowtide.operators.pairing import align_names
+from rowtide.session import cut_lineage
 from rowtide.spec import DomainSpec, EnumSpec, ForeignKeySpec, TableSpec, UniqueSpec
 
 PRIMARY, FOREIGN, OTHER = "primary", "foreign", "other"
@@ -322,31 +324,143 @@ def propagate_update(
     )
 
 
+@dataclass(frozen=True)
+class DeleteEffects:
+    """What deleting rows does to all tables, by table name.
+
+    ``deleted`` holds the keys that go, ``blocked`` the keys that would have gone
+    but have to stay (with ``seed`` true where the delete was asked for), and
+    ``updated`` the remaining rows whose reference is set to NULL or to its
+    default, as :func:`propagate_delete` gives them.
+    """
+
+    deleted: dict[str, DataFrame]
+    blocked: dict[str, DataFrame]
+    updated: dict[str, DataFrame]
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return union
+
+
+def delete_effects(
+    seeds: dict[str, DataFrame],
+    tables: dict[str, DataFrame],
+    specs: dict[str, TableSpec],
+    defaults: dict[str, dict] | None = None,
+) -> DeleteEffects:
+    """Carries deletes through cascading keys of any shape: chains, trees that
+    refer to themselves, tables that refer to each other.
+
+    A row that a key with RESTRICT still refers to stays; so does one that a row
+    that stays refers to with NO ACTION. What stays keeps every row above it
+    whose delete would have taken it along, and what only these would have taken
+    along stays too. Cascades go on in rounds over the rows last reached, a round
+    for each level; links between parent and child are kept as rows.
+    """
+    pks = {n: list(specs[n].primary_key) for n in tables}
+
+    def nodes(df: DataFrame, name: str, prefix: str = "") -> list[Column]:
+        key = F.to_json(F.struct(*[F.col(f"{prefix}{k}").alias(k) for k in pks[name]]), JSON_OPTIONS)
+        return [F.lit(name).alias("tbl"), key.alias("node")]
+
+    def keys_of(found: DataFrame, name: str) -> DataFrame:
+        kind = T.StructType([tables[name].schema[k] for k in pks[name]])
+        return found.filter(F.col("tbl") == name).select(F.from_json("node", kind, JSON_OPTIONS).alias("k")).select("k.*")
+
+    def rows_of(found: DataFrame, name: str) -> DataFrame:
+        wanted = keys_of(found, name).select(*[F.col(k).alias(f"__k_{k}") for k in pks[name]])
+        return tables[name].join(wanted, all_of([F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in pks[name]]), "left_semi")
+
+    def references(found: DataFrame, actions: tuple[str, ...]) -> DataFrame | None:
+        """(parent tbl, parent node, tbl, node) of rows that refer to found ones by such keys."""
+        parts = []
+        for child, spec in specs.items():
+            if child not in tables:
+                continue
+            for fk in spec.foreign_keys:
+                if fk.ref_table not in tables or _check_action(fk.on_delete) not in actions:
+                    continue
+                parent = rows_of(found, fk.ref_table)
+                p_tbl, p_node = nodes(parent, fk.ref_table)
+                target = parent.select(
+                    p_tbl.alias("p_tbl"), p_node.alias("p_node"), *[F.col(t).alias(f"__p{i}") for i, t in enumerate(fk.target_columns)]
+                )
+                match = all_of([F.col(c) == F.col(f"__p{i}") for i, c in enumerate(fk.columns)])
+                hit = tables[child].join(target, match)
+                parts.append(hit.select("p_tbl", "p_node", *nodes(hit, child)))
+        return _union(parts).distinct() if parts else None
+
+    node = ["tbl", "node"]
+    parent = [F.col("p_tbl").alias("tbl"), F.col("p_node").alias("node")]
+    start = [rows.select(*nodes(rows, n)) for n, rows in seeds.items()]
+    if not start:
+        return DeleteEffects({}, {}, {})
+    asked = cut_lineage(_union(start).distinct())
+    reached, links, front = asked, [], asked
+    while not front.isEmpty():
+        taken = references(front, ("CASCADE",))
+        if taken is None:
+            break
+        taken = cut_lineage(taken)
+        links.append(taken)
+        front = cut_lineage(taken.select(*node).distinct().join(reached, node, "left_anti"))
+        reached = cut_lineage(reached.unionByName(front))
+    down = cut_lineage(_union(links)) if links else None
+
+    hard = references(reached, ("RESTRICT",))
+    held = cut_lineage(hard.select(*parent).distinct()) if hard is not None else reached.limit(0)
+    soft = references(reached, ("NO ACTION",))
+    soft = cut_lineage(soft) if soft is not None else None
+    gone = reached
+    while True:
+        if soft is not None:
+            stays = soft.join(gone, node, "left_anti").select(*parent)
+            held = cut_lineage(held.unionByName(stays).distinct())
+        front = held
+        while down is not None and not front.isEmpty():
+            above = down.join(front, node, "left_semi").select(*parent).distinct()
+            front = cut_lineage(above.join(held, node, "left_anti"))
+            held = cut_lineage(held.unionByName(front))
+        front = cut_lineage(asked.join(held, node, "left_anti"))
+        left = front
+        while down is not None and not front.isEmpty():
+            parents = front.select(F.col("tbl").alias("p_tbl"), F.col("node").alias("p_node"))
+            below = down.join(parents, ["p_tbl", "p_node"], "left_semi").select(*node).distinct()
+            front = cut_lineage(below.join(left, node, "left_anti"))
+            left = cut_lineage(left.unionByName(front))
+        before, gone = gone, left
+        if soft is None or before.join(gone, node, "left_anti").isEmpty():
+            break
+
+    stuck = cut_lineage(reached.join(gone, node, "left_anti"))
+    deleted = {n: keys_of(gone, n) for n in tables}
+    blocked = {}
+    for n in tables:
+        wanted = keys_of(asked, n).select(*[F.col(k).alias(f"__a_{k}") for k in pks[n]], F.lit(True).alias("__asked"))
+        match = all_of([F.col(k).eqNullSafe(F.col(f"__a_{k}")) for k in pks[n]])
+        blocked[n] = keys_of(stuck, n).join(wanted, match, "left").select(*pks[n], F.coalesce("__asked", F.lit(False)).alias("seed"))
+    updated = {}
+    for child, spec in specs.items():
+        for fk in spec.foreign_keys if child in tables else ():
+            if fk.ref_table in tables and _check_action(fk.on_delete) in ("SET NULL", "SET DEFAULT"):
+                pk = pks[child]
+                rest = tables[child].join(
+                    deleted[child].select(*[F.col(k).alias(f"__k_{k}") for k in pk]),
+                    all_of([F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in pk]),
+                    "left_anti",
+                )
+                effect = propagate_delete(rows_of(gone, fk.ref_table), rest, fk, pk, (defaults or {}).get(child))
+                updated[child] = updated[child].unionByName(effect, allowMissingColumns=True) if child in updated else effect
+    return DeleteEffects(deleted, blocked, updated)
+
+
 def propagate_deletes(
     seeds: dict[str, DataFrame], tables: dict[str, DataFrame], specs: dict[str, TableSpec]
 ) -> dict[str, DataFrame]:
-    """Keys that disappear from each table once cascades have run their course.
-
-    Tables are visited once, parents first. A cascading key that refers to its
-    own table has no bounded number of steps and is refused.
-    """
-    edges = {n: {f.ref_table for f in s.foreign_keys if f.on_delete.upper() == "CASCADE"} for n, s in specs.items()}
-    gone: dict[str, DataFrame] = {}
-    for name in dependency_order(edges):
-        if name not in tables:
-            continue
-        spec = specs[name]
-        pk = list(spec.primary_key)
-        parts = [seeds[name].select(*pk)] if name in seeds else []
-        for fk in spec.foreign_keys:
-            if fk.on_delete.upper() == "CASCADE" and fk.ref_table in gone:
-                # The parent's lost rows carry its key; the referenced columns are looked up in the table.
-                parent_pk = list(specs[fk.ref_table].primary_key)
-                lost = tables[fk.ref_table].join(gone[fk.ref_table], parent_pk, "left_semi")
-                parts.append(propagate_delete(lost, tables[name], fk, pk).select(*pk))
-        if parts:
-            union = parts[0]
-            for part in parts[1:]:
-                union = union.unionByName(part)
-            gone[name] = union.distinct()
-    return gone
+    """Keys that disappear from each table once cascades have run their course
+    (see :func:`delete_effects`, which also tells what is blocked)."""
+    return delete_effects(seeds, tables, specs).deleted

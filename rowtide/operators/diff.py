@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowtide.functions.cells import TYPED, all_of, any_of, cell_equal, texts_present
+from rowtide.operators.graph import dependency_order
 from rowtide.operators.pairing import (
     IN_NEW,
     IN_OLD,
@@ -128,9 +129,17 @@ def compare_rows(
     )
 
 
+def _changed_pairs(old: DataFrame, new: DataFrame, pk: list[str], mode: str, options: dict) -> DataFrame:
+    """Pairs that differ. A repeated key has no single pair, and a result without
+    an op column has no place to say so: ``change_set`` reports such keys."""
+    if options.get("on_duplicate") == "flag":
+        raise ValueError("repeated keys can only be flagged in a change set (change_set with on_duplicate='flag')")
+    return compare_rows(old, new, pk, mode=mode, how="inner", **options).filter(F.col("op") == UPDATE)
+
+
 def rows_changed(old: DataFrame, new: DataFrame, pk: list[str], mode: str = TYPED, **options) -> DataFrame:
     """New rows that match an old key and differ in at least one new column."""
-    pairs = compare_rows(old, new, pk, mode=mode, how="inner", **options).filter(F.col("op") == UPDATE)
+    pairs = _changed_pairs(old, new, pk, mode, options)
     columns = _value_columns(new, pk, options.get("tombstone", TOMBSTONE))
     return pairs.select(*pk, *[new_side(c).alias(c) for c in columns])
 
@@ -153,7 +162,7 @@ def row_equal(old: DataFrame, new: DataFrame, pk: list[str], mode: str = TYPED,
 
 def changed_columns(old: DataFrame, new: DataFrame, pk: list[str], mode: str = TYPED, **options) -> DataFrame:
     """Key, changed column names, and new values of the changed columns only."""
-    pairs = compare_rows(old, new, pk, mode=mode, how="inner", **options).filter(F.col("op") == UPDATE)
+    pairs = _changed_pairs(old, new, pk, mode, options)
     columns = _value_columns(new, pk, options.get("tombstone", TOMBSTONE))
     values = [F.when(F.array_contains("changed", c), new_side(c)).alias(c) for c in columns]
     return pairs.select(*pk, "changed", *values)
@@ -161,7 +170,7 @@ def changed_columns(old: DataFrame, new: DataFrame, pk: list[str], mode: str = T
 
 def cell_changes(old: DataFrame, new: DataFrame, pk: list[str], mode: str = TYPED, **options) -> DataFrame:
     """One row per changed cell: key, column name, old text, new text."""
-    pairs = compare_rows(old, new, pk, mode=mode, how="inner", **options).filter(F.col("op") == UPDATE)
+    pairs = _changed_pairs(old, new, pk, mode, options)
     known = {c[len("__old_") :].lower(): c for c in pairs.columns if c.startswith("__old_")}
     cells = []  # one struct per column, NULL where the cell did not change
     for c in _value_columns(new, pk, options.get("tombstone", TOMBSTONE)):
@@ -300,6 +309,57 @@ def diff_table_renames(old: dict, new: dict, specs: dict[str, TableSpec], **opti
     )
 
 
+# Times keep their microseconds, and NULL fields stay in the text.
+JSON_OPTIONS = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+SORT_KEY = "sort_key"
+
+
+def sortable_text(value: Column, kind: T.DataType) -> Column:
+    """Text that sorts as the value does; NULL sorts first."""
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        text = F.lpad((value.cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    elif isinstance(kind, T.DecimalType):
+        wide = T.DecimalType(38, kind.scale)
+        shifted = value.cast(wide) + F.lit("1" + "0" * (kind.precision - kind.scale)).cast(wide)
+        text = F.lpad(shifted.cast("string"), kind.precision + 2, "0")
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return sortable_text(F.unix_micros(value.cast("timestamp")), T.LongType())
+    elif isinstance(kind, T.DateType):
+        return sortable_text(F.unix_date(value), T.IntegerType())
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        # Scaled to whole numbers where that is exact; the sign decides first.
+        size = F.format_string("%400.80f", F.abs(value))
+        flipped = F.translate(size, " 0123456789", "99876543210")
+        text = F.when(value < 0, F.concat(F.lit("0"), flipped)).otherwise(F.concat(F.lit("1"), F.translate(size, " ", "0")))
+        far = F.lit(float("inf"))
+        text = F.when(F.isnan(value), F.lit("2")).when(value == far, F.lit("1~")).when(value == -far, F.lit("0")).otherwise(text)
+    else:
+        text = value.cast("string")
+    return F.when(value.isNull(), F.lit("")).otherwise(F.concat(F.lit("+"), text))
+
+
+def sort_key(key: Column, kind: T.StructType) -> Column:
+    """The fields of a key as an array that sorts as the key does, whatever its type."""
+    return F.array(*[sortable_text(key[f.name], f.dataType) for f in kind.fields])
+
+
+def foreign_key_ranks(specs: dict[str, TableSpec]) -> dict[str, int]:
+    """Rank of each table: 0 if it refers to no other, else one above the highest
+    it refers to. Tables that refer to each other in a circle are an error."""
+    refers = {}
+    for name, spec in specs.items():
+        targets = {fk.ref_table if "." in fk.ref_table else f"{spec.schema}.{fk.ref_table}" for fk in spec.foreign_keys}
+        refers[name] = {t for t in targets if t in specs and t != name}
+    ranks: dict[str, int] = {}
+    for name in dependency_order(refers):
+        ranks[name] = max((ranks[t] + 1 for t in refers[name]), default=0)
+    return ranks
+
+
 def diff_many_tables(
     old: dict[str, DataFrame],
     new: dict[str, DataFrame],
@@ -312,19 +372,22 @@ def diff_many_tables(
 ) -> DataFrame:
     """One change set for the union of both states' tables.
 
-    Row contents become JSON text so that tables of any shape share one schema.
-    ``tables`` restricts the work; a table left out is never read. A table in
+    Row contents become JSON text, NULL fields included, so that tables of any
+    shape share one schema; ``sort_key`` holds the key in its own order, and
+    :func:`table_changes` gives back one table's typed changes. Without ``ranks``
+    they follow from the specs' foreign keys. ``tables`` restricts the work; a table left out is never read. A table in
     only one state yields all its rows as inserts or deletes. ``options`` go to
     every comparison, ``table_options`` to that of one table.
     """
     wanted = None if tables is None else {t if "." in t else f"public.{t}" for t in tables}
+    ranks = foreign_key_ranks(specs) if ranks is None else ranks
     parts = []
     for name, old_name, new_name in match_tables(old, new, specs):
         if wanted is not None and name not in wanted:
             continue
         spec = specs[name]
         pk = list(spec.primary_key)
-        rank = (ranks or {}).get(name, 0)
+        rank = ranks.get(name, 0)
         if old_name is None:
             part = fresh_rows(new[new_name], pk, table=name, dep_rank=rank)
         elif new_name is None:
@@ -338,10 +401,11 @@ def diff_many_tables(
                 "stage",
                 "dep_rank",
                 "op",
-                F.to_json("key").alias("key"),
+                F.to_json("key", JSON_OPTIONS).alias("key"),
                 "changed",
-                F.to_json("before").alias("before"),
-                F.to_json("after").alias("after"),
+                F.to_json("before", JSON_OPTIONS).alias("before"),
+                F.to_json("after", JSON_OPTIONS).alias("after"),
+                sort_key(F.col("key"), part.schema["key"].dataType).alias(SORT_KEY),
             )
         )
     if not parts:
@@ -352,6 +416,30 @@ def diff_many_tables(
     return union
 
 
+def _json_type(state: DataFrame | None, names: list[str]) -> T.StructType:
+    fields = {} if state is None else {f.name.lower(): f for f in state.schema.fields}
+    return T.StructType([T.StructField(n, fields[n.lower()].dataType) for n in names if n.lower() in fields])
+
+
+def table_changes(
+    changes: DataFrame, table: str, pk: list[str], old: DataFrame | None, new: DataFrame | None, tombstone: str = TOMBSTONE
+) -> DataFrame:
+    """Typed change set of one table out of that of many.
+
+    ``old`` and ``new`` only lend their schemas; either may be missing. The
+    result is what :func:`change_set` gives for the table.
+    """
+    if old is None and new is None:
+        raise ValueError("the schema of a state is needed")
+    kinds = {"key": _json_type(new if new is not None else old, pk)}
+    for side, state in (("before", old), ("after", new)):
+        names = [] if state is None else _value_columns(align_names(state, pk), pk, tombstone)
+        kinds[side] = _json_type(state, names) if names else T.StructType([T.StructField("_", T.BooleanType())])
+    own = changes.filter(F.col("table") == table)
+    typed = [F.from_json(c, kind, JSON_OPTIONS).alias(c) if (kind := kinds.get(c)) else F.col(c) for c in own.columns]
+    return own.select(*[c for c, name in zip(typed, own.columns) if name != SORT_KEY])
+
+
 def fresh_rows(state: DataFrame, pk: list[str], *, table: str = "", dep_rank: int = 0, tombstone: str = TOMBSTONE) -> DataFrame:
     """Change set from nothing to a state: every live row is an insert. A plain
     projection; nothing is joined or moved."""
@@ -374,9 +462,9 @@ def fresh_rows(state: DataFrame, pk: list[str], *, table: str = "", dep_rank: in
 # -- order, summary, application ----------------------------------------------
 
 
-def order_columns(ranks: dict[str, int] | None = None) -> list[Column]:
+def order_columns(ranks: dict[str, int] | None = None, key: str = "key") -> list[Column]:
     """Sort order of a change set: deletes against dependency order, then
-    updates before inserts along it."""
+    updates before inserts along it, each table by ``key``."""
     rank = F.col("dep_rank")
     if ranks:
         known = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])
@@ -387,13 +475,18 @@ def order_columns(ranks: dict[str, int] | None = None) -> list[Column]:
         F.when(F.col("op") == DELETE, -rank).otherwise(rank),
         F.col("table"),
         op_rank,
-        F.col("key"),
+        F.col(key),
     ]
 
 
+def run_order(changes: DataFrame, ranks: dict[str, int] | None = None) -> list[Column]:
+    """Sort order of a change set of one table or of many."""
+    return order_columns(ranks, SORT_KEY if SORT_KEY in changes.columns else "key")
+
+
 def ordered_change_set(changes: DataFrame, ranks: dict[str, int] | None = None) -> DataFrame:
     """Change set in the order in which it has to be run (a range sort)."""
-    return changes.orderBy(*order_columns(ranks))
+    return changes.orderBy(*run_order(changes, ranks))
 
 
 def diff_summary(changes: DataFrame, per_column: bool = False) -> DataFrame:
@@ -442,6 +535,25 @@ def apply_change_set(state: DataFrame, changes: DataFrame, pk: list[str], tombst
     return touched.select(*[F.col(f"`{k}`") for k in pk], *kept).unionByName(inserts)
 
 
+def apply_many(
+    states: dict[str, DataFrame], changes: DataFrame, specs: dict[str, TableSpec], new: dict[str, DataFrame]
+) -> dict[str, DataFrame]:
+    """Every table after a change set of many tables, under its new name.
+
+    ``new`` lends the schemas of the tables there are afterwards; tables without
+    one are gone. Renamed tables start from their former selves.
+    """
+    out = {}
+    for name, old_name, new_name in match_tables(states, new, specs):
+        if new_name is None:
+            continue
+        pk = list(specs[name].primary_key)
+        start = states[old_name] if old_name else align_names(new[new_name], pk).limit(0)
+        own = table_changes(changes, name, pk, states.get(old_name) if old_name else None, new[new_name])
+        out[new_name] = apply_change_set(start, own, pk)
+    return out
+
+
 def multiset_gap(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Rows that occur more often on one side, with the surplus (negative where
     ``actual`` has more). One grouped pass, combined before its shuffle."""
@@ -454,16 +566,21 @@ def multiset_gap(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 def round_trip_check(old: DataFrame, new: DataFrame, pk: list[str], **options) -> DataFrame:
     """Apply the diff to the old state and compare with the new one: numbers of
-    missing and of unexpected rows, both 0 when the round trip holds."""
+    missing and of unexpected rows, both 0 when the round trip holds.
+
+    Rows meet on their key, so only keys decide where they go. A row whose
+    values differ is missing in one form and unexpected in the other.
+    """
     # Written down once: the application reads it twice.
     changes = cut_lineage(change_set(old, new, pk, **options))
-    expected = live_rows(new, options.get("tombstone", TOMBSTONE))
-    gap = multiset_gap(expected, apply_change_set(old, changes, pk).select(*expected.columns))
-    zero = F.lit(0).cast("bigint")
-    return gap.agg(
-        F.coalesce(F.sum(F.when(F.col("surplus") > 0, F.col("surplus"))), zero).alias("missing_rows"),
-        F.coalesce(F.sum(F.when(F.col("surplus") < 0, -F.col("surplus"))), zero).alias("unexpected_rows"),
-    )
+    expected = live_rows(align_names(new, pk), options.get("tombstone", TOMBSTONE))
+    actual = align_names(apply_change_set(old, changes, pk), expected.columns).select(*expected.columns)
+    pairs = pair_states(actual, expected, pk, on_duplicate="trust")  # the change set has proved both unique
+    values = [c for c in expected.columns if c not in pk]
+    same = all_of([old_side(c).eqNullSafe(new_side(c)) for c in values])
+    missing = F.col(IN_NEW) & (~F.col(IN_OLD) | ~same)
+    unexpected = F.col(IN_OLD) & (~F.col(IN_NEW) | ~same)
+    return pairs.agg(F.count_if(missing).alias("missing_rows"), F.count_if(unexpected).alias("unexpected_rows"))
 
 
 def reverse_change_set(changes: DataFrame) -> DataFrame:

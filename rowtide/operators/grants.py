@@ -131,17 +131,30 @@ def explode_acl(df: DataFrame, scope: list[str], acl: str) -> DataFrame:
     )
 
 
+def _known_permission() -> Column:
+    known = {*PERMISSIONS, *ACL_CODES.values(), *[p for ps in VALID_PERMISSIONS.values() for p in ps]}
+    return F.coalesce(F.upper("permission").isin(*sorted(known)), F.lit(False))
+
+
+def unknown_permissions(rows: DataFrame, scope: list[str]) -> DataFrame:
+    """Grants whose permission the database does not know, with an ``error``: one
+    row per object, role and permission. What :func:`effective_permissions` sets aside."""
+    text = F.concat(F.lit("unknown permission "), F.coalesce("permission", F.lit("(none)")))
+    error = F.coalesce("error", text) if "error" in rows.columns else text
+    return rows.filter(~_known_permission()).select(
+        *scope, F.lower("grantee").alias("grantee"), F.upper("permission").alias("permission"), error.alias("error")
+    ).distinct()
+
+
 def effective_permissions(rows: DataFrame, owners: DataFrame, scope: list[str]) -> DataFrame:
     """One grant per object and role: sorted permissions and grant option.
 
     The owner's own permissions come with ownership and are left out. Roles
-    ignore case. The permissions gathered for a grant come from a fixed list;
-    any other stops the job (``invalid_permissions`` finds them).
+    ignore case. The permissions gathered for a grant come from a fixed list, so
+    a grant stays small; :func:`unknown_permissions` reports any other, among
+    them the error rows of :func:`explode_acl`.
     """
-    name = F.upper("permission")
-    known = {*PERMISSIONS, *ACL_CODES.values(), *[p for ps in VALID_PERMISSIONS.values() for p in ps]}
-    unknown = F.raise_error(F.concat(F.lit("unknown permission: "), F.col("permission")))
-    name = F.when(name.isin(*sorted(known)), name).otherwise(unknown)
+    name = F.when(_known_permission(), F.upper("permission"))
     owner = owners.select(*_scoped(scope), F.lower("owner").alias("__owner")).distinct()
     granted = rows.join(owner, _on(scope, F.lower("grantee") == F.col("__owner")), "left_anti")
     return granted.groupBy(*scope, F.lower("grantee").alias("grantee")).agg(
@@ -156,8 +169,10 @@ GRANT_OPTION = "GRANT OPTION"
 def missing_grants(target: DataFrame, existing: DataFrame, scope: list[str]) -> DataFrame:
     """What the target grants and the existing grants of the object do not cover.
 
-    Both have scope, role, permission and grantable. Permissions the database
-    does not know are left aside. A missing grant option is a row of its own.
+    Both have scope, role, permission and grantable. Permissions that cannot be
+    compared, as the database does not know them, are no missing grants;
+    :func:`incomparable_grants` lists them. A missing grant option is a row of
+    its own.
     """
     role, permission = F.lower("role").alias("role"), F.upper("permission").alias("permission")
     wanted = target.select(*scope, role, permission, "grantable")
@@ -175,6 +190,16 @@ def missing_grants(target: DataFrame, existing: DataFrame, scope: list[str]) ->
     return flat(wanted).filter(known).join(have, match, "left_anti")
 
 
+def incomparable_grants(target: DataFrame, scope: list[str]) -> DataFrame:
+    """The grants of a target that :func:`missing_grants` sets aside, with an ``error``."""
+    permission = F.upper("permission")
+    known = F.coalesce(permission.isin(*PERMISSIONS, GRANT_OPTION), F.lit(False))
+    text = F.concat(F.lit("not compared: "), F.coalesce(permission, F.lit("no permission")))
+    return target.filter(~known).select(
+        *scope, F.lower("role").alias("role"), permission.alias("permission"), text.alias("error")
+    ).distinct()
+
+
 # -- roles --------------------------------------------------------------------
 
 

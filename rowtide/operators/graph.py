@@ -7,6 +7,8 @@ a lost executor costs one round. The driver sees only row counts.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide.functions.cells import all_of
@@ -82,16 +84,17 @@ def follow_pointers(links: DataFrame, keys: list[str], node: str, target: str) -
         reach *= 2
 
 
-def ancestor_pairs(links: DataFrame, keys: list[str], node: str, parent: str, max_depth: int = 1024) -> DataFrame:
+def ancestor_pairs(links: DataFrame, keys: list[str], node: str, parent: str) -> DataFrame:
     """Every (node, ancestor, depth) of a forest; covered depth doubles per
-    round. Parents that go round in a circle are an error."""
+    round. Parents that go round in a circle are an error: no chain without a
+    circle has more steps than the largest group has links."""
     pairs = cut_lineage(
         links.select(
             *keys, F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")
         ).filter(F.col("ancestor").isNotNull())
     )
     sizes = pairs.groupBy(*keys).count() if keys else pairs.agg(F.count(F.lit(1)).alias("count"))
-    deepest = min(sizes.agg(F.max("count")).first()[0] or 0, max_depth)
+    deepest = sizes.agg(F.max("count")).first()[0] or 0
     jumps, reach = pairs, 1
     while True:
         # A jump of exactly `reach` steps, followed by every pair known so far.
@@ -107,7 +110,7 @@ def ancestor_pairs(links: DataFrame, keys: list[str], node: str, parent: str, ma
         if longer.isEmpty():
             return pairs
         if reach >= deepest:
-            raise ValueError(f"no end within {deepest} levels: the parents form a cycle")
+            raise ValueError(f"no end after {deepest} steps: the parents form a cycle")
         reach *= 2
         jumps = longer.filter(F.col("depth") == reach)
         pairs = pairs.unionByName(longer)
@@ -115,13 +118,18 @@ def ancestor_pairs(links: DataFrame, keys: list[str], node: str, parent: str, ma
 
 # -- levels of a general graph ------------------------------------------------
 
+# Levels placed between two checkpoints: few at first, as most graphs are shallow.
+LEVELS_PER_ROUND = (4, 8, 12)
+
 
 def _levels(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """keys, node, level; the level is NULL for a node that cannot be placed.
 
     Runs of nodes with a single dependency are first folded into weighted edges
-    (by pointer doubling), so a chain costs the logarithm of its length. What
-    remains is peeled from the bottom, one level per round.
+    (by pointer doubling), so a chain costs the logarithm of its length. The
+    rest goes several levels at a time: a round is one job that carries levels
+    up through the open edges, then nodes that became final leave, and their
+    edges shrink to the highest level they ask of the other end.
     """
     edges = cut_lineage(edges.filter(F.col("child") != F.col("parent")).distinct())
     fan = edges.groupBy(*keys, "child").agg(F.count(F.lit(1)).alias("__fan"), F.min("parent").alias("__only"))
@@ -138,49 +146,60 @@ def _levels(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     feet = renamed(folded, "node", "last", "steps")
     wide = renamed(fan.filter("__fan > 1").withColumnRenamed("child", "wide"), "wide")
     heavy = edges.join(wide, on_keys(F.col("child") == F.col("__wide")), "left_semi")
-    pending = cut_lineage(
+    weighted = (
         heavy.join(feet, on_keys(F.col("parent") == F.col("__node")), "left")
         .select(
             *keys,
             F.col("child").alias("node"),
             F.when(F.col("__node").isNull(), F.col("parent")).otherwise(F.col("__last")).alias("foot"),
             (F.coalesce("__steps", F.lit(0)) + 1).alias("weight"),
-            F.lit(None).cast("int").alias("level"),
+            F.col("__node").isNotNull() & F.col("__last").isNull(),
         )
-        .groupBy(*keys, "node", "foot")
-        .agg(F.max("weight").alias("weight"), F.max("level").alias("level"))
+        .toDF(*keys, "node", "foot", "weight", "endless")
     )
+    has_any = renamed(fan.withColumnRenamed("child", "any"), "any")
     # Feet without dependencies of their own stand on level 0.
     ground = nodes.select(*keys, "node").distinct()
-    has_any = renamed(fan.withColumnRenamed("child", "any"), "any")
     placed = cut_lineage(
         ground.join(has_any, on_keys(F.col("node") == F.col("__any")), "left_anti").withColumn("level", F.lit(0))
     )
     newly = placed
-    while True:
+    # Rows with a foot are open edges; the one without holds the highest level asked of the node so far.
+    # An edge into a circle leads to no foot and keeps its node open for good.
+    open_ = cut_lineage(weighted)
+    for turn in itertools.count():
         known = renamed(newly, "node", "level")
-        pending = pending.join(known, on_keys(F.col("foot") == F.col("__node")), "left").select(
-            *keys, "node", "foot", "weight", F.coalesce("level", "__level").alias("level")
-        )
-        pending = cut_lineage(pending)
-        newly = cut_lineage(
-            pending.groupBy(*keys, "node")
-            .agg(F.max(F.col("level") + F.col("weight")).alias("level"), F.bool_and(F.col("level").isNotNull()).alias("__all"))
-            .filter("__all")
-            .drop("__all")
+        asked = open_.join(known, on_keys(F.col("foot") == F.col("__node")), "left").select(
+            *keys,
+            "node",
+            F.when(F.col("__level").isNull(), F.col("foot")).alias("foot"),
+            (F.col("weight") + F.coalesce("__level", F.lit(0))).alias("weight"),
+            "endless",
         )
+        open_ = cut_lineage(asked.groupBy(*keys, "node", "foot", "endless").agg(F.max("weight").alias("weight")))
+        # NULL until all that a node depends on is final.
+        state = open_.select(*keys, "node").distinct().withColumn("level", F.lit(None).cast("int"))
+        for _ in range(LEVELS_PER_ROUND[min(turn, len(LEVELS_PER_ROUND) - 1)]):
+            below = renamed(state, "node", "level")
+            asks = F.when(F.col("foot").isNull(), F.col("weight")).otherwise(F.col("weight") + F.col("__level"))
+            state = (
+                open_.join(below, on_keys(F.col("foot") == F.col("__node")), "left")
+                .groupBy(*keys, "node")
+                .agg(F.max(asks).alias("__top"), F.bool_and(asks.isNotNull() & ~F.col("endless")).alias("__all"))
+                .select(*keys, "node", F.when(F.col("__all"), F.col("__top")).alias("level"))
+            )
+        newly = cut_lineage(state.filter(F.col("level").isNotNull()))
         if newly.isEmpty():
             break
         placed = placed.unionByName(newly)
-        left = renamed(newly, "node")
-        pending = pending.join(left, on_keys(F.col("node") == F.col("__node")), "left_anti")
+        open_ = open_.join(renamed(newly, "node"), on_keys(F.col("node") == F.col("__node")), "left_anti")
     # Members of folded chains stand above their foot.
     known = renamed(placed, "node", "level")
     members = (
         folded.join(known, on_keys(F.col("last") == F.col("__node")), "left")
         .select(*keys, "node", (F.col("__level") + F.col("steps")).alias("level"))
     )
-    stuck = pending.select(*keys, "node").distinct().withColumn("level", F.lit(None).cast("int"))
+    stuck = open_.select(*keys, "node").distinct().withColumn("level", F.lit(None).cast("int"))
     return placed.unionByName(members).unionByName(stuck)
 
 
@@ -302,19 +321,26 @@ def type_dependents(types: DataFrame, users: DataFrame, keys: list[str]) -> Data
     return users.join(spellings, match).select(*keys, "schema_name", "type_name", "kind", "object").distinct()
 
 
-# Statement forms, in order of priority, that name a table.
+_NAME = r'((?:"[^"]+"|[\w$]+)(?:\s*\.\s*(?:"[^"]+"|[\w$]+))*)'
+
+# What names the table of a statement: forms in order of priority, each with its
+# first occurrence. Statements may run over several lines; ONLY is an optional word.
 STATEMENT_PATTERNS = (
-    r"SELECT\s+.+\s+FROM\s+([\w\.]+)",
-    r"INSERT\s+INTO\s+([\w\.]+)",
-    r"DELETE\s+FROM\s+(?:ONLY)?\s*([\w\.]+)",
-    r"UPDATE\s+(?:ONLY)?\s*([\w\.]+)",
+    rf"\bSELECT\s.*?\sFROM\s+(?:ONLY\s+)?{_NAME}",
+    rf"\bINSERT\s+INTO\s+{_NAME}",
+    rf"\bDELETE\s+FROM\s+(?:ONLY\s+)?{_NAME}",
+    rf"\bUPDATE\s+(?:ONLY\s+)?{_NAME}",
 )
 
 
+def _bare(name: Column) -> Column:
+    """A name without quotes and without blanks around its dots."""
+    return F.nullif(F.regexp_replace(F.regexp_replace(name, r"\s*\.\s*", "."), '"', ""), F.lit(""))
+
+
 def statement_table(text: Column) -> Column:
     """First table a statement reads or writes, NULL if it names none."""
-    found = [F.nullif(F.regexp_extract(text, "(?i)" + p, 1), F.lit("")) for p in STATEMENT_PATTERNS]
-    return F.coalesce(*found)
+    return F.coalesce(*[_bare(F.regexp_extract(text, "(?is)" + p, 1)) for p in STATEMENT_PATTERNS])
 
 
 def statement_lineage(df: DataFrame, text: str) -> DataFrame:
@@ -324,20 +350,30 @@ def statement_lineage(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("table_schema", schema).withColumn("table_name", name_object(name))
 
 
-# Fixed value: a textual foreign key definition.
-REFERENCES_PATTERN = r'^.+\s+REFERENCES\s+"?(\w+)"?\."?(\w+)"?\s*\(\s*"?(.*)"?\s*\)$'
+# A textual foreign key: the table it refers to, with or without a schema and
+# columns; actions may follow.
+REFERENCES_PATTERN = rf"\bREFERENCES\s+(?:ONLY\s+)?{_NAME}"
 
 
-def affected_by_rename(constraints: DataFrame, renames: DataFrame, keys: list[str]) -> DataFrame:
+def referenced_name(definition: Column) -> Column:
+    """Table named after REFERENCES as ``schema.table`` or bare, NULL if there is none."""
+    return _bare(F.regexp_extract(definition, "(?is)" + REFERENCES_PATTERN, 1))
+
+
+def affected_by_rename(
+    constraints: DataFrame, renames: DataFrame, keys: list[str], default_schema: str = "public", reason: str | None = None
+) -> DataFrame:
     """Constraints that refer to a renamed table and have to be rebuilt.
 
     ``constraints`` has keys, constraint_name, ref_schema, ref_table (typed) and
     definition (text form); ``renames`` keys, schema_name, table_name of the
-    tables under their new names.
+    tables under their new names. A bare name means the default schema. Given a
+    name for ``reason``, that column is added, and constraints whose text names no
+    table come back too, as ``unreadable``, beside those that are ``renamed``.
     """
-    pattern = "(?i)" + REFERENCES_PATTERN
-    schema = F.coalesce("ref_schema", F.nullif(F.regexp_extract("definition", pattern, 1), F.lit("")))
-    table = F.coalesce("ref_table", F.nullif(F.regexp_extract("definition", pattern, 2), F.lit("")))
+    name = referenced_name(F.col("definition"))
+    schema = F.coalesce("ref_schema", F.when(F.col("ref_table").isNull(), name_schema(name, F.lit(default_schema))), F.lit(default_schema))
+    table = F.coalesce("ref_table", name_object(name))
     named = constraints.withColumn("__schema", F.lower(schema)).withColumn("__table", F.lower(table))
     target = renames.select(
         *[F.col(k).alias(f"__{k}") for k in keys],
@@ -348,4 +384,8 @@ def affected_by_rename(constraints: DataFrame, renames: DataFrame, keys: list[st
         [F.col(k) == F.col(f"__{k}") for k in keys]
         + [F.col("__schema") == F.col("__to_schema"), F.col("__table") == F.col("__to_table")]
     )
-    return named.join(target, match, "left_semi").drop("__schema", "__table")
+    found = named.join(target, match, "left_semi")
+    if reason:
+        unread = named.filter(F.col("__table").isNull()).withColumn(reason, F.lit("unreadable"))
+        found = found.withColumn(reason, F.lit("renamed")).unionByName(unread)
+    return found.drop("__schema", "__table")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rowtide.functions.cells import all_of
-from rowtide.operators.graph import ancestor_pairs
+from rowtide.session import cut_lineage
 
 
 def inheritance_scan(parent: DataFrame, children: dict[str, DataFrame], name: str, source: str = "source") -> DataFrame:
@@ -23,25 +23,42 @@ def inherited_columns(
     own: DataFrame, parents: DataFrame, keys: list[str], table: str, parent: str, column: str = "column_name"
 ) -> DataFrame:
     """Effective columns of every table: its own, and of each other name the
-    definition of the nearest ancestor. Adds ``defined_in`` and ``depth``."""
-    pairs = ancestor_pairs(parents, keys, table, parent)
-    self_pairs = own.select(*keys, F.col(table).alias("node")).distinct().unionByName(
-        parents.select(*keys, F.col(table).alias("node"))
-    ).distinct()
-    line = self_pairs.select(*keys, "node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")).unionByName(
-        pairs
-    )
-    up = line.select(*[F.col(k).alias(f"__{k}") for k in keys], "node", "ancestor", "depth")
-    match = all_of([F.col(k) == F.col(f"__{k}") for k in keys] + [F.col(table) == F.col("ancestor")])
+    definition of the nearest ancestor. Adds ``defined_in`` and ``depth``.
+
+    A table takes over what its parent holds, then what the ancestor twice as
+    far up holds, and so on: one row per table and name throughout, and a forest
+    of a thousand levels takes ten rounds. Parents that go round in a circle are
+    an error.
+    """
     attributes = [c for c in own.columns if c not in keys and c != table]
-    return (
-        own.join(up, match)
-        .groupBy(*keys, F.col("node").alias(table), F.lower(column).alias("__name"))
-        .agg(
-            F.min_by(F.struct(*attributes, F.col("ancestor").alias("defined_in"), "depth"), "depth").alias("__found"),
-        )
-        .select(*keys, table, "__found.*")
+    name = F.lower(column).alias("__name")
+    state = own.select(
+        *keys, F.col(table).alias("__table"), name, F.struct(*attributes, F.col(table).alias("defined_in")).alias("__def"), F.lit(0).alias("depth")
     )
+    state = cut_lineage(state.groupBy(*keys, "__table", "__name").agg(F.min_by("__def", "depth").alias("__def"), F.min("depth").alias("depth")))
+    links = parents.filter(F.col(parent).isNotNull()).select(*keys, F.col(table).alias("__below"), F.col(parent).alias("__above"))
+    links = cut_lineage(links.distinct())
+    sizes = links.groupBy(*keys).count() if keys else links.agg(F.count(F.lit(1)).alias("count"))
+    longest = sizes.agg(F.max("count")).first()[0] or 0
+    reach = 1
+    while not links.isEmpty():
+        if reach > longest:
+            raise ValueError(f"no end after {longest} steps: the parents form a cycle")
+        up = links.select(*[F.col(k).alias(f"__{k}") for k in keys], "__below", "__above")
+        higher = state.join(up, all_of([F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("__table") == F.col("__above")]))
+        gained = higher.select(*keys, F.col("__below").alias("__table"), "__name", "__def", (F.col("depth") + reach).alias("depth"))
+        state = cut_lineage(
+            state.unionByName(gained)
+            .groupBy(*keys, "__table", "__name")
+            .agg(F.min_by("__def", "depth").alias("__def"), F.min("depth").alias("depth"))
+        )
+        onward = links.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__below").alias("__mid"), F.col("__above").alias("__top"))
+        links = cut_lineage(
+            links.join(onward, all_of([F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("__above") == F.col("__mid")]))
+            .select(*keys, "__below", F.col("__top").alias("__above"))
+        )
+        reach *= 2
+    return state.select(*keys, F.col("__table").alias(table), "__def.*", "depth")
 
 
 def strip_inherited(

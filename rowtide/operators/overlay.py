@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rowtide.functions.cells import all_of
+from rowtide.functions.cells import all_of, texts_present
 from rowtide.operators.diff import TOMBSTONE, live_rows
 from rowtide.operators.pairing import align_names, find_column, require_unique
 
@@ -122,9 +122,21 @@ def overlay_rows(
     return met.select(*pk, *merged).unionByName(unseen.select(*pk, *appended))
 
 
-def overlay_overwrite(layers: list[DataFrame], key: list[str], attributes: list[str]) -> DataFrame:
+def _unique_layers(layers: list[DataFrame], key: list[str], on_duplicate: str) -> list[DataFrame]:
+    """The layers, each proved to have one row per key unless that is trusted."""
+    layers = [align_names(d, key) for d in layers]
+    if on_duplicate == "trust":
+        return layers
+    return [require_unique(d, key, f"layer {i}") for i, d in enumerate(layers)]
+
+
+def overlay_overwrite(
+    layers: list[DataFrame], key: list[str], attributes: list[str], on_duplicate: str = "fail"
+) -> DataFrame:
     """The listed attributes are taken together from the last layer that has the
-    key, blanks included; other columns keep their first value."""
+    key, blanks included; other columns keep their first value. Keys have to be
+    unique within a layer; ``on_duplicate='trust'`` skips the proof."""
+    layers = _unique_layers(layers, key, on_duplicate)
     stacked, supplied = stack_layers(layers, key)
     others = [c for c in supplied if c not in key and c not in attributes]
     total = len(layers)
@@ -153,12 +165,15 @@ def overlay_replace(layers: list[DataFrame], owner: list[str]) -> DataFrame:
     return stacked.join(last, match, "left_semi").drop(LAYER)
 
 
-def overlay_update_only(base: DataFrame, overlay: DataFrame, key: list[str]) -> DataFrame:
+def overlay_update_only(base: DataFrame, overlay: DataFrame, key: list[str], on_duplicate: str = "fail") -> DataFrame:
     """Overlay values replace those of matching base rows; overlay rows without
-    a base row are ignored."""
+    a base row are ignored. A key may occur once in the overlay (the base may
+    repeat it); ``on_duplicate='trust'`` skips the proof."""
     overlay = align_names(overlay, base.columns)
+    if on_duplicate != "trust":
+        overlay = require_unique(overlay, key, "overlay")
     values = [c for c in overlay.columns if c in base.columns and c not in key]
-    found = overlay.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.max(F.struct(*values)).alias("__found"))
+    found = overlay.select(*[F.col(k).alias(f"__{k}") for k in key], F.struct(*values or [F.lit(True).alias("_")]).alias("__found"))
     match = all_of([base[k].eqNullSafe(found[f"__{k}"]) for k in key])
     matched = F.col("__found").isNotNull()
     return base.join(found, match, "left").select(
@@ -169,11 +184,52 @@ def overlay_update_only(base: DataFrame, overlay: DataFrame, key: list[str]) ->
     )
 
 
-def collect_addendums(layers: list[DataFrame], k: int, pk: list[str], tombstone: str = TOMBSTONE) -> DataFrame:
-    """What the last ``k`` layers contribute, composited among themselves."""
+def collect_addendums(
+    layers: list[DataFrame], k: int, pk: list[str], tombstone: str = TOMBSTONE, on_duplicate: str = "fail"
+) -> DataFrame:
+    """What the last ``k`` layers contribute, composited among themselves into one
+    layer that gives the same result over the ones below.
+
+    A key that they leave deleted stays, flagged in the tombstone column, as it
+    also deletes what lies below. One that a later layer brings back is flagged in
+    ``<tombstone>_below``: it starts afresh (see :func:`overlay_addendums`).
+    """
     if not 0 < k <= len(layers):
         raise ValueError("k has to be between 1 and the number of layers")
-    return overlay_rows(layers[-k:], pk, tombstone)
+    folded, last = _composite(_unique_layers(layers[-k:], pk, on_duplicate), 0, pk, tombstone)
+    dead = F.col("__top") <= F.col("__buried")
+    values = [F.when(~dead & (F.col(last[c]) > F.col("__buried")), F.col(f"`__v_{c}`")).alias(c) for c in last]
+    supplied = [F.when(~dead & (F.col(last[c]) > F.col("__buried")), F.lit(c)) for c in last]
+    return folded.select(
+        *pk, *values, dead.alias(tombstone), (~dead & (F.col("__buried") >= 0)).alias(f"{tombstone}_below"),
+        texts_present(supplied).alias("_supplied"),
+    )
+
+
+def overlay_addendums(
+    base: DataFrame, addendums: DataFrame, pk: list[str], tombstone: str = TOMBSTONE
+) -> DataFrame:
+    """A state with the result of :func:`collect_addendums` over it."""
+    base = live_rows(align_names(base, pk), tombstone)
+    skip = {*pk, tombstone, f"{tombstone}_below", "_supplied"}
+    values = [c for c in addendums.columns if c not in skip]
+    base_columns = [c for c in align_names(base, values).columns if c not in pk]
+    base = align_names(base, values)
+    above = addendums.select(*[F.col(c).alias(f"__{c}") for c in addendums.columns])
+    same = all_of([F.col(k).eqNullSafe(F.col(f"__{k}")) for k in pk])
+    dead, afresh = F.coalesce(F.col(f"__{tombstone}"), F.lit(False)), F.coalesce(F.col(f"__{tombstone}_below"), F.lit(False))
+    columns = [*base_columns, *[c for c in values if c not in base_columns]]
+    met = base.join(above, same, "left").filter(~dead)
+    merged = []
+    for c in columns:
+        below = F.when(~afresh, F.col(f"`{c}`")) if c in base_columns else F.lit(None)
+        given = F.coalesce(F.array_contains("___supplied", c), F.lit(False))
+        merged.append((F.when(given, F.col(f"`__{c}`")).otherwise(below) if c in values else below).alias(c))
+    known = base.select(*[F.col(k).alias(f"__{k}") for k in pk])
+    unseen = addendums.filter(~F.col(tombstone)).join(known, same, "left_anti")
+    kinds = {c: base.schema[c].dataType for c in base_columns}
+    appended = [F.col(f"`{c}`") if c in values else F.lit(None).cast(kinds[c]).alias(c) for c in columns]
+    return met.select(*pk, *merged).unionByName(unseen.select(*pk, *appended))
 
 
 def duplicate_identities(catalog: DataFrame, scope: list[str], identity: list[str]) -> DataFrame:

@@ -23,7 +23,7 @@ proves that there is no NULL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowtide.functions.cells import all_of, any_of
 
@@ -74,6 +74,14 @@ def require_unique(df: DataFrame, key: list[str], what: str, null_keys: bool = T
     )
 
 
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    return not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def _one_side(
     df: DataFrame, key: list[str], columns: list[str], prefix: str, present: str, on_duplicate: str, null_keys: bool
 ) -> DataFrame:
@@ -81,9 +89,14 @@ def _one_side(
     values = [F.col(f"`{c}`").alias(f"{prefix}{c}") for c in columns]
     if on_duplicate == "flag":
         count = OLD_COPIES if present == IN_OLD else NEW_COPIES
-        kept = [F.first(F.col(f"`{c}`")).alias(f"{prefix}{c}") for c in columns]
-        folded = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count), *kept)
-        return folded.withColumn(present, F.lit(True))
+        # One of the copies, whole, and the same one in every run.
+        orderable = all(_orderable(df.schema[c].dataType) for c in columns)
+        whole = F.struct(*[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in columns] or [F.lit(True).alias("__none")])
+        one = F.min(whole) if orderable else F.min_by(whole, F.xxhash64(F.to_json(whole)))
+        folded = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count), one.alias("__one"))
+        return folded.select(
+            *[f"{prefix}key{i}" for i in range(len(key))], count, "__one.*", F.lit(True).alias(present)
+        )
     if on_duplicate == "fail":
         df = require_unique(df, key, "old state" if present == IN_OLD else "new state", null_keys)
     return df.select(*keys, *values, F.lit(True).alias(present))

@@ -13,16 +13,30 @@ from rowtide.functions.types import is_serial
 _POSITION_BITS = 33
 
 
-def assign_serial(df: DataFrame, order: list, start: int = 1, name: str = "serial", step: int = 1) -> DataFrame:
+def assign_serial(
+    df: DataFrame, order: list, start: int = 1, name: str = "serial", step: int = 1, partitions: int | None = None
+) -> DataFrame:
     """Dense generated key in the stated order, without a global window.
 
     Rows are range-partitioned and sorted, and that layout is made durable. The
     position of a row is then its place in its partition plus the sizes of the
     partitions before. Only those sizes, one number per partition, reach the
-    driver. The order has to be total for the result to be reproducible.
+    driver. The order has to be total for the result to be reproducible. The sort
+    has ``partitions`` parts, by default as many as the session's shuffles;
+    choose them so that a part fits a task.
     """
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = cut_lineage(df.repartitionByRange(width, *order).sortWithinPartitions(*order))
+    width = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(width, *order).sortWithinPartitions(*order)
+    return number_as_ordered(ordered, name, start, step)
+
+
+def number_as_ordered(ordered: DataFrame, name: str = "serial", start: int = 1, step: int = 1) -> DataFrame:
+    """Numbers the rows of a sorted DataFrame where they stand.
+
+    The layout is made durable first; its partitions are taken to be in order, as
+    a sort leaves them.
+    """
+    ordered = cut_lineage(ordered)
     place = F.monotonically_increasing_id()
     numbered = ordered.withColumn("__place", place)
     part = F.shiftright("__place", _POSITION_BITS)
@@ -33,7 +47,7 @@ def assign_serial(df: DataFrame, order: list, start: int = 1, name: str = "seria
         total += row["n"]
     if not offsets:
         return numbered.drop("__place").withColumn(name, F.lit(None).cast("bigint"))
-    table = df.sparkSession.createDataFrame(offsets, "__part bigint, __offset bigint")
+    table = ordered.sparkSession.createDataFrame(offsets, "__part bigint, __offset bigint")
     position = F.col("__offset") + F.col("__place").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
     return (
         numbered.withColumn("__part", part.cast("bigint"))

@@ -52,16 +52,23 @@ def typed_compare(declared_value: Column, live_value: Column, declared: str, mod
 def _matched(declared: DataFrame, live: DataFrame, pk: list[str], tombstone: str) -> tuple[DataFrame, list[str]]:
     """Declared rows with the number of live rows of their key and one of them.
 
-    Live rows are folded by key before the join, so copies are counted and never
-    multiplied.
+    Only live rows whose key is declared go on (Spark broadcasts the declared
+    keys if they are measured to be small, and the live table stays where it is).
+    These are folded by key before the join, so copies are counted and never
+    multiplied; of several copies the least row stands for them.
     """
     live = align_names(live, declared.columns)
     values = [c for c in declared.columns if c not in pk and c.lower() != tombstone.lower()]
     missing = [c for c in values if c not in live.columns]
     if missing:
         raise ValueError(f"the live table has no columns {missing}")
-    folded = live.groupBy(*[F.col(k).alias(f"__{k}") for k in pk]).agg(
-        F.count(F.lit(1)).alias("__copies"), *[F.first(c).alias(f"__live_{c}") for c in values]
+    wanted = declared.select(*[F.col(k).alias(f"__w_{k}") for k in pk])
+    known = live.join(wanted, all_of([F.col(k).eqNullSafe(F.col(f"__w_{k}")) for k in pk]), "left_semi")
+    row = F.struct(*values or [F.lit(True).alias("_")])
+    folded = (
+        known.groupBy(*[F.col(k).alias(f"__{k}") for k in pk])
+        .agg(F.count(F.lit(1)).alias("__copies"), F.min(row).alias("__row"))
+        .select(*[f"__{k}" for k in pk], "__copies", *[F.col("__row")[c].alias(f"__live_{c}") for c in values])
     )
     match = all_of([F.col(k).eqNullSafe(F.col(f"__{k}")) for k in pk])
     joined = declared.join(folded, match, "left")

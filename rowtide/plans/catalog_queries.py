@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rowtide.operators import assemble, catalog
 from rowtide.plans.fixtures import FIXTURES, GRID, frame, oracle
-from rowtide.plans.registry import query
+from rowtide.plans.registry import ORACLES, QUERIES, query
 
 DB = ["db"]
 
@@ -446,33 +446,67 @@ TABLE_DRIFT = """
 """
 
 
+# Tables of some databases renamed, with a column whose type is that of its reference.
+FIXTURES["REN_OLD"] = f"""
+    SELECT db, concat('T', CAST(n_nationkey % 5 AS VARCHAR(5))) AS table_name, n_name AS column_name,
+        CASE WHEN n_nationkey % 4 = 1 THEN NULL ELSE 'int' END AS data_type, TRUE AS nullable, CAST(NULL AS VARCHAR(5)) AS dflt
+    FROM ({GRID}) AS g
+"""
+FIXTURES["REN_NEW"] = f"""
+    SELECT db, CASE WHEN db % 3 = 0 AND n_nationkey % 5 = 2 THEN 'Renamed' ELSE concat('t', CAST(n_nationkey % 5 AS VARCHAR(5))) END
+            AS table_name,
+        CASE WHEN db % 3 = 0 AND n_nationkey % 5 = 2 THEN 't2' END AS old_table_name, n_name AS column_name,
+        CASE WHEN n_nationkey % 4 = CASE WHEN db % 2 = 0 THEN 1 ELSE 2 END THEN NULL ELSE 'int' END AS data_type,
+        TRUE AS nullable, CAST(NULL AS VARCHAR(5)) AS dflt
+    FROM ({GRID}) AS g
+    WHERE NOT (db % 3 = 0 AND n_nationkey = 7)
+"""
+
+
 @query(
-    "drift_report",
+    "drift_columns_renamed_table",
     oracle(
-        "CAT_OLD CAT_RENAMED TABLES_OLD TABLES_NEW OBJ_OLD OBJ_NEW",
-        f"""
-        SELECT db, coalesce(kind, '*') AS kind, coalesce(action, '*') AS action, count(*) AS n FROM (
-            SELECT db, 'column' AS kind, action FROM ({COLUMN_DRIFT}) AS c
-            UNION ALL SELECT * FROM ({TABLE_DRIFT}) AS t
-            UNION ALL SELECT coalesce(n.db, o.db), 'view', CASE WHEN o.db IS NULL THEN 'create' WHEN n.db IS NULL
-                THEN 'drop' ELSE 'recreate' END
-            FROM OBJ_OLD o FULL OUTER JOIN OBJ_NEW n ON o.db = n.db AND lower(o.name) = lower(n.name)
-            WHERE o.db IS NULL OR n.db IS NULL OR lower(o.owner) <> lower(n.owner) OR {BODY_DIFFERS}
-        ) AS d GROUP BY ROLLUP (db, kind, action)""",
+        "REN_OLD REN_NEW",
+        """SELECT o.db, coalesce(n.table_name, o.table_name) AS table_name, o.column_name,
+            CASE WHEN n.db IS NULL THEN 'drop' ELSE 'alter type' END AS action, CASE WHEN n.db IS NULL THEN 3 ELSE 1 END AS stage
+        FROM REN_OLD o LEFT JOIN REN_NEW n ON o.db = n.db AND o.column_name = n.column_name
+        WHERE n.db IS NULL OR o.data_type IS DISTINCT FROM n.data_type""",
+    ),
+)
+def _drift_columns_renamed_table(spark, sf_dir):
+    return catalog.drift_columns(frame(spark, sf_dir, "REN_OLD"), frame(spark, sf_dir, "REN_NEW"), DB)
+
+
+@query(
+    "follow_table_renames",
+    oracle(
+        "REN_OLD REN_NEW",
+        """SELECT db, CASE WHEN db % 3 = 0 AND table_name = 'T2' THEN 'Renamed' ELSE table_name END AS table_name, column_name
+        FROM REN_OLD""",
     ),
 )
+def _follow_table_renames(spark, sf_dir):
+    tables = frame(spark, sf_dir, "REN_NEW").select("db", "table_name", "old_table_name").distinct()
+    return catalog.follow_table_renames(frame(spark, sf_dir, "REN_OLD"), tables, DB).select("db", "table_name", "column_name")
+
+
+# Kinds of drift, each by the query that finds it; simple kinds carry a kind of their own.
+REPORTED = ("table", "column", "constraint", "index", "view", "function", "trigger", "sequence", "type", "simple")
+
+
+def _kind_query(kind: str) -> str:
+    plural = {"index": "indexes", "simple": "simple"}.get(kind, kind + "s")
+    return f"drift_{plural}"
+
+
+@query(
+    "drift_report",
+    "SELECT db, coalesce(kind, '*') AS kind, coalesce(action, '*') AS action, count(*) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT db, '{k}' AS kind, action FROM ({ORACLES[_kind_query(k)]}) AS {k}_drift" for k in REPORTED)
+    + ") AS d GROUP BY ROLLUP (db, kind, action)",
+)
 def _drift_report(spark, sf_dir):
-    views = [
-        d.select("db", F.col("name").alias("view_name"), "owner", F.col("body").alias("query"))
-        for d in objects(spark, sf_dir)
-    ]
-    return catalog.drift_report(
-        {
-            "column": column_drift(spark, sf_dir),
-            "table": catalog.drift_tables(frame(spark, sf_dir, "TABLES_OLD"), frame(spark, sf_dir, "TABLES_NEW"), DB),
-            "view": catalog.drift_views(*views, DB),
-        }
-    )
+    return catalog.drift_report({k: QUERIES[_kind_query(k)](spark, sf_dir) for k in REPORTED})
 
 
 # -- assembly -----------------------------------------------------------------
@@ -623,7 +657,8 @@ def _assemble_triggers(spark, sf_dir):
 FIXTURES["SERIAL_COLUMNS"] = f"""
     SELECT db, concat('T', CAST(n_nationkey % 5 AS VARCHAR(5))) AS table_name, n_name AS column_name,
         CASE WHEN n_nationkey % 3 = 0 THEN 'bigint' ELSE 'integer' END AS data_type, n_nationkey % 8 = 6 AS nullable,
-        CASE WHEN n_nationkey % 4 = 2 THEN concat('nextval(''', n_name, '_seq''::regclass)') ELSE '0' END AS dflt
+        CASE WHEN n_nationkey % 4 = 2 THEN concat('nextval(''', CASE n_nationkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'public.'
+            ELSE '"app"."' END, n_name, CASE n_nationkey % 3 WHEN 2 THEN '_seq"' ELSE '_seq' END, '''::regclass)') ELSE '0' END AS dflt
     FROM ({GRID}) AS g
 """
 FIXTURES["SEQUENCES"] = f"SELECT db, concat(n_name, '_seq') AS sequence_name FROM ({GRID}) AS g WHERE n_nationkey % 2 = 0"
@@ -660,8 +695,8 @@ def _collapse_serials(spark, sf_dir):
     oracle(
         "GRID",
         """SELECT db, concat('T', CAST(n_nationkey % 5 AS VARCHAR)) AS table_name, n_nationkey AS position,
-            n_name AS column_name, CASE n_nationkey % 4 WHEN 0 THEN 'int4' WHEN 1 THEN 'text' WHEN 2 THEN 'varchar(40)'
-                ELSE 'bool' END AS data_type, n_nationkey % 2 = 0 AS nullable,
+            n_name AS column_name, CASE n_nationkey % 4 WHEN 0 THEN 'int4' WHEN 1 THEN 'numeric(12,3)' WHEN 2 THEN 'varchar(40)'
+                ELSE 'timestamptz(3)' END AS data_type, n_nationkey % 2 = 0 AS nullable,
             CASE WHEN n_nationkey % 3 = 0 THEN '0' END AS dflt,
             CASE WHEN n_nationkey % 6 = 1 THEN lower(n_name) END AS description
         FROM GRID WHERE n_nationkey > 0 AND (db + n_nationkey) % 9 <> 0""",
@@ -674,7 +709,7 @@ def _assemble_columns(spark, sf_dir):
     tables = grid.filter("n_nationkey < 5").select(
         "db", "table_id", F.concat(F.lit("T"), F.col("table_id").cast("string")).alias("table_name")
     )
-    names = F.element_at(F.array(*[F.lit(t) for t in ("int4", "text", "varchar", "bool")]), F.col("type_id") + 1)
+    names = F.element_at(F.array(*[F.lit(t) for t in ("int4", "numeric", "varchar", "timestamptz")]), F.col("type_id") + 1)
     types = grid.filter("n_nationkey < 4").select("db", "type_id", names.alias("type_name"))
     columns = grid.select(
         "db",
@@ -682,7 +717,8 @@ def _assemble_columns(spark, sf_dir):
         F.col("n_nationkey").alias("position"),
         F.col("n_name").alias("column_name"),
         "type_id",
-        F.when(F.col("type_id") == 2, 40).otherwise(-1).alias("type_mod"),
+        # As the catalog keeps them: a length plus 4, precision and scale in one number plus 4, a precision.
+        F.when(F.col("type_id") == 2, 44).when(F.col("type_id") == 1, (12 << 16) + 3 + 4).when(F.col("type_id") == 3, 3).otherwise(-1).alias("type_mod"),
         (F.col("n_nationkey") % 2 != 0).alias("not_null"),
         ((F.col("db") + F.col("n_nationkey")) % 9 == 0).alias("dropped"),
     )

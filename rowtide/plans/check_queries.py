@@ -333,3 +333,64 @@ def _propagate_delete_cascade(spark, sf_dir):
         gone["lines"].select(F.lit("lines").alias("table"), F.col("l_orderkey").alias("k1"),
                              F.col("l_linenumber").alias("k2"))
     )
+
+
+FIXTURES["TURNS"] = "SELECT DISTINCT conv_id, turn, turn - 1 AS before FROM conversations"
+
+
+@query(
+    "delete_effects",
+    oracle(
+        "TURNS",
+        """
+        , LOCKED AS (SELECT DISTINCT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+            WHERE l_linenumber = 1 AND l_partkey % 40 = 1),
+        ASKED AS (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 2),
+        FREE AS (SELECT c_custkey FROM ASKED WHERE c_custkey NOT IN (SELECT o_custkey FROM LOCKED)),
+        LOCKS AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 40 = 1)
+        SELECT 'customer' AS "table", 'D' AS op, c_custkey AS k1, CAST(0 AS BIGINT) AS k2 FROM FREE
+        UNION ALL SELECT 'customer', 'B', c_custkey, 0 FROM ASKED WHERE c_custkey IN (SELECT o_custkey FROM LOCKED)
+        UNION ALL SELECT 'orders', 'D', o_orderkey, 0 FROM orders WHERE o_custkey IN (SELECT c_custkey FROM FREE)
+        UNION ALL SELECT 'orders', 'B', o_orderkey, 0 FROM orders WHERE o_custkey IN (SELECT c_custkey FROM ASKED)
+            AND o_custkey IN (SELECT o_custkey FROM LOCKED)
+        UNION ALL SELECT 'events', 'U', event_id, 0 FROM events WHERE user_id IN (SELECT c_custkey FROM FREE)
+        UNION ALL SELECT 'turns', 'D', conv_id, turn FROM TURNS WHERE turn >= 2""",
+    ),
+)
+def _delete_effects(spark, sf_dir):
+    """Customers take their orders along unless a locked line refers to one of these; events lose
+    their user; a turn takes along the turns after it."""
+    customer = TableSpec("customer", (), ("c_custkey",))
+    orders = TableSpec("orders", (), ("o_orderkey",), foreign_keys=(
+        ForeignKeySpec(("o_custkey",), "customer", ("c_custkey",), "o_c", "CASCADE"),))
+    locks = TableSpec("locks", (), ("l_orderkey",), foreign_keys=(
+        ForeignKeySpec(("l_orderkey",), "orders", ("o_orderkey",), "l_o", "RESTRICT"),))
+    events = TableSpec("events", (), ("event_id",), foreign_keys=(
+        ForeignKeySpec(("user_id",), "customer", ("c_custkey",), "e_c", "SET NULL"),))
+    turns = TableSpec("turns", (), ("conv_id", "turn"), foreign_keys=(
+        ForeignKeySpec(("conv_id", "before"), "turns", ("conv_id", "turn"), "t_t", "CASCADE"),))
+    tables = {
+        "customer": table(spark, sf_dir, "customer"), "orders": table(spark, sf_dir, "orders"),
+        "locks": table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_partkey % 40 = 1").select("l_orderkey").distinct(),
+        "events": table(spark, sf_dir, "events"), "turns": frame(spark, sf_dir, "TURNS"),
+    }
+    seeds = {"customer": tables["customer"].filter("c_custkey % 5 = 2"), "turns": tables["turns"].filter("turn = 2")}
+    specs = {s.name: s for s in (customer, orders, locks, events, turns)}
+    effects = checks.delete_effects(seeds, tables, specs)
+
+    def shown(df, name, op, first, second=None):
+        last = F.col(second) if second else F.lit(0)
+        return df.select(F.lit(name).alias("table"), F.lit(op).alias("op"), F.col(first).cast("bigint").alias("k1"), last.cast("bigint").alias("k2"))
+
+    parts = [
+        shown(effects.deleted["customer"], "customer", "D", "c_custkey"),
+        shown(effects.blocked["customer"], "customer", "B", "c_custkey"),
+        shown(effects.deleted["orders"], "orders", "D", "o_orderkey"),
+        shown(effects.blocked["orders"], "orders", "B", "o_orderkey"),
+        shown(effects.updated["events"], "events", "U", "event_id"),
+        shown(effects.deleted["turns"], "turns", "D", "conv_id", "turn"),
+    ]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return union

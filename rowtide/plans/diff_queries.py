@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from rowtide.functions.cells import TEXT, TYPED, cell_equal, tagged_cell_equal
 from rowtide.operators import diff, options, setops
-from rowtide.operators.sequences import assign_serial
+from rowtide.operators.sequences import number_as_ordered
 from rowtide.plans.fixtures import FIXTURES, frame, oracle, table
 from rowtide.plans.registry import query
-from rowtide.spec import TableSpec
+from rowtide.session import cut_lineage
+from rowtide.sources import sinks
+from rowtide.spec import ForeignKeySpec, TableSpec
 
 ORDER_KEY = ["o_orderkey"]
 LINE_KEY = ["l_orderkey", "l_linenumber"]
@@ -412,9 +414,118 @@ def _diff_many_tables(spark, sf_dir):
     ),
 )
 def _ordered_change_set(spark, sf_dir):
-    return assign_serial(flat_key(many_changes(spark, sf_dir)), diff.order_columns(), start=1, name="position").select(
-        "position", "table", "op", "key.k1", "key.k2"
-    )
+    ordered = diff.ordered_change_set(many_changes(spark, sf_dir))
+    # The rows as they come out of the operator, numbered where they stand.
+    return flat_key(number_as_ordered(ordered, "position")).select("position", "table", "op", "key.k1", "key.k2")
+
+
+# -- an upgrade of several tables, from diff to statements and applied state ----
+
+# A key part and values that may be NULL.
+FIXTURES["UP_LINES_OLD"] = """
+    SELECT l_orderkey, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_linenumber END AS l_linenumber,
+        CASE WHEN l_orderkey % 4 = 0 THEN NULL ELSE max(l_returnflag) END AS flag
+    FROM lineitem
+    WHERE l_orderkey % 9 <> 2
+    GROUP BY l_orderkey, l_linenumber
+"""
+FIXTURES["UP_LINES_NEW"] = """
+    SELECT l_orderkey, CASE WHEN l_linenumber = 1 THEN NULL ELSE l_linenumber END AS l_linenumber,
+        CASE WHEN l_orderkey % 6 = 0 THEN NULL ELSE max(l_returnflag) END AS flag
+    FROM lineitem
+    WHERE l_orderkey % 9 <> 5
+    GROUP BY l_orderkey, l_linenumber
+"""
+FIXTURES["UP_ORDERS_OLD"] = "SELECT o_orderkey, o_custkey, o_orderstatus AS st FROM orders WHERE o_orderkey % 10 <> 3"
+FIXTURES["UP_ORDERS_NEW"] = """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 17 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey,
+        CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderstatus END AS st
+    FROM orders WHERE o_orderkey % 10 <> 4
+"""
+FIXTURES["UP_CUSTOMER"] = "SELECT c_custkey, c_nationkey FROM customer"
+FIXTURES["UP_SUPPLIER"] = "SELECT s_suppkey, s_nationkey FROM supplier"
+
+# Named so that the order of names is not that of the foreign keys.
+UP_SPECS = {
+    "public.a_lines": TableSpec("a_lines", (), ("l_orderkey", "l_linenumber"), foreign_keys=(
+        ForeignKeySpec(("l_orderkey",), "b_orders", ("o_orderkey",), "l_o"),)),
+    "public.b_orders": TableSpec("b_orders", (), ("o_orderkey",), foreign_keys=(
+        ForeignKeySpec(("o_custkey",), "public.c_customer", ("c_custkey",), "o_c"),)),
+    "public.c_customer": TableSpec("c_customer", (), ("c_custkey",)),
+    "public.d_supplier": TableSpec("d_supplier", (), ("s_suppkey",)),
+}
+
+
+def upgrade_states(spark, sf_dir):
+    """Two states of four tables; customers are new, suppliers go away."""
+    old = {"public.a_lines": "UP_LINES_OLD", "public.b_orders": "UP_ORDERS_OLD", "public.d_supplier": "UP_SUPPLIER"}
+    new = {"public.a_lines": "UP_LINES_NEW", "public.b_orders": "UP_ORDERS_NEW", "public.c_customer": "UP_CUSTOMER"}
+    return tuple({name: frame(spark, sf_dir, fixture) for name, fixture in side.items()} for side in (old, new))
+
+
+@query(
+    "upgrade_statements",
+    oracle(
+        "UP_LINES_OLD UP_LINES_NEW UP_ORDERS_OLD UP_ORDERS_NEW",
+        """
+        , STEPS AS (
+            SELECT 2 AS stage, 0 AS rank, 'public.d_supplier' AS "table", 0 AS op_rank, s_suppkey AS k1, 0 AS k2,
+                'DELETE FROM public.d_supplier' || chr(10) || 'WHERE s_suppkey = ' || s_suppkey || ';' AS sql FROM supplier
+            UNION ALL SELECT 4, 0, 'public.c_customer', 2, c_custkey, 0,
+                'INSERT INTO public.c_customer (c_custkey, c_nationkey) VALUES (' || c_custkey || ', ' || c_nationkey || ');'
+            FROM customer
+            UNION ALL SELECT CASE WHEN n.o_orderkey IS NULL THEN 2 ELSE 4 END, CASE WHEN n.o_orderkey IS NULL THEN -1 ELSE 1 END,
+                'public.b_orders', CASE WHEN n.o_orderkey IS NULL THEN 0 WHEN o.o_orderkey IS NULL THEN 2 ELSE 1 END,
+                coalesce(n.o_orderkey, o.o_orderkey), 0,
+                CASE WHEN n.o_orderkey IS NULL THEN 'DELETE FROM public.b_orders' || chr(10) || 'WHERE o_orderkey = ' || o.o_orderkey || ';'
+                    WHEN o.o_orderkey IS NULL THEN 'INSERT INTO public.b_orders (o_orderkey, o_custkey, st) VALUES (' || n.o_orderkey
+                        || ', ' || n.o_custkey || ', ' || coalesce( || n.st || , 'NULL') || ');'
+                    ELSE 'UPDATE public.b_orders' || chr(10) || 'SET ' || concat_ws(',' || chr(10) || '    ',
+                        CASE WHEN n.o_custkey <> o.o_custkey THEN 'o_custkey = ' || n.o_custkey END,
+                        CASE WHEN n.st IS DISTINCT FROM o.st THEN 'st = ' || coalesce( || n.st || , 'NULL') END)
+                        || chr(10) || 'WHERE o_orderkey = ' || n.o_orderkey || ';' END
+            FROM UP_ORDERS_OLD o FULL OUTER JOIN UP_ORDERS_NEW n ON o.o_orderkey = n.o_orderkey
+            WHERE o.o_orderkey IS NULL OR n.o_orderkey IS NULL OR n.o_custkey <> o.o_custkey OR n.st IS DISTINCT FROM o.st
+            UNION ALL SELECT CASE WHEN n.l_orderkey IS NULL THEN 2 ELSE 4 END, CASE WHEN n.l_orderkey IS NULL THEN -2 ELSE 2 END,
+                'public.a_lines', CASE WHEN n.l_orderkey IS NULL THEN 0 WHEN o.l_orderkey IS NULL THEN 2 ELSE 1 END,
+                coalesce(n.l_orderkey, o.l_orderkey), coalesce(n.l_linenumber, o.l_linenumber, 0),
+                CASE WHEN n.l_orderkey IS NULL THEN 'DELETE FROM public.a_lines' || chr(10) || 'WHERE l_orderkey = ' || o.l_orderkey
+                        || '  AND l_linenumber' || coalesce(' = ' || o.l_linenumber, ' IS NULL') || ';'
+                    WHEN o.l_orderkey IS NULL THEN 'INSERT INTO public.a_lines (l_orderkey, l_linenumber, flag) VALUES (' || n.l_orderkey
+                        || ', ' || coalesce(CAST(n.l_linenumber AS VARCHAR), 'NULL') || ', ' || coalesce( || n.flag || , 'NULL') || ');'
+                    ELSE 'UPDATE public.a_lines' || chr(10) || 'SET flag = ' || coalesce( || n.flag || , 'NULL') || chr(10)
+                        || 'WHERE l_orderkey = ' || n.l_orderkey || '  AND' || chr(10) || '  l_linenumber'
+                        || coalesce(' = ' || n.l_linenumber, ' IS NULL') || ';' END
+            FROM UP_LINES_OLD o FULL OUTER JOIN UP_LINES_NEW n
+                ON o.l_orderkey = n.l_orderkey AND o.l_linenumber IS NOT DISTINCT FROM n.l_linenumber
+            WHERE o.l_orderkey IS NULL OR n.l_orderkey IS NULL OR n.flag IS DISTINCT FROM o.flag)
+        SELECT row_number() OVER (ORDER BY stage, rank, "table", op_rank, k1, k2) AS position, "table", sql FROM STEPS""",
+    ),
+)
+def _upgrade_statements(spark, sf_dir):
+    old, new = upgrade_states(spark, sf_dir)
+    statements = sinks.render_many_sql(diff.diff_many_tables(old, new, UP_SPECS), UP_SPECS, old, new)
+    return number_as_ordered(diff.ordered_change_set(statements), "position").select("position", "table", "sql")
+
+
+@query(
+    "upgrade_round_trip",
+    oracle(
+        "UP_LINES_NEW UP_ORDERS_NEW UP_CUSTOMER",
+        """SELECT 'public.a_lines' AS "table", count(*) AS n, CAST(0 AS BIGINT) AS wrong_rows FROM UP_LINES_NEW
+        UNION ALL SELECT 'public.b_orders', count(*), 0 FROM UP_ORDERS_NEW
+        UNION ALL SELECT 'public.c_customer', count(*), 0 FROM UP_CUSTOMER""",
+    ),
+)
+def _upgrade_round_trip(spark, sf_dir):
+    old, new = upgrade_states(spark, sf_dir)
+    changes = cut_lineage(diff.diff_many_tables(old, new, UP_SPECS))
+    parts = []
+    for name, state in diff.apply_many(old, changes, UP_SPECS, new).items():
+        gap = diff.multiset_gap(new[name], state.select(*new[name].columns))
+        wrong = gap.agg(F.coalesce(F.sum(F.abs("surplus")), F.lit(0).cast("bigint")).alias("wrong_rows"))
+        parts.append(state.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n", wrong.scalar().alias("wrong_rows")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(
@@ -451,7 +562,8 @@ def _diff_summary_columns(spark, sf_dir):
 @query("apply_change_set", oracle("ORD_NEW", "SELECT * FROM ORD_NEW"))
 def _apply_change_set(spark, sf_dir):
     old, new = order_states(spark, sf_dir)
-    return diff.apply_change_set(old, diff.change_set(old, new, ORDER_KEY), ORDER_KEY)
+    # Written first, as the application reads the changes twice.
+    return diff.apply_change_set(old, cut_lineage(diff.change_set(old, new, ORDER_KEY)), ORDER_KEY)
 
 
 @query(

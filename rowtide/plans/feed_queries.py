@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from rowtide.operators import diff
-from rowtide.plans.diff_queries import MANY, ORDER_KEY, many_changes, order_states
+from rowtide.plans.diff_queries import MANY, ORDER_KEY, flat_key, many_changes, order_states
 from rowtide.plans.fixtures import frame, oracle, table
 from rowtide.plans.registry import query
 from rowtide.session import scratch_path
@@ -130,17 +130,30 @@ def _add_rowset_column(spark, sf_dir):
     "write_change_set",
     oracle(
         "ORD_OLD ORD_NEW LI_OLD LI_NEW",
-        f"""SELECT stage, "table", CAST(floor((rn - 1) / 900) AS BIGINT) AS file, count(*) AS n FROM (
-            SELECT "table", CASE WHEN op = 'D' THEN 2 ELSE 4 END AS stage, row_number() OVER (
-                PARTITION BY CASE WHEN op = 'D' THEN 2 ELSE 4 END, "table" ORDER BY k1, k2) AS rn
-            FROM ({MANY}) AS m) AS r GROUP BY ALL""",
+        f"""SELECT CASE WHEN op = 'D' THEN 2 ELSE 4 END AS stage, "table", count(*) AS n, TRUE AS within_limit,
+            TRUE AS files_in_order, CAST(0 AS BIGINT) AS rows_out_of_order FROM ({MANY}) AS m GROUP BY ALL""",
     ),
 )
 def _write_change_set(spark, sf_dir):
+    """What the files hold, as properties of any right layout: all rows, at most
+    700 to a file, rows in run order within a file, and files that follow each other."""
     path = scratch_path(spark, "changes")
-    sinks.write_change_set(many_changes(spark, sf_dir), path)
-    written = spark.read.parquet(path).drop("stage_dir", "table_dir")
-    return sinks.change_file_buckets(written)
+    changes = flat_key(many_changes(spark, sf_dir)).drop("sort_key")
+    op_rank = F.when(F.col("op") == "D", 0).when(F.col("op") == "U", 1).otherwise(2)
+    changes = changes.withColumn("key", F.struct(op_rank.alias("op_rank"), "key.k1", "key.k2"))
+    sinks.write_change_set(changes, path, max_per_file=700)
+    files = sinks.written_files(spark, path)
+    # Of two files of a folder the one with the smaller name ends before the other begins.
+    other = files.select(F.col("stage").alias("s"), F.col("table").alias("t"), F.col("file").alias("f"), F.col("first_key").alias("k"))
+    pairs = files.join(other, (F.col("stage") == F.col("s")) & (F.col("table") == F.col("t")) & (F.col("file") < F.col("f")), "left")
+    each = pairs.groupBy("stage", "table", "file").agg(
+        F.max("n").alias("n"), F.max("out_of_order").alias("out_of_order"),
+        F.bool_and(F.coalesce(F.col("last_key") < F.col("k"), F.lit(True))).alias("before_next"),
+    )
+    return each.groupBy("stage", "table").agg(
+        F.sum("n").alias("n"), (F.max("n") <= 700).alias("within_limit"), F.bool_and("before_next").alias("files_in_order"),
+        F.sum("out_of_order").alias("rows_out_of_order"),
+    )
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rowtide.operators import overlay
 from rowtide.plans.fixtures import FIXTURES, frame, oracle, table
-from rowtide.plans.registry import query
+from rowtide.plans.registry import ORACLES, query
 
 ORDER_KEY = ["o_orderkey"]
 
@@ -114,13 +114,21 @@ def _overlay_update_only(spark, sf_dir):
     "collect_addendums",
     oracle(
         "LAYER_1 LAYER_2",
-        """SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, a.o_orderpriority, b.o_orderstatus
-        FROM LAYER_1 a FULL OUTER JOIN LAYER_2 b ON a.o_orderkey = b.o_orderkey
-        WHERE b.o_orderkey IS NULL OR NOT b._delete""",
+        """SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
+            CASE WHEN NOT coalesce(b._delete, FALSE) THEN a.o_orderpriority END AS o_orderpriority,
+            CASE WHEN NOT b._delete THEN b.o_orderstatus END AS o_orderstatus, coalesce(b._delete, FALSE) AS _delete
+        FROM LAYER_1 a FULL OUTER JOIN LAYER_2 b ON a.o_orderkey = b.o_orderkey""",
     ),
 )
 def _collect_addendums(spark, sf_dir):
-    return overlay.collect_addendums(layers(spark, sf_dir), 2, ORDER_KEY)
+    found = overlay.collect_addendums(layers(spark, sf_dir), 2, ORDER_KEY)
+    return found.select("o_orderkey", "o_orderpriority", "o_orderstatus", "_delete")
+
+
+@query("overlay_addendums", ORACLES["overlay_rows"])
+def _overlay_addendums(spark, sf_dir):
+    base, *upper = layers(spark, sf_dir)
+    return overlay.overlay_addendums(base, overlay.collect_addendums(upper, 2, ORDER_KEY), ORDER_KEY)
 
 
 FIXTURES["OBJECTS"] = """

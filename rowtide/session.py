@@ -24,6 +24,8 @@ def build_session(app: str = "rowtide", master: str | None = None, **settings: s
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Upper bound of a shuffle's width; partitions that turn out small are merged at run time.
+        "spark.sql.shuffle.partitions": "2000",
         "spark.sql.session.timeZone": "UTC",
         # Checkpoints go once nothing refers to them any more.
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
@@ -36,13 +38,14 @@ def build_session(app: str = "rowtide", master: str | None = None, **settings: s
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from the session's own setting.
 
-    Where the setting is absent a local session (as in tests) gets a temporary
-    folder; on a cluster that is an error.
+    Without the setting, a session within one process (``local`` or
+    ``local[n]``), as in tests, gets a temporary folder; everywhere else that is
+    an error.
     """
     context = spark.sparkContext
     configured = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
     if not configured:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="rowtide-")
     if context.getCheckpointDir() is None:

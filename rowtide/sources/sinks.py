@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rowtide.functions.text import quote_literal
-from rowtide.operators.diff import DELETE, INSERT, UPDATE, order_columns
-
-DEFAULT_PER_FILE = 900
+from rowtide.operators.diff import DELETE, INSERT, SORT_KEY, UPDATE, match_tables, run_order, table_changes
+from rowtide.spec import TableSpec
 
 DATA_OPS = (INSERT, UPDATE, DELETE)
 
@@ -15,40 +14,58 @@ DATA_OPS = (INSERT, UPDATE, DELETE)
 def write_change_set(
     changes: DataFrame,
     path: str,
-    max_per_file: int = DEFAULT_PER_FILE,
+    max_per_file: int = 0,
     ranks: dict[str, int] | None = None,
     single_stage: bool = False,
     kinds: tuple[str, ...] = DATA_OPS,
     file_format: str = "parquet",
+    partitions: int | None = None,
 ) -> None:
-    """Write a change set by stage and table, in the order it has to be run,
-    with at most ``max_per_file`` changes per file.
+    """Write a change set by stage and table, in the order it has to be run.
 
     Rows are range-partitioned in run order, so a table with most of the changes
-    is written by many tasks; within a folder file names sort in that order. The
-    position itself is kept in the file by the sort. ``single_stage`` puts all
-    under stage 0, deletes first.
+    is written by many tasks (``partitions``, or the session's shuffle width);
+    within a folder file names sort in that order, and rows within a file.
+    ``max_per_file`` limits the changes in a file, 0 sets no limit.
+    ``single_stage`` puts all under stage 0, deletes first.
     """
     rows = changes.filter(F.col("op").isin(*kinds))
-    order = order_columns(ranks)
+    order = run_order(changes, ranks)
     rows = rows.withColumn("stage_dir", F.lit(0) if single_stage else F.col("stage")).withColumn(
         "table_dir", F.col("table")
     )
-    ordered = rows.repartitionByRange("stage_dir", "table_dir", *order).sortWithinPartitions(
-        "stage_dir", "table_dir", *order
-    )
+    by = ["stage_dir", "table_dir", *order]
+    dealt = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
+    ordered = dealt.sortWithinPartitions(*by)
     writer = ordered.write.partitionBy("stage_dir", "table_dir").option("maxRecordsPerFile", max_per_file)
     writer.format(file_format).save(path)
 
 
-def change_file_buckets(changes: DataFrame, max_per_file: int = DEFAULT_PER_FILE) -> DataFrame:
-    """Number of changes in each file of a stage and table when files are filled
-    in order. Follows from the counts alone; no row is numbered."""
-    counts = changes.groupBy("stage", "table").agg(F.count(F.lit(1)).alias("total"))
-    last = F.floor((F.col("total") - 1) / max_per_file)
-    files = counts.withColumn("file", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    rest = F.col("total") - F.col("file") * max_per_file
-    return files.select("stage", "table", "file", F.least(F.lit(max_per_file).cast("bigint"), rest).alias("n"))
+def written_files(spark: SparkSession, path: str) -> DataFrame:
+    """What a folder of :func:`write_change_set` in Parquet really holds: for each
+    file its stage, table and name, the rows in it, its first and last ``key``
+    and the number of rows that stand before one with a smaller key."""
+    rows = spark.read.parquet(path).select(
+        "stage_dir", "table_dir", "key", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("place")
+    )
+    follower = rows.select(
+        F.col("stage_dir").alias("__s"), F.col("table_dir").alias("__t"), F.col("file").alias("__f"),
+        (F.col("place") - 1).alias("__p"), F.col("key").alias("__next"),
+    )
+    same = (
+        (F.col("stage_dir") == F.col("__s")) & (F.col("table_dir") == F.col("__t"))
+        & (F.col("file") == F.col("__f")) & (F.col("place") == F.col("__p"))
+    )
+    return (
+        rows.join(follower, same, "left")
+        .groupBy(F.col("stage_dir").alias("stage"), F.col("table_dir").alias("table"), "file")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("key").alias("first_key"),
+            F.max("key").alias("last_key"),
+            F.count_if(F.col("__next") < F.col("key")).alias("out_of_order"),
+        )
+    )
 
 
 # -- statement text -----------------------------------------------------------
@@ -119,3 +136,23 @@ def render_change_sql(changes: DataFrame, name: str = "sql") -> DataFrame:
         .when(F.col("op") == DELETE, delete)
     )
     return changes.withColumn(name, text)
+
+
+def render_many_sql(
+    changes: DataFrame, specs: dict[str, TableSpec], old: dict[str, DataFrame], new: dict[str, DataFrame], name: str = "sql"
+) -> DataFrame:
+    """The statements of a change set of many tables: table, stage, dep_rank, op,
+    sort_key and the text. Old and new states lend their schemas. Sort it by
+    :func:`run_order` to get the order in which to run it."""
+    parts = []
+    for table, old_name, new_name in match_tables(old, new, specs):
+        pk = list(specs[table].primary_key)
+        own = changes.filter(F.col("table") == table)
+        typed = table_changes(own.withColumn("__sort", F.col(SORT_KEY)), table, pk, old.get(old_name), new.get(new_name))
+        parts.append(render_change_sql(typed, name).select("table", "stage", "dep_rank", "op", F.col("__sort").alias(SORT_KEY), name))
+    if not parts:
+        raise ValueError("no table to render")
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    return union

@@ -2,16 +2,20 @@
 
 The state of a keyed table is kept as a base and a log: every micro-batch
 writes, for each key it touches, the last change only, in a folder named after
-the batch. Writing a batch costs what the batch holds, however large the table
-is; a repeated batch overwrites its own folder, so redelivery changes nothing.
-Reading puts the last change of each key over the base; compaction turns both
-into a new base.
+its feed and the batch. Several feeds, or one that starts anew, may write to one
+state: a feed is known by the id that Spark keeps in its checkpoint. Writing a
+batch costs what the batch holds, however large the table is; a repeated batch
+overwrites its own folder, so redelivery changes nothing. Reading folds the log
+alone and puts it over the base; compaction turns both into a new base.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
+from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -20,7 +24,8 @@ from rowtide.operators.checks import breaks_check, outside_enum
 from rowtide.operators.diff import DELETE
 from rowtide.spec import CheckSpec, EnumSpec, ForeignKeySpec
 
-BATCH = "batch"
+FEED, BATCH = "feed", "batch"
+QUERY_ID = "sql.streaming.queryId"
 
 
 def last_changes(changes: DataFrame, pk: list[str], seq: str) -> DataFrame:
@@ -46,27 +51,55 @@ def stream_apply_changes(
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        feed = batch.sparkSession.sparkContext.getLocalProperty(QUERY_ID)
+        feed = feed or hashlib.sha256(checkpoint.encode()).hexdigest()
         latest = last_changes(batch, pk, seq)
-        latest.write.mode("overwrite").parquet(os.path.join(_log(path), f"{BATCH}={number}"))
+        latest.write.mode("overwrite").parquet(os.path.join(_log(path), f"{FEED}={feed}", f"{BATCH}={number}"))
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def _read_log(spark: SparkSession, path: str, after: Mapping[str, int] | None) -> DataFrame | None:
+    """Changes of the log, None before the first batch. ``after`` names, for each
+    feed, a batch up to which the changes are not wanted."""
+    try:
+        log = spark.read.option("basePath", _log(path)).parquet(_log(path))
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    for feed, batch in (after or {}).items():
+        log = log.filter((F.col(FEED) != feed) | (F.col(BATCH) > batch))
+    return log.drop(FEED, BATCH)
+
+
 def _latest(
-    spark: SparkSession, path: str, pk: list[str], seq: str, base: DataFrame | None, after_batch: int
+    spark: SparkSession, path: str, pk: list[str], seq: str, base: DataFrame | None, after: Mapping[str, int] | None
 ) -> DataFrame:
     """Last change of each key, deletes included; base rows count as inserts."""
-    log = spark.read.option("basePath", _log(path)).parquet(_log(path)).filter(F.col(BATCH) > after_batch).drop(BATCH)
+    log = _read_log(spark, path, after)
+    if log is None and base is None:
+        raise ValueError(f"{path} has no changes yet, and there is no base")
+    if base is not None:
+        if "op" not in base.columns:
+            base = base.withColumn("op", F.lit("I"))
+        if seq not in base.columns:
+            base = base.withColumn(seq, F.lit(None).cast(log.schema[seq].dataType if log is not None else "bigint"))
+    if log is None:
+        return base
+    latest = last_changes(log, pk, seq)
     if base is None:
-        return last_changes(log, pk, seq)
-    if "op" not in base.columns:
-        base = base.withColumn("op", F.lit("I"))
-    if seq not in base.columns:
-        base = base.withColumn(seq, F.lit(None).cast(log.schema[seq].dataType))
-    both = base.select(*log.columns).unionByName(log)
-    # A base row without a number yields to every change.
-    order = F.struct(F.col(seq).isNotNull(), F.col(seq))
-    return last_changes(both.withColumn("__order", order), pk, "__order").drop("__order")
+        return latest
+    columns = log.columns
+    newer = latest.select(*[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__met"))
+    same = all_of([F.col(k).eqNullSafe(F.col(f"__{k}")) for k in pk])
+    # The base stays where it is if the folded log is small. A row without a number yields to every change.
+    over = F.col("__met").isNotNull() & (F.col(seq).isNull() | (F.col(f"__{seq}") >= F.col(seq)))
+    met = base.join(newer, same, "left").select(
+        *[F.when(over, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c not in pk else F.col(c) for c in columns]
+    )
+    keys = base.select(*[F.col(k).alias(f"__{k}") for k in pk])
+    return met.unionByName(latest.join(keys, same, "left_anti"))
 
 
 def current_state(
@@ -75,14 +108,28 @@ def current_state(
     pk: list[str],
     seq: str = "seq",
     base: DataFrame | None = None,
-    after_batch: int = -1,
+    after: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Rows of the table now: the base with the last change of each key over it.
 
-    ``base`` is the state before any change, or one written by :func:`compact`,
-    of which ``after_batch`` is the last batch it holds.
+    ``base`` has one row per key: the state before any change, or one written by
+    :func:`compact`, whose positions are then passed as ``after`` to spare the
+    changes it holds. Before the first batch the base is the state.
     """
-    return _latest(spark, path, pk, seq, base, after_batch).filter(F.col("op") != DELETE).drop("op")
+    state = _latest(spark, path, pk, seq, base, after)
+    return state.filter(F.col("op") != DELETE).drop("op")
+
+
+def positions(spark: SparkSession, path: str) -> dict[str, int]:
+    """The last batch of each feed in the log. One row per feed reaches the driver."""
+    try:
+        log = spark.read.option("basePath", _log(path)).parquet(_log(path))
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return {}
+        raise
+    last = log.groupBy(F.col(FEED).cast("string").alias(FEED)).agg(F.max(BATCH).cast("bigint").alias(BATCH))
+    return {row[FEED]: row[BATCH] for row in last.collect()}
 
 
 def compact(
@@ -92,14 +139,17 @@ def compact(
     pk: list[str],
     seq: str = "seq",
     base: DataFrame | None = None,
-    after_batch: int = -1,
-) -> None:
-    """Write base and log as a new base at ``target``.
+    after: Mapping[str, int] | None = None,
+) -> dict[str, int]:
+    """Write base and log as a new base at ``target``; returns the positions it holds.
 
     Sequence numbers and deletes are kept in it, so a late change still finds
-    its place and cannot bring a deleted row back.
+    its place and cannot bring a deleted row back. Batches that arrive meanwhile
+    count as not held, and reading a batch twice does no harm.
     """
-    _latest(spark, path, pk, seq, base, after_batch).write.mode("overwrite").parquet(target)
+    held = positions(spark, path)
+    _latest(spark, path, pk, seq, base, after).write.mode("overwrite").parquet(target)
+    return held
 
 
 # -- constraints --------------------------------------------------------------

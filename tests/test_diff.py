@@ -1,10 +1,13 @@
 import random
+from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from rowtide import TableSpec
+from rowtide import ForeignKeySpec, TableSpec
 from rowtide.operators import diff, options, setops
+from rowtide.sources import sinks
 from tests.conftest import rows
 
 SCHEMA = "k int, a string, b int"
@@ -198,3 +201,77 @@ def test_options(frame):
         (1, "x", "create", None, ""),
         (2, "a", "delete", "1", None),
     ]
+
+
+# -- change sets of many tables -----------------------------------------------
+
+
+def upgrade(frame):
+    old = {"public.achild": frame("id int, p int, note string", (1, 1, "x"), (2, 1, None), (11, 1, "k")),
+           "public.zparent": frame("id int, at timestamp, price decimal(9,2)", (1, datetime(2020, 1, 1, 0, 0, 0, 123456), Decimal("1.10")))}
+    new = {"public.achild": frame("id int, p int, note string", (2, 2, "y"), (None, 2, None), (11, 1, None), (3, 1, "z")),
+           "public.zparent": frame("id int, at timestamp, price decimal(9,2)", (1, datetime(2020, 1, 1, 0, 0, 0, 123457), None), (2, None, Decimal("7.00")))}
+    specs = {"public.achild": TableSpec("achild", (), ("id",), foreign_keys=(ForeignKeySpec(("p",), "zparent", ("id",), "fk"),)),
+             "public.zparent": TableSpec("zparent", (), ("id",))}
+    return old, new, specs
+
+
+def test_changes_of_many_tables_lose_nothing(frame):
+    old, new, specs = upgrade(frame)
+    changes = diff.diff_many_tables(old, new, specs)
+    for name, state in diff.apply_many(old, changes, specs, new).items():
+        assert rows(state, *new[name].columns) == rows(new[name])
+    typed = diff.table_changes(changes, "public.achild", ["id"], old["public.achild"], new["public.achild"])
+    single = diff.change_set(old["public.achild"], new["public.achild"], ["id"], table="public.achild", dep_rank=1)
+    assert rows(typed, *single.columns) == rows(single)
+
+
+def test_ranks_follow_foreign_keys(frame):
+    old, new, specs = upgrade(frame)
+    order = [(r["table"], r["op"], r["key"]) for r in diff.ordered_change_set(diff.diff_many_tables(old, new, specs)).collect()]
+    assert order == [
+        ("public.achild", "D", '{"id":1}'), ("public.zparent", "U", '{"id":1}'), ("public.zparent", "I", '{"id":2}'),
+        ("public.achild", "U", '{"id":2}'), ("public.achild", "U", '{"id":11}'),
+        ("public.achild", "I", '{"id":null}'), ("public.achild", "I", '{"id":3}'),
+    ]
+    circle = {"public.a": TableSpec("a", (), ("id",), foreign_keys=(ForeignKeySpec(("x",), "b"),)),
+              "public.b": TableSpec("b", (), ("id",), foreign_keys=(ForeignKeySpec(("x",), "a"),))}
+    with pytest.raises(ValueError, match="cycle"):
+        diff.foreign_key_ranks(circle)
+
+
+def test_statements_of_many_tables(frame):
+    old, new, specs = upgrade(frame)
+    found = diff.ordered_change_set(sinks.render_many_sql(diff.diff_many_tables(old, new, specs), specs, old, new))
+    texts = [r["sql"] for r in found.collect()]
+    assert texts[0] == "DELETE FROM public.achild\nWHERE id = 1;"
+    assert texts[2] == "INSERT INTO public.zparent (id, at, price) VALUES (2, NULL, 7.00);"
+    assert texts[4] == "UPDATE public.achild\nSET note = NULL\nWHERE id = 11;"
+    assert texts[5] == "INSERT INTO public.achild (id, p, note) VALUES (NULL, 2, NULL);"
+
+
+@pytest.mark.parametrize("kind,values", [
+    ("int", [None, -(2**31), -7, 0, 3, 11, 2**31 - 1]), ("string", [None, "", "B", "a", "a b", "aa"]),
+    ("double", [None, -1e300, -2.5, -1e-9, 0.0, 1e-9, 2.5, 1e300, float("inf")]), ("boolean", [None, False, True]),
+    ("decimal(9,2)", [None, Decimal("-12.30"), Decimal("-2.00"), Decimal("0.01"), Decimal("9.99"), Decimal("10.00")]),
+    ("date", [None, date(1960, 1, 1), date(2000, 1, 1), date(2000, 10, 1)]),
+    ("timestamp", [None, datetime(1960, 1, 1), datetime(2000, 1, 1, 0, 0, 0, 5), datetime(2000, 1, 1, 0, 0, 1)]),
+])
+def test_sort_keys_sort_as_the_values(frame, kind, values):
+    df = frame(f"i int, v {kind}", *enumerate(values))
+    text = diff.sortable_text(F.col("v"), df.schema["v"].dataType)
+    assert [r["i"] for r in df.orderBy(text).collect()] == list(range(len(values)))
+
+
+def test_repeated_keys_are_not_dropped_unreported(frame):
+    old, new = frame("k int, v int", (1, 1), (1, 2)), frame("k int, v int", (1, 3))
+    for run in (diff.rows_changed, diff.changed_columns, diff.cell_changes):
+        with pytest.raises(ValueError, match="change_set"):
+            run(old, new, ["k"], on_duplicate="flag")
+
+
+def test_applying_changes_of_a_key_with_a_third_of_all_rows(spark, frame):
+    state = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.lit("a").alias("v"))
+    changes = diff.change_set(frame("k long, v string", (0, "a")), frame("k long, v string", (0, "b")), ["k"])
+    found = diff.apply_change_set(state, changes, ["k"])
+    assert rows(found.groupBy("v").count()) == [("a", 20_000), ("b", 10_000)]

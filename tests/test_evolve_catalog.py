@@ -1,6 +1,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from rowtide import CheckSpec, ColumnSpec, DomainSpec, EnumSpec, TableSpec
 from rowtide.operators import assemble, catalog, evolve
@@ -211,8 +212,42 @@ def test_lists_follow_position_and_ignore_repeats(frame):
         (["y", "x"], ["Y", "X"], "NO ACTION", "SET DEFAULT")
     ]
     assert rows(inline) == []
-    with pytest.raises(Exception, match="position out of bounds"):
-        assemble.assemble_foreign_keys(frame(schema, row(5000, "x")), ["db"])[0].collect()
+    odd = frame(schema, row(5000, "z"), row(2, "y"), row(10, "x"))
+    keys, _ = assemble.assemble_foreign_keys(odd, ["db"])
+    assert rows(keys, "local_columns") == [(["y", "x"],)]
+    assert rows(assemble.rows_out_of_bounds(odd), "position", "error") == [(5000, "position out of bounds: 5000")]
+
+
+def test_an_unknown_trigger_event_is_reported(frame):
+    schema = "db int, table_name string, trigger_name string, event string, timing string, orientation string, statement string"
+    odd = frame(schema, *[(1, "t", "g", e, "AFTER", "ROW", "EXECUTE FUNCTION f()") for e in ("insert", "EXPLODE", None)])
+    assert rows(assemble.assemble_triggers(odd, ["db"]), "events") == [(["INSERT"],)]
+    assert rows(assemble.unknown_events(odd), "error") == [("unknown trigger event: EXPLODE",), ("unknown trigger event: none",)]
+
+
+def test_owned_sequences_go_with_or_without_their_schema(frame):
+    columns = frame("db int, column_name string, data_type string, nullable boolean, dflt string",
+                    (1, "a", "integer", False, "nextval('public.t_a_seq'::regclass)"),
+                    (1, "b", "integer", False, "nextval('\"S x\".\"T_b_seq\"'::regclass)"))
+    sequences = frame("db int, sequence_name string", (1, "t_a_seq"), (1, "T_b_seq"), (1, "free"))
+    assert rows(assemble.collapse_serials(columns, sequences, ["db"])[1], "sequence_name") == [("free",)]
+
+
+@pytest.mark.parametrize("name,modifier,text", [
+    ("varchar", 44, "varchar(40)"), ("bpchar", 5, "bpchar(1)"), ("numeric", (10 << 16) + 2 + 4, "numeric(10,2)"),
+    ("timestamptz", 3, "timestamptz(3)"), ("bit", 8, "bit(8)"), ("text", -1, "text"), ("varchar", -1, "varchar"),
+])
+def test_type_modifiers(frame, name, modifier, text):
+    found = frame("n string, m int", (name, modifier)).select(assemble.formatted_type(F.col("n"), F.col("m")).alias("t"))
+    assert rows(found) == [(text,)]
+
+
+def test_a_type_that_becomes_that_of_its_reference(frame):
+    schema = "db int, table_name string, column_name string, data_type string, nullable boolean, dflt string"
+    old, new = frame(schema, (1, "t", "c", "int", None, None)), frame(schema, (1, "t", "c", None, True, None))
+    assert rows(catalog.drift_columns(old, new, ["db"]), "action") == [("alter type",)]
+    same = [d.withColumn("resolved_type", F.lit("int")) for d in (old, new)]
+    assert rows(catalog.drift_columns(*same, ["db"])) == []
 
 
 def test_serials_are_told_by_type_default_and_nullability(frame):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rowtide import ColumnSpec, PartitionSpec, SequenceSpec, TableSpec
 from rowtide.operators import graph, inheritance, partitions, sequences
+from rowtide.operators.inheritance import inherited_columns
 from tests.conftest import plan_of, rows
 
 EDGES = "grp int, child int, parent int"
@@ -96,7 +97,72 @@ def test_foreign_key_to_an_inherited_column(frame):
 
 def test_parents_in_a_circle(frame):
     with pytest.raises(ValueError, match="cycle"):
-        graph.ancestor_pairs(frame("n int, p int", (1, 2), (2, 1)), [], "n", "p", max_depth=8)
+        graph.ancestor_pairs(frame("n int, p int", (1, 2), (2, 1)), [], "n", "p")
+    columns = frame("t int, column_name string", (1, "a"), (2, "b"), (3, "c"))
+    with pytest.raises(ValueError, match="cycle"):
+        inherited_columns(columns, frame("t int, p int", (3, 1), (1, 2), (2, 1)), [], "t", "p")
+
+
+def test_a_forest_of_1500_levels_has_no_cycle(spark, frame):
+    parents = spark.range(1, 1500).select(F.col("id").alias("t"), (F.col("id") - 1).alias("p"))
+    columns = frame("t long, column_name string, kind string", (0, "A", "root"), (0, "b", "root"), (700, "a", "middle"))
+    found = inherited_columns(columns, parents, [], "t", "p")
+    assert found.count() == 3000
+    deep = rows(found.filter("t = 1499"), "column_name", "kind", "defined_in", "depth")
+    assert deep == [("a", "middle", 700, 799), ("b", "root", 0, 1499)]
+
+
+def ladder(height, grp=0):
+    """Each node depends on the two below it, so nothing can be folded."""
+    return [(grp, i, i - d) for i in range(1, height) for d in (1, 2) if i >= d]
+
+
+def test_levels_of_a_ladder_and_of_many_graphs(spark, frame):
+    edges = ladder(60, 0) + [e for g in range(1, 300) for e in ladder(3 + g % 6, g)]
+    edges += [(300, 1, 2), (300, 2, 1), (300, 3, 1), (300, 3, 0), (300, 4, 0), (300, 4, 0), (300, 5, 5)]
+    links = frame("grp int, child int, parent int", *edges)
+    nodes = links.select("grp", F.col("child").alias("n"))
+    found = {(r["grp"], r["n"]): r["level"] for r in graph.dependency_levels(nodes, links, ["grp"], "n").collect()}
+    assert all(found[g, n] == n for g, n in found if g < 300)
+    assert [found[300, n] for n in range(6)] == [0, None, None, None, 1, 0]
+
+
+def test_a_hub_that_everything_points_to(spark):
+    links = spark.range(1, 20_001).select(F.col("id").alias("n"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") - 1).alias("t"))
+    links = links.filter("n > 1")
+    ends = graph.follow_pointers(links, [], "n", "t")
+    assert ends.count() == 19_999 and rows(ends.select("last").distinct()) == [(1,)]
+
+
+@pytest.mark.parametrize("text,table", [
+    ("UPDATE only_things SET a = 1", "public.only_things"),
+    ("update ONLY x.t set a = 1", "x.t"),
+    ("SELECT a\n  FROM x.t1\n WHERE b IN (SELECT c FROM y.t2)", "x.t1"),
+    ("DELETE FROM only s.t", "s.t"),
+    ("DELETE FROM onlytable", "public.onlytable"),
+    ('INSERT INTO "S"."T" VALUES (1)', "S.T"),
+    ("CALL nothing()", None),
+])
+def test_statement_forms(frame, text, table):
+    found = graph.statement_lineage(frame("s string", (text,)), "s").first()
+    assert (found["table_schema"] and f"{found['table_schema']}.{found['table_name']}") == table
+
+
+def test_renames_reach_all_forms_of_references(frame):
+    texts = [
+        ("a", None, None, "FOREIGN KEY (x) REFERENCES public.t (id) ON DELETE CASCADE"),
+        ("b", None, None, "FOREIGN KEY (x) REFERENCES t(id)"),
+        ("c", None, None, 'foreign key (x)\nreferences "Public" . "T"'),
+        ("d", "public", "T", None),
+        ("e", None, None, "FOREIGN KEY (x) REFERENCES other.t (id)"),
+        ("f", None, None, "something else"),
+        ("g", None, None, None),
+    ]
+    constraints = frame("constraint_name string, ref_schema string, ref_table string, definition string", *texts)
+    renames = frame("schema_name string, table_name string", ("public", "t"))
+    assert [r[0] for r in rows(graph.affected_by_rename(constraints, renames, []), "constraint_name")] == list("abcd")
+    told = rows(graph.affected_by_rename(constraints, renames, [], reason="why"), "constraint_name", "why")
+    assert told[4:] == [("f", "unreadable"), ("g", "unreadable")] and len(told) == 6
 
 
 # -- sequences ----------------------------------------------------------------

@@ -5,9 +5,10 @@ import pytest
 
 import __spark_entry__ as entry
 from check import connect, oracle_result, spark_result
+from rowtide.plans import load_all
 from tests.conftest import SMALL, plan_of
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load_all()
 
 
 @pytest.fixture(scope="module")
@@ -32,4 +33,5 @@ def test_entry(spark):
 
 
 def test_oracles_belong_to_queries():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(ORACLES) == set(QUERIES) <= set(entry.queries())

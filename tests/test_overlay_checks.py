@@ -169,3 +169,82 @@ def test_unknown_action(frame):
     df = frame("id int, p int", (1, 1))
     with pytest.raises(ValueError, match="unknown foreign key action"):
         checks.propagate_delete(df, df, ForeignKeySpec(("p",), "t", ("id",), on_delete="EXPLODE"), ["id"])
+
+
+# -- deletes ------------------------------------------------------------------
+
+
+def test_a_restricted_row_holds_what_is_above_it(frame):
+    tables = {
+        "a": frame("id int", (1,), (2,)),
+        "b": frame("id int, a int", (10, 1), (11, 1), (20, 2)),
+        "c": frame("id int, b int", (100, 10)),
+        "d": frame("id int, a int", (5, 1), (6, 2)),
+    }
+    key = lambda col, ref, action: ForeignKeySpec((col,), ref, ("id",), f"{col}_{ref}", action)
+    specs = {
+        "a": TableSpec("a", (), ("id",)),
+        "b": TableSpec("b", (), ("id",), foreign_keys=(key("a", "a", "CASCADE"),)),
+        "c": TableSpec("c", (), ("id",), foreign_keys=(key("b", "b", "RESTRICT"),)),
+        "d": TableSpec("d", (), ("id",), foreign_keys=(key("a", "a", "SET NULL"),)),
+    }
+    effects = checks.delete_effects({"a": tables["a"]}, tables, specs)
+    assert rows(effects.deleted["a"]) == [(2,)] and rows(effects.deleted["b"]) == [(20,)]
+    assert rows(effects.blocked["a"]) == [(1, True)] and rows(effects.blocked["b"]) == [(10, False), (11, False)]
+    assert rows(effects.updated["d"], "id", "op", "new_a") == [(6, "U", None)]
+    assert rows(checks.propagate_deletes({"a": tables["a"]}, tables, specs)["b"]) == [(20,)]
+
+
+@pytest.mark.parametrize("action,gone", [("CASCADE", [1, 2, 3, 4]), ("NO ACTION", []), ("RESTRICT", [])])
+def test_a_tree_that_refers_to_itself(frame, action, gone):
+    tree = frame("id int, up int", (1, None), (2, 1), (3, 2), (4, 3), (9, None), (8, 8))
+    spec = TableSpec("t", (), ("id",), foreign_keys=(ForeignKeySpec(("up",), "t", ("id",), "t_t", action),))
+    found = checks.delete_effects({"t": tree.filter("id = 1")}, {"t": tree}, {"t": spec})
+    assert rows(found.deleted["t"]) == [(i,) for i in gone]
+    # With the whole tree asked for, nothing that stays refers to it.
+    whole = checks.delete_effects({"t": tree.filter("id < 5")}, {"t": tree}, {"t": spec})
+    assert rows(whole.deleted["t"]) == ([(4,)] if action == "RESTRICT" else [(1,), (2,), (3,), (4,)])
+
+
+def test_no_action_looks_at_what_is_left(frame):
+    tables = {"p": frame("id int", (1,), (2,)), "c": frame("id int, p int", (10, 1), (20, 2)), "x": frame("id int, c int", (7, 20))}
+    specs = {
+        "p": TableSpec("p", (), ("id",)),
+        "c": TableSpec("c", (), ("id",), foreign_keys=(ForeignKeySpec(("p",), "p", ("id",), "c_p", "CASCADE"),)),
+        "x": TableSpec("x", (), ("id",), foreign_keys=(ForeignKeySpec(("c",), "c", ("id",), "x_c", "NO ACTION"),)),
+    }
+    found = checks.delete_effects({"p": tables["p"]}, tables, specs)
+    assert rows(found.deleted["p"]) == [(1,)] and rows(found.blocked["p"]) == [(2, True)]
+    both = checks.delete_effects({"p": tables["p"], "x": tables["x"]}, tables, specs)
+    assert rows(both.deleted["p"]) == [(1,), (2,)]
+
+
+def test_a_parent_with_a_third_of_all_children(spark, frame):
+    child = spark.range(30_000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") + 10).alias("p"))
+    fk = ForeignKeySpec(("p",), "parent", ("id",), "fk", on_update="CASCADE")
+    moved = checks.propagate_update(frame("old_id long, new_id long", (1, 5)), child, fk, ["id"])
+    assert moved.count() == 10_000 and rows(moved.select("new_p").distinct()) == [(5,)]
+
+
+# -- addendums and repeated keys ----------------------------------------------
+
+
+def test_addendums_keep_their_deletes(frame):
+    base = frame("k int, v string, w int", (1, "a", 1), (2, "b", 2), (3, "c", 3))
+    first = frame("k int, v string, _delete boolean", (1, None, True), (2, "x", False), (3, None, True))
+    second = frame("k int, v string, _delete boolean", (3, "again", False), (9, "new", False), (2, None, None))
+    added = overlay.collect_addendums([base, first, second], 2, ["k"])
+    assert rows(added, "k", "_delete") == [(1, True), (2, False), (3, False), (9, False)]
+    together = overlay.overlay_rows([base, first, second], ["k"])
+    assert rows(overlay.overlay_addendums(base, added, ["k"]), "k", "v", "w") == rows(together, "k", "v", "w")
+
+
+def test_repeated_overlay_keys_are_refused(frame):
+    base, twice = frame("k int, v string", (1, "a")), frame("k int, v string", (1, "x"), (1, "y"))
+    for run in (
+        lambda: overlay.overlay_update_only(base, twice, ["k"]),
+        lambda: overlay.overlay_overwrite([base, twice], ["k"], ["v"]),
+        lambda: overlay.collect_addendums([base, twice], 1, ["k"]),
+    ):
+        with pytest.raises(Exception, match="not unique"):
+            run().collect()

@@ -8,7 +8,7 @@ from rowtide.functions.types import length_limit, needs_quotes, spark_type
 from rowtide.operators import diff, grants, verify
 from rowtide.sources import rowsets, sinks
 from rowtide.streaming import changes as feeds
-from tests.conftest import rows
+from tests.conftest import plan_of, rows
 
 # -- cells and row sets -------------------------------------------------------
 
@@ -112,8 +112,14 @@ def test_files_hold_their_share(spark, tmp_path):
     assert per_file.agg(F.max("count")).first()[0] <= 40
     stages = {(r["stage_dir"], r["op"]) for r in written.select("stage_dir", "op").distinct().collect()}
     assert stages == {(2, "D"), (4, "I")}
-    buckets = rows(sinks.change_file_buckets(changes, 40), "stage", "file", "n")
-    assert buckets[:2] == [(2, 0, 40), (2, 1, 10)] and buckets[-1] == (4, 7, 20)
+    files = sorted(sinks.written_files(spark, path).collect(), key=lambda r: (r["stage"], r["file"]))
+    assert {s: sum(r["n"] for r in files if r["stage"] == s) for s in (2, 4)} == {2: 50, 4: 300}
+    assert all(r["n"] <= 40 and r["out_of_order"] == 0 for r in files)
+    for a, b in zip(files, files[1:]):
+        assert a["stage"] < b["stage"] or a["last_key"] < b["first_key"]
+    whole = str(tmp_path / "whole")
+    sinks.write_change_set(changes, whole, partitions=1)
+    assert sinks.written_files(spark, whole).count() == 2
     only = str(tmp_path / "only")
     sinks.write_change_set(changes, only, kinds=("D",), single_stage=True)
     assert rows(spark.read.parquet(only).groupBy("stage_dir", "op").count()) == [(0, "D", 50)]
@@ -213,8 +219,12 @@ def test_access_lists(frame):
 
 def test_unknown_permissions_are_not_gathered(frame):
     granted = frame("o string, grantee string, permission string, grantable boolean", ("t", "a", "JUGGLE", False))
-    with pytest.raises(Exception, match="unknown permission: JUGGLE"):
-        grants.effective_permissions(granted, frame("o string, owner string", ("t", "x")), ["o"]).collect()
+    found = grants.effective_permissions(granted, frame("o string, owner string", ("t", "x")), ["o"])
+    assert rows(found, "grantee", "permissions") == [("a", [])]
+    assert rows(grants.unknown_permissions(granted, ["o"])) == [("t", "a", "JUGGLE", "unknown permission JUGGLE")]
+    letters = grants.explode_acl(frame("o string, acl string", ("t", "a=rm/boss")), ["o"], "acl").withColumn("grantable", F.lit(False))
+    assert rows(grants.effective_permissions(letters, frame("o string, owner string"), ["o"]), "permissions") == [(["SELECT"],)]
+    assert rows(grants.unknown_permissions(letters, ["o"]), "error") == [("unknown code m",)]
 
 
 def test_only_grantees_are_read_only(frame):
@@ -230,6 +240,7 @@ def test_grant_options_are_kept(frame):
     target = frame(schema, ("t", "A", "select", True), ("t", "b", "SELECT", False), ("t", "c", "ODD", False))
     have = frame(schema, ("t", "a", "SELECT", False), ("t", "B", "select", True))
     assert rows(grants.missing_grants(target, have, ["o"])) == [("t", "a", "GRANT OPTION")]
+    assert rows(grants.incomparable_grants(target, ["o"])) == [("t", "c", "ODD", "not compared: ODD")]
 
 
 # -- feeds --------------------------------------------------------------------
@@ -261,13 +272,41 @@ def test_compaction_remembers_deletes(spark, frame, tmp_path):
     source, state, progress, packed = (str(tmp_path / n) for n in ("in", "state", "progress", "packed"))
     put(frame, source, (1, "a", "I", 1), (2, "b", "I", 2), (2, None, "D", 7))
     feeds.run_available(feeds.stream_apply_changes(feed(spark, source), state, progress, ["k"]))
-    feeds.compact(spark, state, packed, ["k"])
+    held = feeds.compact(spark, state, packed, ["k"])
+    assert list(held.values()) == [0]
     put(frame, source, (2, "late", "U", 5), (1, "new", "U", 8))
     feeds.run_available(feeds.stream_apply_changes(feed(spark, source), state, progress, ["k"]))
-    found = feeds.current_state(spark, state, ["k"], base=spark.read.parquet(packed), after_batch=0)
+    found = feeds.current_state(spark, state, ["k"], base=spark.read.parquet(packed), after=held)
     assert rows(found, "k", "v") == [(1, "new")]
 
 
+def test_two_feeds_into_one_state_lose_nothing(spark, frame, tmp_path):
+    state = str(tmp_path / "state")
+    base = frame("k int, v string", (7, "base"))
+    assert rows(feeds.current_state(spark, state, ["k"], base=base), "k", "v") == [(7, "base")]
+    with pytest.raises(ValueError, match="no changes yet"):
+        feeds.current_state(spark, state, ["k"])
+    for name, changes in (("one", [(1, "a", "I", 1), (2, "b", "I", 2)]), ("two", [(3, "c", "I", 3), (2, "late", "U", 1)])):
+        put(frame, str(tmp_path / name), *changes)
+        writer = feeds.stream_apply_changes(feed(spark, str(tmp_path / name)), state, str(tmp_path / f"progress-{name}"), ["k"])
+        feeds.run_available(writer)
+    expected = [(1, "a"), (2, "b"), (3, "c"), (7, "base")]
+    found = feeds.current_state(spark, state, ["k"], base=base)
+    assert rows(found, "k", "v") == expected
+    assert len(feeds.positions(spark, state)) == 2
+
+
+def test_reading_a_state_does_not_fold_its_base(spark, frame, tmp_path):
+    source, state, path = (str(tmp_path / n) for n in ("in", "state", "base"))
+    put(frame, source, (1, "a", "I", 1))
+    feeds.run_available(feeds.stream_apply_changes(feed(spark, source), state, str(tmp_path / "progress"), ["k"]))
+    spark.range(1000).selectExpr("CAST(id AS int) AS k", "'x' AS v").write.parquet(path)
+    plan = plan_of(feeds.current_state(spark, state, ["k"], base=spark.read.parquet(path)))
+    above = [part for part in plan.split("\n") if "Aggregate" in part]
+    # Two references to the folded log, each partial and final: none over the base.
+    assert len(above) <= 6 and "SortMergeJoin" not in plan
+
+
 def test_violations_of_a_table_and_of_a_stream_agree(spark, frame, tmp_path):
     rules = dict(
         not_null=("v",), checks=(CheckSpec("low", "seq < 3"),), enums={"op": EnumSpec("ops", ("I", "U"))},
