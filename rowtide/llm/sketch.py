@@ -167,7 +167,7 @@ def linked_pairs(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -
     )
     groups = max(1, pairs.count() * 2 // GROUP)
     wanted = members.unionByName(pivots).withColumn("dealt", F.pmod(F.xxhash64("pivot", "block"), F.lit(groups)))
-    loaded = texts.join(wanted, "doc_id")
+    loaded = texts.join(wanted.hint("merge"), "doc_id")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         shingler = Shingler(words)
@@ -256,7 +256,7 @@ def linked_in_blocks(live: DataFrame, texts: DataFrame, words: int, percent: int
             found += spanning_links(shingler, task, percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    loaded = texts.join(wanted, "doc_id").withColumn("dealt", F.pmod("task", F.lit(groups)))
+    loaded = texts.join(wanted.hint("merge"), "doc_id").withColumn("dealt", F.pmod("task", F.lit(groups)))
     return loaded.groupBy("dealt").applyInPandas(compare, "a long, b long").distinct()
 
 
@@ -315,8 +315,12 @@ def near_duplicates(
     classes = written(real.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
     entries = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("doc_id"))
     crowded = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = written(entries.join(crowded, "bucket"), "buckets")
+    # joined by a shuffle at every size: what a small input would broadcast, a large one could not
+    members = written(entries.join(crowded.hint("merge"), "bucket"), "buckets")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # the texts that comparisons need, moved once; later joins are with these only
+    wanted = members.select("doc_id").distinct()
+    texts = written(texts.join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
     # rows of one id with different sets tie their classes together
     ties = real.select("doc_id", *key).join(classes.select(*key, "rep"), key).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     several = real.groupBy("doc_id").agg(F.min("set_a").alias("x"), F.max("set_a").alias("y")).where("x <> y").select(F.col("doc_id").alias("a"))
@@ -345,4 +349,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of docs, with all their columns, whose document stands for its component."""
     mark = free_name(docs.columns, "dropped_id")
     gone = near_duplicates(docs, id_col, text_col, **options).where("NOT kept").select(F.col("doc_id").alias(mark)).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col(mark), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(id_col).cast("long") == F.col(mark), "left_anti")
