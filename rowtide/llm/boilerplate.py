@@ -32,7 +32,7 @@ MIN_SHARE = 0.01
 #: A template subtree with more than this share of a page's remaining text is kept on it.
 MOST_TEXT = 0.5
 
-_TAG = re.compile(r"""<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+>|[^>]*>?))""")
+_TAG = re.compile(r"""<(?:(!--)|([!?]|/(?![a-zA-Z]))|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+>|[^>]*>?))""")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[a-z0-9]+")
 

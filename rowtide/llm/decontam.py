@@ -74,6 +74,8 @@ def align(item: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int, in
     Of equal edits the earliest end counts, then the latest start.
     """
     n = len(region)
+    if n < len(item) - most:
+        return None  # the text ends before the item could
     cost = np.zeros(n + 1, np.int64)
     start = np.arange(n + 1)
     steps = np.arange(n + 1)

@@ -130,6 +130,17 @@ def test_matches_equal_brute_force(spark):
         assert least_edits(plain(dict(items)[r["item_id"]]), piece) == r["edits"]
 
 
+def test_items_cut_off_by_the_ends_of_a_text():
+    rng = random.Random(2)
+    item = "".join(rng.choice("abcdefgh ") for _ in range(200)).strip()
+    index = decontam.Index([(1, item)], decontam.Q, decontam.EDIT_SHARE)
+    k, m = index.edits[0], len(item)
+    for cut in range(0, m, 3):
+        for text in (item[cut:], item[: m - cut], "zz" + item[: m - cut], item[cut:] + "z"):
+            found = index.matches(text)
+            assert bool(found) == (least_edits(plain(item), plain(text)) <= k), cut
+
+
 def test_decontamination_edge_rows(spark):
     item = "the quick brown fox jumps over the lazy dog and runs far away into the woods"
     wide = item.replace(" ", " \n\t ")
