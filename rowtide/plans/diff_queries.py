@@ -479,10 +479,10 @@ def upgrade_states(spark, sf_dir):
                 coalesce(n.o_orderkey, o.o_orderkey), 0,
                 CASE WHEN n.o_orderkey IS NULL THEN 'DELETE FROM public.b_orders' || chr(10) || 'WHERE o_orderkey = ' || o.o_orderkey || ';'
                     WHEN o.o_orderkey IS NULL THEN 'INSERT INTO public.b_orders (o_orderkey, o_custkey, st) VALUES (' || n.o_orderkey
-                        || ', ' || n.o_custkey || ', ' || coalesce( || n.st || , 'NULL') || ');'
+                        || ', ' || n.o_custkey || ', ' || coalesce('''' || n.st || '''', 'NULL') || ');'
                     ELSE 'UPDATE public.b_orders' || chr(10) || 'SET ' || concat_ws(',' || chr(10) || '    ',
                         CASE WHEN n.o_custkey <> o.o_custkey THEN 'o_custkey = ' || n.o_custkey END,
-                        CASE WHEN n.st IS DISTINCT FROM o.st THEN 'st = ' || coalesce( || n.st || , 'NULL') END)
+                        CASE WHEN n.st IS DISTINCT FROM o.st THEN 'st = ' || coalesce('''' || n.st || '''', 'NULL') END)
                         || chr(10) || 'WHERE o_orderkey = ' || n.o_orderkey || ';' END
             FROM UP_ORDERS_OLD o FULL OUTER JOIN UP_ORDERS_NEW n ON o.o_orderkey = n.o_orderkey
             WHERE o.o_orderkey IS NULL OR n.o_orderkey IS NULL OR n.o_custkey <> o.o_custkey OR n.st IS DISTINCT FROM o.st
@@ -492,8 +492,8 @@ def upgrade_states(spark, sf_dir):
                 CASE WHEN n.l_orderkey IS NULL THEN 'DELETE FROM public.a_lines' || chr(10) || 'WHERE l_orderkey = ' || o.l_orderkey
                         || '  AND l_linenumber' || coalesce(' = ' || o.l_linenumber, ' IS NULL') || ';'
                     WHEN o.l_orderkey IS NULL THEN 'INSERT INTO public.a_lines (l_orderkey, l_linenumber, flag) VALUES (' || n.l_orderkey
-                        || ', ' || coalesce(CAST(n.l_linenumber AS VARCHAR), 'NULL') || ', ' || coalesce( || n.flag || , 'NULL') || ');'
-                    ELSE 'UPDATE public.a_lines' || chr(10) || 'SET flag = ' || coalesce( || n.flag || , 'NULL') || chr(10)
+                        || ', ' || coalesce(CAST(n.l_linenumber AS VARCHAR), 'NULL') || ', ' || coalesce('''' || n.flag || '''', 'NULL') || ');'
+                    ELSE 'UPDATE public.a_lines' || chr(10) || 'SET flag = ' || coalesce('''' || n.flag || '''', 'NULL') || chr(10)
                         || 'WHERE l_orderkey = ' || n.l_orderkey || '  AND' || chr(10) || '  l_linenumber'
                         || coalesce(' = ' || n.l_linenumber, ' IS NULL') || ';' END
             FROM UP_LINES_OLD o FULL OUTER JOIN UP_LINES_NEW n
