@@ -56,6 +56,10 @@ CHROME = frozenset(
     "footer header masthead comment comments commentlist disqus respond cookie cookies consent gdpr notice banner newsletter subscribe signup popup modal "
     "overlay share sharing social related recommended recommendations widget toolbar pagination pager skip login search copyright".split()
 )
+# Those that may stand around the article's own title.
+TITLE = frozenset("header masthead".split())
+# Class names of article elements that are not the article.
+NOT_ARTICLE = frozenset("comment comments reply ad advert advertisement teaser related promo".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 
@@ -64,6 +68,7 @@ class Element:
     tag: str
     dropped: bool
     by_form: bool = False
+    by_header: bool = False
     article: int = -1
     containers: tuple[int, ...] = ()
     number: int = -1  # among hashed containers
@@ -79,19 +84,26 @@ class Page:
     articles: int
 
 
-def marked(attributes: str, tag: str) -> bool:
-    """Whether an element's attributes say that it is not part of the article."""
+def marked(attributes: str, tag: str) -> str:
+    """Why an element is not part of the article by its attributes: `header`, `other`, or nothing."""
+    reason = ""
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id"):
-            if tag not in ("body", "html", "article", "main") and CHROME.intersection(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-                return True
+            if tag == "article":
+                if NOT_ARTICLE.intersection(value.lower().split()):
+                    return "other"
+            elif tag not in ("body", "html", "main"):
+                found = CHROME.intersection(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+                if found - TITLE:
+                    return "other"
+                reason = "header" if found else reason
         elif name == "role":
             if value.strip().lower() in ROLES:
-                return True
+                return "other"
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
-    return False
+            return "other"
+    return reason
 
 
 def parse(html: str) -> Page:
@@ -184,13 +196,19 @@ def parse(html: str) -> Page:
             continue
         top = stack[-1]
         main = tag in ("article", "main") or "articlebody" in rest.lower()
-        out = tag in DROPPED or marked(rest, tag)
-        element = Element(tag, top.dropped or out, top.by_form, top.article, top.containers)
+        why = marked(rest, tag)
+        if tag in HEADING and why == "header" and top.article >= 0:
+            why = ""  # the title itself
+        out = tag in DROPPED or bool(why)
+        element = Element(tag, top.dropped or out, top.by_form, top.by_header, top.article, top.containers)
         if out and not top.dropped:
-            element.by_form = tag == "form"
+            element.by_form = tag == "form" and not why
+            element.by_header = why == "header" or (tag in ("header", "hgroup") and not why)
+        elif out:
+            element.by_header = False
         if main and top.dropped and top.by_form and not out:
             element.dropped = False  # a form around the whole page
-        if tag in HEADING and top.dropped and top.tag in ("header", "hgroup") and top.article >= 0 and not marked(rest, tag):
+        if tag in HEADING and top.dropped and top.by_header and top.article >= 0 and why != "other":
             element.dropped = False  # the title in the article's own header
         if main and not element.dropped:
             element.article = articles if top.article < 0 or tag == "article" and stack_main(stack) else top.article

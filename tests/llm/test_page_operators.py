@@ -86,6 +86,9 @@ def text(html, templates=()):
     ("<div class='ad banner'>buy</div><div class='adult'>kept</div>", "kept"),
     ("<body><form><article><p>in a form</p></article></form><form>out <input></form>", "in a form"),
     ("<article><header><h2>Head</h2><span>by me</span></header><p>x</p><div class=comments><p>c</p></div></article>", "Head\n\nx"),
+    ("<article><div class='entry-header'><h1>T</h1><i>2020</i></div><p>x</p><article class='comment'><p>reader</p></article></article>", "T\n\nx"),
+    ("<div class='Header'><h1>Site</h1></div><p>x", "x"),
+    ("<article><h1 class='entry-header'>T</h1><p>x</article>", "T\n\nx"),
     ("<article><p>x<script>var t='</p><p>no';</script>y</p><!-- <p>hidden</p> --></article>", "xy"),
     ("<article><p>cut off in a ta", "cut off in a ta"),
     ("<article><p>cut <b", "cut"),
