@@ -79,9 +79,18 @@ class Block:
         self.unit = 1 / math.sqrt(dim + 1)  # projections of a unit difference are about this long
         flat = self.lifted @ self.axes
         self.order = np.argsort(flat, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(flat, self.order.T, axis=0).T.copy()
+        arrays = np.take_along_axis(flat, self.order.T, axis=0).T
+        # the arrays one after the other, moved apart, so that one search finds a place in each
+        self.low, self.span = float(arrays.min()), float(arrays.max() - arrays.min()) + 1.0
+        self.shift = np.arange(PROJECTIONS) * self.span
+        self.sorted = (arrays + self.shift[:, None]).ravel()
         self.enough = threshold(PROJECTIONS, dim + 1, HALF_WIDTH, FOUND)
 
+    def places(self, values: np.ndarray, side: str) -> np.ndarray:
+        """Place of one value in each sorted array."""
+        inside = np.clip(values, self.low - 0.4, self.low + self.span - 0.6)
+        return np.searchsorted(self.sorted, inside + self.shift, side) - np.arange(PROJECTIONS) * len(self.ids)
+
     def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best that are found, best first; ties to the smaller id."""
         n = len(self.ids)
@@ -96,8 +105,7 @@ class Block:
         radius, far = 0.35 * self.largest, math.inf
         while True:
             reach = HALF_WIDTH * radius * self.unit
-            lo = np.array([np.searchsorted(s, c - reach, "left") for s, c in zip(self.sorted, center, strict=True)])
-            hi = np.array([np.searchsorted(s, c + reach, "right") for s, c in zip(self.sorted, center, strict=True)])
+            lo, hi = self.places(center - reach, "left"), self.places(center + reach, "right")
             if low is None:
                 rims = [o[a:b] for o, a, b in zip(self.order, lo, hi, strict=True)]
             else:

@@ -168,3 +168,35 @@ def test_neighbour_edge_rows(spark):
     got = {q: [(-r.score, r.vec_id) for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] for q in want}
     assert got == want and want[220] == [] and len(want[200]) == 1
     assert collision.nearest(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+
+
+# ---- the pipeline's mixture, by sorting whole leaves --------------------------------------------------------------
+
+
+def order_by_hand(spark, docs, root, share, seed):
+    """(doc_id, text) that the pipeline's mixture takes in one epoch."""
+    rows = docs.select("doc_id", "lang", "source", "text", mixing.order_key(seed, F.lit(0), F.col("doc_id")).alias("place")).collect()
+    refer = {f"src{i}" for i in range(1, 10)}
+    by_leaf = {}
+    for r in rows:
+        domain = "web" if r.source == "src0" else "reference" if r.source in refer else "*"
+        node, path = root, ()
+        for name in (domain, r.lang, r.source):
+            name = name if name in node.children else "*"
+            node, path = node.children.get(name), (*path, name)
+            if node is None:
+                break
+        if node is not None:
+            by_leaf.setdefault(path, []).append((r.place, str(r.doc_id), len((r.text or "").split()), r.doc_id, r.text))
+    supply = {p: sum(x[2] for x in xs) for p, xs in by_leaf.items()}
+    budget = mixing.budgets(root, 3, supply, int(share * sum(supply.values())), 1)
+    out = []
+    for path, members in by_leaf.items():
+        upto, whole = 0, supply[path] and budget[path] >= supply[path]
+        for _, _, n, doc_id, text in sorted(members, key=lambda x: x[:2]):
+            upto += n
+            if not whole and upto > budget[path]:
+                break
+            if whole or budget[path] > 0:
+                out.append((doc_id, text))
+    return sorted(out)
