@@ -229,25 +229,28 @@ def stack_main(stack: list[Element]) -> bool:
     return next((e.tag == "main" for e in reversed(stack) if e.tag in ("article", "main")), False)
 
 
-def main_text(page: Page, templates: set[int], most_text: float = MOST_TEXT) -> str:
-    """Blocks of the article joined by an empty line, without template subtrees."""
+def kept_blocks(page: Page) -> list:
+    """Blocks (text, hashes of their containers) of the article, or of the whole page if it has none."""
     chosen = page.blocks
-    if page.articles:
-        sizes: dict[int, int] = {}
-        for text, _, article in page.blocks:
+    sizes: dict[int, int] = {}
+    for text, _, article in page.blocks:
+        if article >= 0:
             sizes[article] = sizes.get(article, 0) + len(text)
-        inside = [a for a in sizes if a >= 0]
-        if inside:
-            best = max(inside, key=lambda a: (sizes[a], -a))
-            chosen = [b for b in page.blocks if b[2] == best]
-    total = sum(len(b[0]) for b in chosen)
+    if sizes:
+        best = max(sizes, key=lambda a: (sizes[a], -a))
+        chosen = [b for b in page.blocks if b[2] == best]
+    return [(text, [page.hashes[c] for c in containers]) for text, containers, _ in chosen]
+
+
+def main_text(blocks: list, templates: set[int], most_text: float = MOST_TEXT) -> str:
+    """Blocks joined by an empty line, without those of template subtrees."""
+    total = sum(len(text) for text, _ in blocks)
     held: dict[int, int] = {}
-    for text, containers, _ in chosen:
-        for c in containers:
-            if page.hashes[c] in templates:
-                held[c] = held.get(c, 0) + len(text)
+    for text, containers in blocks:
+        for c in templates.intersection(containers):
+            held[c] = held.get(c, 0) + len(text)
     gone = {c for c, n in held.items() if n <= most_text * total}
-    return "\n\n".join(text for text, containers, _ in chosen if not gone.intersection(containers))
+    return "\n\n".join(text for text, containers in blocks if not gone.intersection(containers))
 
 
 def host_of(url: str | None) -> str:
@@ -277,7 +280,7 @@ def main_texts(
     an empty text. Repeated rows count as pages of their own. Pages without a readable host
     count as one host of that kind. Scripts and other raw text that never ends take the rest of the page. Other columns are not read.
     """
-    parsed = "uid long, page_id long, url string, host string, hashes array<long>, packed binary"
+    parsed = "uid long, page_id long, url string, host string, hashes array<long>, held array<long>, packed binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, number = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 40
@@ -285,31 +288,36 @@ def main_texts(
             rows: list[tuple] = []
             for ident, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page = parse(html or "")
-                keys = sorted({signed(h) for h in page.hashes})
-                body = json.dumps([page.blocks, page.hashes, page.articles], ensure_ascii=False).encode("utf-8", "replace")
-                rows.append((number, ident, url, host_of(url), keys, coder.compress(body)))
+                blocks = kept_blocks(page)
+                held = sorted({signed(h) for _, containers in blocks for h in containers})
+                body = json.dumps(blocks, ensure_ascii=False).encode("utf-8", "replace")
+                rows.append((number, ident, url, host_of(url), sorted({signed(h) for h in page.hashes}), held, coder.compress(body)))
                 number += 1
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.binary())
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["uid", "page_id", "url", "host", "hashes", "packed"])
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]
+            names = [x.split()[0] for x in parsed.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    plain = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
+    source = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
     # written once, so that uids stay and pages are parsed once
-    table = written(plain.mapInArrow(run, parsed), "pages")
-    subtrees = table.select("uid", "host", F.explode("hashes").alias("hash"))  # distinct within a page
+    table = written(source.mapInArrow(run, parsed), "pages")
+    subtrees = table.select("host", F.explode("hashes").alias("hash"))  # distinct within a page
     sites = table.groupBy("host").agg(F.count("*").alias("pages"))
     counts = subtrees.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     templates = counts.join(sites, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
-    hits = subtrees.join(templates, ["host", "hash"]).groupBy("uid").agg(F.collect_set("hash").alias("templates"))
-    joined = table.select("uid", "page_id", "url", "packed").join(hits, "uid", "left").select("page_id", "url", "packed", "templates")
+    # a page whose kept text lies in no counted subtree is not changed by any template and need not move
+    plain = table.where("size(held) = 0").select("page_id", "url", "packed", F.lit(None).cast("array<long>").alias("templates"))
+    rest = table.where("size(held) > 0")
+    hits = rest.select("uid", "host", F.explode("held").alias("hash")).join(templates, ["host", "hash"])
+    hits = hits.groupBy("uid").agg(F.collect_set("hash").alias("templates"))  # of one page
+    joined = rest.join(hits, "uid", "left").select("page_id", "url", "packed", "templates").unionByName(plain)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdDecompressor()
         for batch in batches:
             texts = []
             for packed, found in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                page = Page(*json.loads(coder.decompress(packed)))
-                texts.append(main_text(page, {h % (1 << 64) for h in found or ()}, most_text))
+                texts.append(main_text(json.loads(coder.decompress(packed)), {h % (1 << 64) for h in found or ()}, most_text))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )

@@ -74,7 +74,7 @@ def test_keys(url, key):
 
 
 def text(html, templates=()):
-    return boilerplate.main_text(boilerplate.parse(html), set(templates))
+    return boilerplate.main_text(boilerplate.kept_blocks(boilerplate.parse(html)), set(templates))
 
 
 @pytest.mark.parametrize("html,want", [
@@ -107,7 +107,7 @@ def test_main_text(html, want):
 @given(st.text(alphabet=st.sampled_from("<>/!-=\"' pabdivscriptarticle&;#\n"), max_size=120))
 def test_any_markup_is_read(html):
     page = boilerplate.parse(html)
-    assert isinstance(boilerplate.main_text(page, set(page.hashes)), str)
+    assert isinstance(boilerplate.main_text(boilerplate.kept_blocks(page), set(page.hashes)), str)
 
 
 def brute_main_texts(rows, min_pages, min_share):
@@ -122,7 +122,7 @@ def brute_main_texts(rows, min_pages, min_share):
     for i, u, page in parsed:
         host = boilerplate.host_of(u)
         found = {x for x in page.hashes if counts[host, x] >= min_pages and counts[host, x] >= min_share * pages[host]}
-        out.append((i, u, boilerplate.main_text(page, found)))
+        out.append((i, u, boilerplate.main_text(boilerplate.kept_blocks(page), found)))
     return sorted(out, key=repr)
 
 
