@@ -36,6 +36,8 @@ VALUE_BITS = 55
 BLOCK = 192
 #: Rows in one group of comparisons, pivots included.
 GROUP = 400
+#: Owner of the blocks that a cluster's small components share.
+SHARED = "shared"
 #: Rounds with one pivot for each bucket, before what is left is compared in blocks.
 PIVOT_ROUNDS = 2
 
@@ -223,27 +225,33 @@ def linked_in_blocks(live: DataFrame, texts: DataFrame, words: int, percent: int
     two of the same component, is compared in one place, where texts are sent once and not
     once for each pair of documents. Only documents of different components are compared.
     """
-    heads = live.groupBy("bucket").agg(F.min("doc_id").alias("b"))
-    cluster = components(live.join(heads, "bucket").select(F.col("doc_id").alias("a"), "b").distinct())
-    docs = live.select("doc_id", "label").distinct().join(cluster, F.col("doc_id") == F.col("node")).select("doc_id", live["label"], cluster["label"].alias("cluster"))
-    docs = written(docs, "clusters")
+    # clusters of components: a large group that is joined already is one node
+    heads = live.groupBy("bucket").agg(F.min("label").alias("b"))
+    met = live.join(heads, "bucket").where("label <> b").select(F.col("label").alias("a"), "b").distinct()
+    cluster = components(met).withColumnRenamed("label", "cluster")
+    docs = live.select("doc_id", "label").distinct().join(cluster, F.col("label") == F.col("node"))
+    docs = written(docs.select("doc_id", "label", "cluster"), "clusters")
     sizes = docs.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     large = F.col("n") > BLOCK
     small = sizes.where(~large).groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("parts"))
+    # a large component is the owner of its blocks, all small ones of a cluster share others
     plan = sizes.join(small, "cluster", "left").select(
         "cluster",
         "label",
-        F.when(large, F.col("label")).alias("own"),  # the component that a block is all of
+        F.when(large, F.col("label").cast("string")).otherwise(F.lit(SHARED)).alias("owner"),
         F.when(large, F.ceil(F.col("n") / BLOCK)).otherwise(F.col("parts")).cast("int").alias("parts"),
     )
-    part = F.pmod(F.xxhash64(F.when(F.col("own").isNotNull(), F.col("doc_id")).otherwise(F.col("label"))), F.col("parts"))
-    placed = docs.join(plan, ["cluster", "label"]).select("doc_id", "label", "cluster", F.concat_ws("/", "own", part).alias("block"))
-    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    blocks = plan.select("cluster", "own", "parts").distinct().select("cluster", "own", each)
-    blocks = blocks.select("cluster", "own", F.concat_ws("/", "own", "part").alias("block"))
-    other = blocks.select("cluster", F.col("own").alias("own_2"), F.col("block").alias("block_2"))
-    tasks = blocks.join(other, "cluster").where("block <= block_2 AND NOT coalesce(own = own_2, false)")
-    tasks = tasks.select("cluster", "block", "block_2", F.xxhash64("cluster", "block", "block_2").alias("task"))
+    part = F.pmod(F.xxhash64(F.when(F.col("owner") == SHARED, F.col("label")).otherwise(F.col("doc_id"))), F.col("parts"))
+    placed = docs.join(plan, ["cluster", "label"]).select("doc_id", "label", "cluster", F.concat_ws("/", "owner", part).alias("block"))
+    # pairs of owners first: the blocks of one component never meet each other
+    owners = plan.select("cluster", "owner", "parts").distinct()
+    other = owners.select("cluster", F.col("owner").alias("owner_2"), F.col("parts").alias("parts_2"))
+    pairs = owners.join(other, "cluster").where((F.col("owner") < F.col("owner_2")) | ((F.col("owner") == SHARED) & (F.col("owner_2") == SHARED)))
+    tasks = pairs.select("cluster", "owner", "owner_2", "parts_2", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    tasks = tasks.select("cluster", "owner", "owner_2", "part", F.explode(F.sequence(F.lit(0), F.col("parts_2") - 1)).alias("part_2"))
+    tasks = tasks.where((F.col("owner") != F.col("owner_2")) | (F.col("part") <= F.col("part_2")))
+    tasks = tasks.select("cluster", F.concat_ws("/", "owner", "part").alias("block"), F.concat_ws("/", "owner_2", "part_2").alias("block_2"))
+    tasks = tasks.withColumn("task", F.xxhash64("cluster", "block", "block_2"))
     left = placed.join(tasks, ["cluster", "block"]).select("doc_id", "label", "task", (F.col("block") == F.col("block_2")).alias("alone"), F.lit(0).alias("side"))
     second = tasks.where("block <> block_2").select("cluster", F.col("block_2").alias("block"), "task")
     right = placed.join(second, ["cluster", "block"]).select("doc_id", "label", "task", F.lit(False).alias("alone"), F.lit(1).alias("side"))
