@@ -1,7 +1,7 @@
 """Nearest neighbours by collision counting over single projections.
 
-Each block of vectors is projected on m orthonormal-by-blocks random directions and each projection is kept
-as a sorted array. A query opens a window around its own projection in every array; a vector
+Each block of vectors is projected on m random directions (orthonormal within each run of the
+dimension), and each projection is kept as a sorted array. A query opens a window around its own projection in every array; a vector
 collides where its projection lies in the window. Virtual rehashing widens all windows
 together, so only the new rims are counted. A vector with enough collisions is verified by
 its exact inner product. A query is done in a block once its k-th best verified neighbour
@@ -28,11 +28,11 @@ from rowtide.llm.common import written
 
 PROJECTIONS = 64
 #: Window's half width for a radius of 1.
-HALF_WIDTH = 0.75
+HALF_WIDTH = 1.0
 #: Radii grow by the first factor until k neighbours are verified, then by the second.
-GROWTH = (1.25, 1.08)
+GROWTH = (1.4, 1.2)
 #: Chance with which a vector at the radius reaches the threshold.
-FOUND = 0.92
+FOUND = 0.9
 BLOCK_ROWS = 32_768
 QUERY_ROWS = 1_024
 SEED = 20_240_101
