@@ -1,8 +1,9 @@
 """Main text of web pages without the parts that a site repeats.
 
 Every page is parsed once. Its container subtrees are hashed from their tags, text and
-children. Spark counts on how many pages of a host each hash stands; subtrees on
-many of them are the site's template and are deleted, unless they hold most of the page's text.
+children. Spark counts on how many pages of a host each hash stands, copies of one main text
+counted once; subtrees on many of them are the site's template and are deleted, unless they
+hold most of the page's text.
 What the template does not give away, such as a menu on a host with few pages, goes by its markup:
 navigation, header, footer, sidebar, form, script, advert, notice and comment elements.
 The text of the article element stays, or of the whole body if there is none.
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from rowtide.llm.common import written
 
-#: A subtree is template text on at least so many pages of its host, and at least this share of them.
+#: A subtree is template text on at least so many pages of its host, and at least this share of them;
+#: pages with the same kept text are one page here, as copies are no evidence of a template.
 MIN_PAGES = 10
 MIN_SHARE = 0.01
 #: A template subtree with more than this share of a page's remaining text is kept on it.
@@ -253,6 +255,11 @@ def main_text(blocks: list, templates: set[int], most_text: float = MOST_TEXT) -
     return "\n\n".join(text for text, containers in blocks if not gone.intersection(containers))
 
 
+def text_digest(blocks: list) -> int:
+    """Digest of the kept text, whatever its markup."""
+    return xxhash.xxh3_64_intdigest("\n\n".join(text for text, _ in blocks).encode("utf-8", "replace"))
+
+
 def host_of(url: str | None) -> str:
     try:
         return urlsplit(url or "").hostname or ""
@@ -277,10 +284,11 @@ def main_texts(
 
     Blocks are the runs of text between block elements, with references decoded and white space
     as one blank; a br or a table cell is white space. Null, empty and textless pages have
-    an empty text. Repeated rows count as pages of their own. Pages without a readable host
+    an empty text. Repeated rows have rows of their own here, but pages of a host with the same
+    kept text count once towards its templates. Pages without a readable host
     count as one host of that kind. Scripts and other raw text that never ends take the rest of the page. Other columns are not read.
     """
-    parsed = "uid long, page_id long, url string, host string, hashes array<long>, held array<long>, packed binary"
+    parsed = "uid long, page_id long, url string, host string, digest long, hashes array<long>, held array<long>, packed binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, number = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 40
@@ -291,9 +299,9 @@ def main_texts(
                 blocks = kept_blocks(page)
                 held = sorted({signed(h) for _, containers in blocks for h in containers})
                 body = json.dumps(blocks, ensure_ascii=False).encode("utf-8", "replace")
-                rows.append((number, ident, url, host_of(url), sorted({signed(h) for h in page.hashes}), held, coder.compress(body)))
+                rows.append((number, ident, url, host_of(url), signed(text_digest(blocks)), sorted({signed(h) for h in page.hashes}), held, coder.compress(body)))
                 number += 1
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]
             names = [x.split()[0] for x in parsed.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
@@ -301,8 +309,9 @@ def main_texts(
     source = pages.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
     # written once, so that uids stay and pages are parsed once
     table = written(source.mapInArrow(run, parsed), "pages")
-    subtrees = table.select("host", F.explode("hashes").alias("hash"))  # distinct within a page
-    sites = table.groupBy("host").agg(F.count("*").alias("pages"))
+    # a subtree counts once for each main text, on whichever copies of the page it stands
+    subtrees = table.select("host", "digest", F.explode("hashes").alias("hash")).distinct()
+    sites = table.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     counts = subtrees.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     templates = counts.join(sites, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
     # a page whose kept text lies in no counted subtree is not changed by any template and need not move

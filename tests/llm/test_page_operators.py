@@ -145,6 +145,20 @@ def test_repeated_subtrees_go(spark):
     assert boilerplate.main_texts(df.limit(0)).collect() == []
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    plain_page = "<body><h1>Title</h1><p>first paragraph of it</p><p>second paragraph of it</p><p>third one</p></body>"
+    parts = "<article><section>one section</section><div>one box</div><ul><li>a<li>b</ul><details>more of it</details><table><tr><td>cell</table></article>"
+    rows = [(i, f"http{'s' * (i % 2)}://a.org/x?utm={i}", plain_page) for i in range(10)]
+    rows += [(100 + i, "http://b.org/y", f"<body><div class=nav>{i}</div>{parts}</body>") for i in range(12)]
+    rows += [(200 + i, f"http://c.org/{i}", f"<body><div>Welcome</div><div>{'own words ' * 3}{i}</div></body>") for i in range(10)]
+    rows += [(300 + i, "http://c.org/0", rows[22][2]) for i in range(1500)]  # copies do not dilute a host's share either
+    found = {r.page_id: r.text for r in boilerplate.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {found[i] for i in range(10)} == {"Title\n\nfirst paragraph of it\n\nsecond paragraph of it\n\nthird one"}
+    assert {found[100 + i] for i in range(12)} == {"one section\n\none box\n\na\n\nb\n\nmore of it\n\ncell"}
+    assert all(found[200 + i].startswith("own words") for i in range(10))
+    assert len(found) == len(rows) and found[1799] == found[200]
+
+
 # ---- packed rows --------------------------------------------------------------------------------------------------
 
 
