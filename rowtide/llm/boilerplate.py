@@ -6,7 +6,9 @@ counted once; subtrees on many of them are the site's template and are deleted,
 hold most of the page's text.
 What the template does not give away, such as a menu on a host with few pages, goes by its markup:
 navigation, header, footer, sidebar, form, script, advert, notice and comment elements.
-The text of the article element stays, or of the whole body if there is none.
+The text of the article element stays, with its sibling articles and what its main element
+says under a heading of its own, or of the whole body if there is none. A class or id that only
+wraps the page's article or main marks nothing.
 """
 
 from __future__ import annotations
@@ -74,20 +76,33 @@ class Element:
     article: int = -1
     containers: tuple[int, ...] = ()
     number: int = -1  # among hashed containers
+    fixed: bool = False  # dropped by more than class and id values
+    wrap: int = -1  # the innermost element around it that is marked by class or id
+    place: int = 0  # number of the element
     parts: list = field(default_factory=list)
 
 
 @dataclass
 class Page:
-    """Blocks as (text, containers, article, heading in a header), hashes of the containers, text length of each."""
+    """Blocks as (text, containers, article, is a heading, wrap), hashes of the containers, and what is known of each article."""
 
     blocks: list
     hashes: list
-    articles: int
+    articles: list  # (main or parent element it stands in, is a main, is a comment or teaser) by number
+    wrapped: bool  # an article was dropped only for class or id values around it
+
+
+def words(value: str) -> list[str]:
+    return _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+
+
+def named(attributes: str) -> set[str]:
+    """Words of the class and id values."""
+    return {w for name, *values in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for w in words(next((v for v in values if v), ""))}
 
 
 def marked(attributes: str, tag: str) -> str:
-    """Why an element is not part of the article by its attributes: `header`, `other`, or nothing."""
+    """Why an element is not part of the article by its attributes: `other`, else by its class or id `name` or `header`, or nothing."""
     reason = ""
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
@@ -96,10 +111,11 @@ def marked(attributes: str, tag: str) -> str:
                 if NOT_ARTICLE.intersection(value.lower().split()):
                     return "other"
             elif tag not in ("body", "html", "main"):
-                found = CHROME.intersection(_WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+                found = CHROME.intersection(words(value))
                 if found - TITLE:
-                    return "other"
-                reason = "header" if found else reason
+                    reason = "name"
+                elif found:
+                    reason = reason or "header"
         elif name == "role":
             if value.strip().lower() in ROLES:
                 return "other"
@@ -109,13 +125,36 @@ def marked(attributes: str, tag: str) -> str:
 
 
 def parse(html: str) -> Page:
-    """Blocks and container hashes of a page; broken markup is read as far as it goes."""
+    """Blocks and container hashes of a page; broken markup is read as far as it goes.
+
+    A page whose only articles stand in elements marked by class or id is read again with these:
+    if those of one such element say more than all the rest, the mark was that of a wrapper.
+    """
+    page = read(html, False)
+    if not page.wrapped or any(b[2] >= 0 and not page.articles[b[2]][1] for b in page.blocks):
+        return page
+    other = read(html, True)
+    held: dict[int, int] = {}
+    for b in other.blocks:
+        held[b[4]] = held.get(b[4], 0) + len(b[0])
+    rest = held.pop(-1, 0)
+    best = max(held, key=lambda w: (held[w], -w), default=-1)
+    if best < 0 or held[best] <= rest:
+        return page
+    other.blocks = [b for b in other.blocks if b[4] in (-1, best)]
+    return other
+
+
+def read(html: str, unwrap: bool) -> Page:
+    """One reading of a page, with or without the articles inside elements that are marked by class or id."""
     root = Element("#root", False)
     stack = [root]
     blocks: list = []
     hashes: list = []
     buffer: list[str] = []
-    articles = 0
+    articles: list = []
+    wrapped = False
+    places = 0
 
     def add_text(text: str) -> None:
         top = stack[-1]
@@ -129,7 +168,7 @@ def parse(html: str) -> Page:
             buffer.clear()
             if text:
                 top = stack[-1]
-                blocks.append((text, top.containers, top.article))
+                blocks.append((text, top.containers, top.article, top.tag in HEADING, top.wrap))
 
     def pop() -> None:
         top = stack[-1]
@@ -202,19 +241,31 @@ def parse(html: str) -> Page:
         if tag in HEADING and why == "header" and top.article >= 0:
             why = ""  # the title itself
         out = tag in DROPPED or bool(why)
-        element = Element(tag, top.dropped or out, top.by_form, top.by_header, top.article, top.containers)
+        places += 1
+        element = Element(tag, top.dropped or out, top.by_form, top.by_header, top.article, top.containers, fixed=top.fixed, wrap=top.wrap, place=places)
+        if why in ("header", "name") and (tag not in DROPPED or tag == "form"):
+            element.wrap = places
+        elif out and not (tag == "form" and not why):
+            element.fixed = True
         if out and not top.dropped:
             element.by_form = tag == "form" and not why
             element.by_header = why == "header" or (tag in ("header", "hgroup") and not why)
         elif out:
             element.by_header = False
-        if main and top.dropped and top.by_form and not out:
-            element.dropped = False  # a form around the whole page
-        if tag in HEADING and top.dropped and top.by_header and top.article >= 0 and why != "other":
+        if main and top.dropped and not out and (top.by_form or not top.fixed):
+            if tag == "main" or top.wrap < 0 or unwrap:
+                element.dropped = False  # a form around the whole page, or a wrapper
+                element.wrap = -1 if tag == "main" else top.wrap
+            else:
+                wrapped = True
+        if tag in HEADING and top.dropped and top.by_header and top.article >= 0 and why not in ("other", "name"):
             element.dropped = False  # the title in the article's own header
         if main and not element.dropped:
-            element.article = articles if top.article < 0 or tag == "article" and stack_main(stack) else top.article
-            articles += element.article == articles
+            element.article = len(articles) if top.article < 0 or tag == "article" and stack_main(stack) else top.article
+            if element.article == len(articles):
+                around = next((e.place for e in reversed(stack) if e.tag == "main" and not e.dropped), top.place)
+                side = tag == "article" and not NOT_ARTICLE.isdisjoint(named(rest))
+                articles.append((places if tag == "main" else around, tag == "main", side))
         if tag in CONTAINER and (top.article < 0 or tag not in ("p", "blockquote", *HEADING)):
             element.number = len(hashes)
             hashes.append(0)
@@ -223,7 +274,7 @@ def parse(html: str) -> Page:
     while len(stack) > 1:
         pop()
     flush()
-    return Page(blocks, hashes, articles)
+    return Page(blocks, hashes, articles, wrapped)
 
 
 def stack_main(stack: list[Element]) -> bool:
@@ -232,16 +283,22 @@ def stack_main(stack: list[Element]) -> bool:
 
 
 def kept_blocks(page: Page) -> list:
-    """Blocks (text, hashes of their containers) of the article, or of the whole page if it has none."""
+    """Blocks (text, hashes of their containers) of the article and its siblings, or of the whole page if it has none.
+
+    Siblings are the articles of the same main element, or of the same parent if there is no main,
+    but no comments or teasers. The main's own blocks stay if a heading is among them, or if they are most.
+    """
     chosen = page.blocks
     sizes: dict[int, int] = {}
-    for text, _, article in page.blocks:
+    for text, _, article, *_ in page.blocks:
         if article >= 0:
             sizes[article] = sizes.get(article, 0) + len(text)
     if sizes:
         best = max(sizes, key=lambda a: (sizes[a], -a))
-        chosen = [b for b in page.blocks if b[2] == best]
-    return [(text, [page.hashes[c] for c in containers]) for text, containers, _ in chosen]
+        headed = {b[2] for b in page.blocks if b[3]}
+        keep = {a for a in sizes if page.articles[a][0] == page.articles[best][0] and (a in headed if page.articles[a][1] else not page.articles[a][2])} | {best}
+        chosen = [b for b in page.blocks if b[2] in keep]
+    return [(text, [page.hashes[c] for c in containers]) for text, containers, *_ in chosen]
 
 
 def main_text(blocks: list, templates: set[int], most_text: float = MOST_TEXT) -> str:

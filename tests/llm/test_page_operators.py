@@ -103,6 +103,24 @@ def test_main_text(html, want):
     assert text(html) == want
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<div class='content-sidebar-wrap'><main><article><h1>T</h1><p>x</p></article></main><div class='sidebar'>s</div></div>", "T\n\nx"),
+    ("<div class='has-sidebar'><article><p>the whole article</p></article><div class='comments'><article><p>a reader</p></article></div></div>", "the whole article"),
+    ("<div id='no-comments'><div class='related-layout'><article><p>x</p><div class='share'>s</div></article></div></div>", "x"),
+    ("<div class='masthead-page'><main><p>x</p></main></div>", "x"),
+    ("<main><h1>T</h1><div class='content-sidebar-wrap'><article><p>the article in it</p></article></div></main>", "T\n\nthe article in it"),
+    ("<main><h1>Title</h1><p>lead</p><article><p>text of the article</p></article></main>", "Title\n\nlead\n\ntext of the article"),
+    ("<main><article><p>one</p></article><div><article><p>number two</p></article></div><article class='post-teaser'>t</article></main>", "one\n\nnumber two"),
+    ("<div><article><p>one</p></article><article><p>number two</p></article></div><div><article>far</article></div>", "one\n\nnumber two"),
+    ("<p>the text of a page without article</p><div class='related'><article><p>teaser</p></article></div>", "the text of a page without article"),
+    ("<article><p>x</p></article><div class='related'><article><p>a teaser that is longer</p></article></div>", "x"),
+    ("<div class='sidebar' hidden><article><p>no</p></article></div><nav class='menu'><article>no</article></nav><p>yes</p>", "yes"),
+    ("<form class='search-page'><article><p>x</p></article></form>", "x"),
+])
+def test_layouts_keep_their_text(html, want):
+    assert text(html) == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("<>/!-=\"' pabdivscriptarticle&;#\n"), max_size=120))
 def test_any_markup_is_read(html):
