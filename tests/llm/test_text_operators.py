@@ -224,6 +224,33 @@ def test_notices(spark):
     assert licenses.notices(df, templates=[]).collect() == []
 
 
+def test_notices_inside_other_words(spark):
+    mit = next(t for _, n, t in licenses.TEMPLATES if n == "mit-text")
+    apache = next(t for _, n, t in licenses.TEMPLATES if n == "apache-header")
+    cut = mit.index("The above"), mit.index("THE SOFTWARE IS")
+    parts = [mit[: cut[0]], mit[cut[0] : cut[1]], mit[cut[1] :]]
+    commented = "\n#\n".join("\n".join("# " + p[i : i + 60] for i in range(0, len(p), 60)) for p in parts)
+    code = "".join(f"def f{i}(x{i}):\n    return x{i} + {i}\n\n" for i in range(100))
+    rows = [
+        (1, "Copyright 2021 Foo Inc. All rights reserved."),
+        (2, "Released under the MIT License. All rights reserved."),
+        (3, "The tool was written in 2019 and is licensed under the Apache License, Version 2.0, as many others are, so take it."),
+        (4, code + "\n\n".join(parts) + "\n\n" + code),
+        (5, f"#!/bin/sh\n{commented}\n{code}"),
+        (6, code + "".join(f" * {x}\n" for x in apache.split(". ")) + code + "Licensed under CC BY 4.0.\n"),
+        (7, "words of the software to be in the software " * 300),
+        (8, "All rights reserved.\nCopyright Foo. All rights reserved. Copyright Bar. All rights reserved."),
+    ]
+    found = licenses.notices(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id, r.unit, r.template) for r in found)
+    every = "all-rights-reserved"
+    want = [(1, "window", every), (2, "window", every), (2, "window", "mit-released"), (3, "window", "apache-licensed"), (4, "window", "mit-text"), (5, "window", "mit-text")]
+    want += [(6, "line", "cc-by-short"), (6, "paragraph", "apache-header"), (8, "line", every), (8, "window", every), (8, "window", every)]
+    assert got == want
+    assert {r.number for r in found if r.doc_id in (1, 2)} == {0, 4, 5}
+    assert all(r.dice >= 0.8 for r in found) and {round(r.dice, 9) for r in found if r.doc_id in (1, 2, 3)} == {1.0}
+
+
 def test_notices_stay_in_the_jvm(spark):
     plan = plan_of(licenses.notices(spark.read.parquet(f"{SMALL}/documents.parquet")))
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Exchange", "Join"))
