@@ -20,8 +20,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from rowtide.llm.files import folder, opened_for_read, opened_for_write
 
@@ -122,6 +123,17 @@ def encode_whole(encoder, text: str, part: int = 200_000) -> np.ndarray:
     return np.concatenate(out)
 
 
+def token_count(texts: Column, tokenizer_path: str, pattern: str) -> Column:
+    """Number of ids that a text is packed as, without an end; null counts as none."""
+
+    @F.arrow_udf(LongType())
+    def count(column: pa.Array) -> pa.Array:
+        encoder = byte_pair_encoder(tokenizer_path, pattern)
+        return pa.array([len(encode_whole(encoder, t.as_py())) if t.is_valid and len(t.as_py()) else 0 for t in column], pa.int64())
+
+    return count(texts.cast("string"))
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,

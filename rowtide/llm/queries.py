@@ -155,7 +155,9 @@ def pack_rows(spark, sf_dir):
 def mix_sources(spark, sf_dir):
     """Documents of a mixture of four fifths of the tokens there are, over at most two epochs, with the epochs each is taken in."""
     docs = table(spark, sf_dir, "documents")
-    taken = mixing.mix(docs, MIXTURE, mixture_levels(), 0.4, epochs=2, seed=17, copies_col="copies")
+    settings = byte_pairs()
+    tokens = packing.token_count(F.col("text"), settings["tokenizer_path"], settings["pattern"])
+    taken = mixing.mix(docs, MIXTURE, mixture_levels(), 0.4, tokens=tokens, epochs=2, seed=17, copies_col="copies")
     return taken.select("doc_id", "lang", "source", "copies")
 
 

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rowtide.llm import collision, mixing
+from rowtide.llm import collision, mixing, packing, queries
 from rowtide.llm.mixing import Node
 
 # ---- mixtures -----------------------------------------------------------------------------------------------------
@@ -119,6 +119,26 @@ def test_word_counts(spark):
     assert [r[0] for r in df.select(mixing.word_count(F.col("text"))).collect()] == [0, 0, 2, 2, 1]
 
 
+def test_registered_mixture_counts_tokens(spark, tmp_path, monkeypatch):
+    settings_ = queries.byte_pairs()
+    encoder = packing.byte_pair_encoder(settings_["tokenizer_path"], settings_["pattern"])
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["en", "es", "zh"]), "src1", rng.choice(["the house ", "la años más ", "的一是\u3000"]) * rng.randint(1, 40)) for i in range(80)]
+    rows += [(90, "en", "src1", "".join(rng.choice("abcXYZ019+/") for _ in range(30_000))), (91, "en", "src1", None), (92, "es", "src1", "")]
+    tokens = {r[0]: len(encoder.encode_ordinary(r[3] or "")) for r in rows}
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    counted = df.select("doc_id", packing.token_count(F.col("text"), settings_["tokenizer_path"], settings_["pattern"]).alias("n"))
+    assert {r.doc_id: r.n for r in counted.collect()} == tokens
+    assert tokens[90] > 10_000
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.copies for r in queries.mix_sources(spark, str(tmp_path)).collect()}
+    given_ = df.join(spark.createDataFrame(list(tokens.items()), "doc_id long, n long"), "doc_id")
+    want = mixing.mix(given_, queries.MIXTURE, queries.mixture_levels(), 0.4, tokens=F.col("n"), epochs=2, seed=17, copies_col="copies")
+    assert found == {r.doc_id: r.copies for r in want.collect()}
+    words = mixing.mix(df, queries.MIXTURE, queries.mixture_levels(), 0.4, epochs=2, seed=17, copies_col="copies")
+    assert found != {r.doc_id: r.copies for r in words.collect()}
+
+
 # ---- nearest neighbours -------------------------------------------------------------------------------------------
 
 
