@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm import boilerplate, collision, compression, decontam, licenses, mixing, packing, rankmerge, sketch, warc
+from rowtide.llm import boilerplate, collision, compression, decontam, licenses, mixing, packing, prefixbpe, rankmerge, sketch, warc
 from rowtide.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,3 +205,15 @@ def near_duplicates(spark, sf_dir):
 def benchmark_matches(spark, sf_dir):
     """Every place of a document that holds a benchmark item with few edits."""
     return decontam.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_prefix_bpe")
+def prefix_bpe(spark, sf_dir):
+    """Ids of every document by the byte-level vocabulary, and the text decoded from them, as digests."""
+    import public_tokenizers
+
+    settings = {"path": public_tokenizers.path("byte_bpe_50k.json"), "pattern": public_tokenizers.PATTERN}
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = prefixbpe.with_text(prefixbpe.with_ids(docs, **settings).drop("text"), **settings)
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return both.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -23,7 +23,7 @@ def test_query(spark, name):
 
 def test_registered():
     names = entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.QUERIES) < set(names) and "pipeline" in names
 
 
