@@ -92,3 +92,26 @@ def components(edges: DataFrame) -> DataFrame:
         labels = stepped.select("node", "label")
         if not changed:
             return labels
+
+
+def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The consecutive rows with equal values in the first `keys` columns, which hold integers without nulls.
+
+    Holds one run at a time; rows have to come sorted by these columns.
+    """
+    held: list[pa.RecordBatch] = []
+    current = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(k).to_numpy() for k in range(keys)], axis=1)
+        starts = np.flatnonzero(np.append(True, (values[1:] != values[:-1]).any(axis=1)))
+        for start, end in zip(starts, np.append(starts[1:], batch.num_rows), strict=True):
+            key = tuple(values[start])
+            if held and key != current:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+            current = key
+    if held:
+        yield pa.Table.from_batches(held)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm import boilerplate, collision, compression, decontam, licenses, mixing, packing, prefixbpe, rankmerge, sketch, warc
+from rowtide.llm import boilerplate, collision, compression, decontam, licenses, merkle, mixing, packing, prefixbpe, rankmerge, sketch, warc
 from rowtide.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +217,72 @@ def prefix_bpe(spark, sf_dir):
     both = prefixbpe.with_text(prefixbpe.with_ids(docs, **settings).drop("text"), **settings)
     n_tokens = (F.octet_length("ids") / 4).cast("long")
     return both.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def sql_crc32(text: str) -> str:
+    """crc32 of an ASCII text, bit by bit."""
+    bits = "CASE WHEN r & 1 = 1 THEN xor(3988292384, r >> 1) ELSE r >> 1 END"
+    eight = f"list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda r, z: {bits})"
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {eight}))"
+
+
+def _sql_leaf(n_chars: str) -> str:
+    values = ["doc_id", "source", "lang", n_chars, "text"]
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen(CAST({v} AS VARCHAR)) AS VARCHAR) || ':' || CAST({v} AS VARCHAR), '-')" for v in values) + ")"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_sql_leaf("n_chars")} AS leaf, {_sql_leaf("(n_chars + 1)")} AS other, {sql_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 AS tampered FROM documents
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d
+), g AS (
+  SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j, list(leaf ORDER BY i) AS nodes FROM l GROUP BY lang
+), low AS (
+  SELECT j, 0 AS level, nodes FROM g UNION ALL
+  SELECT j, level + 1, list_transform(range(0, len(nodes), 2), lambda k: sha256(nodes[k + 1] || coalesce(nodes[k + 2], ''))) FROM low WHERE len(nodes) > 1
+), high AS (
+  SELECT 0 AS level, list(nodes[1] ORDER BY j) AS nodes FROM low WHERE len(nodes) = 1 UNION ALL
+  SELECT level + 1, list_transform(range(0, len(nodes), 2), lambda k: sha256(nodes[k + 1] || coalesce(nodes[k + 2], ''))) FROM high WHERE len(nodes) > 1
+), lown AS (
+  SELECT j, level, unnest(nodes) AS node, unnest(range(len(nodes))) AS k FROM low
+), highn AS (
+  SELECT level, unnest(nodes) AS node, unnest(range(len(nodes))) AS k FROM high
+), p AS (
+  SELECT g.j, l.i, l.doc_id, l.leaf, l.other, l.tampered FROM l JOIN g ON l.lang IS NOT DISTINCT FROM g.lang
+), steps AS (
+  SELECT p.j, p.i, low.level, CASE WHEN (p.i >> low.level) % 2 = 1 THEN 'b' ELSE 'a' END || coalesce(s.node, '') AS step
+  FROM p JOIN (SELECT j, level FROM low WHERE len(nodes) > 1) low ON p.j = low.j
+  LEFT JOIN lown s ON s.j = p.j AND s.level = low.level AND s.k = xor(p.i >> low.level, 1)
+  UNION ALL
+  SELECT p.j, p.i, 1000 + high.level, CASE WHEN (p.j >> high.level) % 2 = 1 THEN 'b' ELSE 'a' END || coalesce(s.node, '')
+  FROM p JOIN (SELECT level FROM high WHERE len(nodes) > 1) high ON TRUE
+  LEFT JOIN highn s ON s.level = high.level AND s.k = xor(p.j >> high.level, 1)
+), proofs AS (
+  SELECT j, i, list(step ORDER BY level) AS steps FROM steps GROUP BY j, i
+), f AS (
+  SELECT p.*, list_reduce(list_prepend(CASE WHEN tampered THEN coalesce(other, leaf) ELSE leaf END, coalesce(steps, [])),
+    lambda x, s: sha256(CASE WHEN s[1] = 'b' THEN s[2:] || x ELSE x || s[2:] END)) AS folded,
+    sha256(array_to_string(list_transform(coalesce(steps, []), lambda s: s[2:]), '')) AS proof
+  FROM p LEFT JOIN proofs USING (j, i)
+)
+SELECT f.doc_id, f.leaf, (SELECT nodes[1] FROM low WHERE low.j = f.j AND len(nodes) = 1) AS subroot,
+  (SELECT nodes[1] FROM high WHERE len(nodes) = 1) AS root, f.proof AS proof_sha256, f.folded AS folded_root,
+  f.folded = (SELECT nodes[1] FROM high WHERE len(nodes) = 1) AS verified
+FROM f
+"""
+
+
+@query("op12_dataset_manifest", OP12_SQL)
+def dataset_manifest(spark, sf_dir):
+    """Leaf, subroot and root of every document, its proof's digest, and whether the row, tampered with in a seventh of them, still leads to the root."""
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    other = merkle.leaf(*fields[:3], F.coalesce(F.col("n_chars") + 1, F.col("n_chars")), fields[4])
+    leaves = docs.select("doc_id", "lang", merkle.leaf(*fields).alias("digest"), F.when(tampered, other).alias("other"))
+    made = merkle.manifest(leaves, "doc_id", "lang", "digest", keep=["other"])
+    found = made.withColumn("folded_root", merkle.folded(F.coalesce("other", "leaf"), F.col("proof")))
+    proof = merkle.proof_digest(F.col("proof")).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
