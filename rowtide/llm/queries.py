@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowtide.llm import boilerplate, collision, compression, decontam, licenses, merkle, mixing, packing, prefixbpe, rankmerge, sketch, warc
+from rowtide.llm import boilerplate, collision, compression, decontam, licenses, merkle, mixing, packing, prefixbpe, rankmerge, repair, sketch, warc
 from rowtide.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -286,3 +286,33 @@ def dataset_manifest(spark, sf_dir):
     found = made.withColumn("folded_root", merkle.folded(F.coalesce("other", "leaf"), F.col("proof")))
     proof = merkle.proof_digest(F.col("proof")).alias("proof_sha256")
     return found.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def damaged(rows):
+    """Conversation rows, some dropped, emptied, without their marks, repeated or given to the user, by a checksum of conversation and turn."""
+    name = F.concat(repair.spaced(F.col("conv_id")), F.lit(":"), repair.spaced(F.col("turn")))
+    harm = F.crc32(name.cast("binary")) % 20
+    text = repair.spaced(F.col("text"))
+    changed = rows.select(
+        "conv_id", "turn",
+        F.when(harm == 4, "user").otherwise(repair.spaced(F.col("role"))).alias("role"),
+        F.when(harm == 1, "").when(harm == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        F.explode(F.when(harm == 0, F.array().cast("array<int>")).when(harm == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    return changed.drop("copy")
+
+
+@query("op11_conversation_repair")
+def conversation_repair(spark, sf_dir):
+    """Faults and cheapest repair of every conversation, after damage."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.repair_report(damaged(rows))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    every = rows.select(F.col("conv_id").alias("of")).distinct().join(found, F.col("of").eqNullSafe(F.col("conv_id")), "left")
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return every.select(
+        F.col("of").alias("conv_id"),
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"),
+    )
