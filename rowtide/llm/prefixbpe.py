@@ -19,6 +19,7 @@ not depend on it.
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,6 +33,7 @@ from rowtide.llm.rankmerge import byte_symbols
 
 #: Pre-tokens and token pairs whose answers a worker keeps.
 CACHE = 400_000
+PAIRS = 1_000_000
 #: Characters that are split into pre-tokens at a time.
 PART = 1 << 18
 #: Characters that the split pattern looks at beyond the start of a match at most, white space and runs aside.
@@ -110,17 +112,7 @@ class Vocabulary:
             self.made_by.setdefault(numbers[a + b], (left, right, rank))
         self.ends: dict[int, list[tuple[int, int]]] = {}
         self.starts: dict[int, list[tuple[int, int]]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
-        usable = [t for t, s in self.bytes.items() if s not in self.special and self.is_whole(t)]
-        self.automaton = SuffixAutomaton()
-        for token in usable:
-            self.automaton.add(self.bytes[token])
-        self.at_state: dict[int, list[tuple[int, int]]] = {}
-        for token in usable:
-            held = self.at_state.setdefault(self.automaton.state(self.bytes[token]), [])
-            held.append((len(self.bytes[token]), token))
-        self.chains: dict[int, tuple[tuple[int, int], ...]] = {}
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The symbols at one end (side 1: the right) of a token while it is merged: (symbol, rank of the merge that takes it in)."""
@@ -161,51 +153,83 @@ class Vocabulary:
                 self.whole[token] = len(self.bytes[token]) == 1
         return self.whole[token]
 
-    def compatible(self, left: int, right: int) -> bool:
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) > 4 * CACHE:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.joint(left, right) is None
-        return found
 
-    def chain(self, state: int) -> tuple[tuple[int, int], ...]:
-        """(length, token) of the tokens that end where a match of this state ends, longest first."""
-        if state not in self.chains:
-            found, at = [], state
-            while at > 0:
-                found += sorted(self.at_state.get(at, ()), reverse=True)
-                at = self.automaton.link[at]
-            self.chains[state] = tuple(found)
-        return self.chains[state]
+class Prefixes:
+    """Last tokens of prefixes, by the matches of a suffix automaton of the vocabulary.
+
+    A match is a state with the length that is matched; matches are numbered as they come up, and
+    their moves and tokens are kept.
+    """
+
+    def __init__(self, model: Vocabulary):
+        self.model, self.automaton = model, SuffixAutomaton()
+        usable = [t for t, s in model.bytes.items() if s not in model.special and model.is_whole(t)]
+        for token in usable:
+            self.automaton.add(model.bytes[token])
+        #: token -> the tokens it may or may not follow, as far as known; -1 stands for the start
+        self.after: dict[int, dict[int, bool]] = {t: {-1: True} for t in usable}
+        self.pairs = 0
+        self.at_state: dict[int, list[int]] = {}
+        for token in usable:
+            self.at_state.setdefault(self.automaton.state(model.bytes[token]), []).append(token)
+        self.matches = [(0, 0)]
+        self.numbers = {(0, 0): 0}
+        self.moves: dict[int, int] = {}
+        self.chains: list[tuple[tuple[int, int, dict[int, bool]], ...]] = [()]
+
+    def move(self, match: int, byte: int) -> int:
+        """The match after one more byte."""
+        moves, link, length = self.automaton.next, self.automaton.link, self.automaton.length
+        state, size = self.matches[match]
+        while byte not in moves[state]:
+            state = link[state]
+            size = length[state]
+        found = (moves[state][byte], size + 1)
+        if found not in self.numbers:
+            self.numbers[found] = len(self.matches)
+            self.matches.append(found)
+            self.chains.append(self.chain(*found))
+        self.moves[match << 8 | byte] = self.numbers[found]
+        return self.numbers[found]
+
+    def chain(self, state: int, size: int) -> tuple[tuple[int, int, dict[int, bool]], ...]:
+        """(length, token, what it may follow) of the tokens that end where a match ends, longest first."""
+        found = []
+        while state > 0:
+            found += [(len(self.model.bytes[t]), t, self.after[t]) for t in self.at_state.get(state, ())]
+            state = self.automaton.link[state]
+        return tuple(sorted((x for x in found if x[0] <= size), key=lambda x: -x[0]))
+
+    def follows(self, token: int, before: int) -> bool:
+        """Whether two tokens are compatible."""
+        if self.pairs > PAIRS:
+            for known in self.after.values():
+                known.clear()
+                known[-1] = True
+            self.pairs = 0
+        self.pairs += 1
+        found = self.after[token][before] = self.model.joint(before, token) is None
+        return found
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of a pre-token."""
-        moves, link, length = self.automaton.next, self.automaton.link, self.automaton.length
-        last = [-1] * (len(piece) + 1)
-        chains, pairs = self.chains, self.pairs
-        state = match = 0
+        moves, chains = self.moves, self.chains
+        last = [-1]  # of each prefix
+        match = 0
         for end, byte in enumerate(piece, 1):
-            while byte not in moves[state]:
-                state = link[state]
-                match = length[state]
-            state = moves[state][byte]
-            match += 1
-            for size, token in chains.get(state) or self.chain(state):
-                if size <= match:
-                    if size == end:
-                        last[end] = token
-                        break
-                    before = last[end - size]
-                    good = pairs.get((before, token))
-                    if good or (good is None and self.compatible(before, token)):
-                        last[end] = token
-                        break
-        out, end = [], len(piece)
+            to = moves.get(match << 8 | byte)
+            match = self.move(match, byte) if to is None else to
+            for size, token, after in chains[match]:
+                before = last[end - size]
+                good = after.get(before)
+                if good or (good is None and self.follows(token, before)):
+                    last.append(token)
+                    break
+        out, end, strings = [], len(piece), self.model.bytes
         while end:
             token = last[end]
             out.append(token)
-            end -= len(self.bytes[token])
+            end -= len(strings[token])
         out.reverse()
         return out
 
@@ -215,6 +239,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=2)
+def prefixes(path: str) -> Prefixes:
+    return Prefixes(vocabulary(path))
+
+
 def pieces(pattern: regex.Pattern, text: str, part: int = PART) -> Iterator[list[str]]:
     """The matches of a pattern that tiles any text, some at a time.
 
@@ -241,34 +270,41 @@ def pieces(pattern: regex.Pattern, text: str, part: int = PART) -> Iterator[list
 class Encoder:
     """Ids of whole texts, special strings included."""
 
-    def __init__(self, model: Vocabulary, pattern: str, cache: int = CACHE):
-        self.model, self.pattern, self.cache = model, regex.compile(pattern), cache
+    def __init__(self, prefixes: Prefixes, pattern: str, cache: int = CACHE):
+        self.prefixes, self.pattern, self.cache = prefixes, regex.compile(pattern), cache
+        #: ids of pre-tokens: those met since the last change, and those before
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> Iterator[bytes]:
-        known, encode = self.known, self.model.encode
+        encode = self.prefixes.encode
         for found in pieces(self.pattern, text):
-            if len(known) > self.cache:
-                known.clear()
-            for piece in set(found):
-                if piece not in known:
-                    known[piece] = np.array(encode(piece.encode()), "<u4").tobytes()
-            yield from map(known.__getitem__, found)
+            if len(self.known) > self.cache // 2:
+                self.known, self.older = {}, self.known
+            known, older = self.known, self.older
+            for piece in set(found).difference(known):
+                ids = older.pop(piece, None)
+                if ids is None:
+                    ids = encode(piece.encode())
+                    ids = struct.pack(f"<{len(ids)}I", *ids)
+                known[piece] = ids
+            yield b"".join(map(known.__getitem__, found))
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        out, start = [], 0
-        for mark in self.model.special_pattern.finditer(text):
+        model, out, start = self.prefixes.model, [], 0
+        for mark in model.special_pattern.finditer(text):
             out += self._plain(text[start : mark.start()])
-            out.append(np.array([self.model.special[mark.group().encode()]], "<u4").tobytes())
+            out.append(struct.pack("<I", model.special[mark.group().encode()]))
             start = mark.end()
         out += self._plain(text[start:] if start else text)
         return b"".join(out)
 
-    def text(self, ids: bytes) -> str:
-        """The text of ids; ids the vocabulary lacks give nothing, broken UTF-8 the replacement character."""
-        strings = self.model.bytes
-        return b"".join([strings.get(i, b"") for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+
+def text_of(model: Vocabulary, ids: bytes) -> str:
+    """The text of ids; ids the vocabulary lacks give nothing, broken UTF-8 the replacement character."""
+    strings = model.bytes
+    return b"".join([strings.get(i, b"") for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
 def encoded(texts: Column, path: str, pattern: str) -> Column:
@@ -281,21 +317,21 @@ def encoded(texts: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("binary")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(vocabulary(path), pattern)
+        encoder = Encoder(prefixes(path), pattern)
         for batch in batches:
             yield pa.array([encoder.ids(x.as_py()) if x.is_valid else b"" for x in batch], pa.binary())
 
     return encode(texts.cast("string"))
 
 
-def decoded(ids: Column, path: str, pattern: str) -> Column:
+def decoded(ids: Column, path: str) -> Column:
     """The text of ids as `encoded` makes them, special strings kept; null counts as no ids."""
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(vocabulary(path), pattern)
+        model = vocabulary(path)
         for batch in batches:
-            yield pa.array([encoder.text(x.as_py() or b"") for x in batch], pa.string())
+            yield pa.array([text_of(model, x.as_py() or b"") for x in batch], pa.string())
 
     return decode(ids)
 
@@ -305,6 +341,6 @@ def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text", o
     return docs.withColumn(out_col, encoded(F.col(text_col), path, pattern))
 
 
-def with_text(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def with_text(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """All rows and columns, with the text that the ids stand for; a column of the same name is replaced."""
-    return rows.withColumn(out_col, decoded(F.col(ids_col), path, pattern))
+    return rows.withColumn(out_col, decoded(F.col(ids_col), path))

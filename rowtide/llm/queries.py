@@ -212,9 +212,9 @@ def prefix_bpe(spark, sf_dir):
     """Ids of every document by the byte-level vocabulary, and the text decoded from them, as digests."""
     import public_tokenizers
 
-    settings = {"path": public_tokenizers.path("byte_bpe_50k.json"), "pattern": public_tokenizers.PATTERN}
+    path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = prefixbpe.with_text(prefixbpe.with_ids(docs, **settings).drop("text"), **settings)
+    both = prefixbpe.with_text(prefixbpe.with_ids(docs, path, public_tokenizers.PATTERN).drop("text"), path)
     n_tokens = (F.octet_length("ids") / 4).cast("long")
     return both.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -7,34 +7,14 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from rowtide.functions.cells import resolve_cell, unresolved_expression
-from rowtide.functions.text import split_names
 from rowtide.functions.types import spark_type
 from rowtide.operators.diff import TOMBSTONE
 from rowtide.operators.pairing import find_column
+from rowtide.sources.markup import row_elements
 from rowtide.spec import TableSpec
 
 CELL_TYPE = "struct<null: boolean, empty: boolean, sql: boolean, text: string>"
 
-# Declared row-set files: the attributes of a cell say what its text cannot.
-_CELL = T.StructType(
-    [
-        T.StructField("_VALUE", T.StringType()),
-        T.StructField("_null", T.BooleanType()),
-        T.StructField("_empty", T.BooleanType()),
-        T.StructField("_sql", T.BooleanType()),
-    ]
-)
-_ROW = T.StructType([T.StructField("_delete", T.BooleanType()), T.StructField("col", T.ArrayType(_CELL))])
-_UNREAD = "_unread"
-ROWS_SCHEMA = T.StructType(
-    [
-        T.StructField("_columns", T.StringType()),
-        T.StructField("_tabrowDelimiter", T.StringType()),
-        T.StructField("row", T.ArrayType(_ROW)),
-        T.StructField("tabrow", T.ArrayType(T.StringType())),
-    ]
-)
-
 
 # -- snapshots ----------------------------------------------------------------
 
@@ -92,63 +72,28 @@ def decode_tabrows(df: DataFrame, line: str, columns: list[str], delimiter: str
 # -- declared row sets --------------------------------------------------------
 
 
-def _cells(raw: Column) -> Column:
-    def cell(c):
-        return F.struct(
-            F.coalesce(c["_null"], F.lit(False)).alias("null"),
-            F.coalesce(c["_empty"], F.lit(False)).alias("empty"),
-            F.coalesce(c["_sql"], F.lit(False)).alias("sql"),
-            F.coalesce(c["_VALUE"], F.lit("")).alias("text"),
-        )
-
-    return F.transform(raw, cell)
-
-
 def read_declared_rows(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """Declared rows: ``columns`` (header), ``cells`` (tagged) and ``_delete``.
 
     The files hold ``rows`` elements with a header, rows of cells and delimited
-    lines. Without ``columns`` each ``rows`` element is read whole to learn its
-    header. If the header is given and every ``row`` stands on a line of its
-    own, the files are read line by line, so one large element is shared among
-    tasks; a row that cannot be read that way stops the job.
+    lines, in any number and broken into lines in any way. A file, and a single
+    large element, is shared among tasks. Given ``columns`` take the place of the
+    headers.
     """
-    reader = spark.read.format("xml").option("ignoreSurroundingSpaces", "false")
-    if columns is not None:
-        by_line = T.StructType([*_ROW.fields, T.StructField(_UNREAD, T.StringType())])
-        lines = reader.option("rowTag", "row").option("multiLine", "false").option("columnNameOfCorruptRecord", _UNREAD)
-        rows = lines.schema(by_line).load(path)
-        unread = F.col(_UNREAD)
-        broken = F.raise_error(F.concat(F.lit("row is not on a line of its own: "), unread)).cast("boolean")
-        # The lines between rows are the tags of the elements around them.
-        is_row = F.when(unread.isNull(), True).when(unread.rlike(r"</?(row|col)\b"), broken).otherwise(False)
-        return rows.filter(is_row).select(
-            F.array(*[F.lit(c) for c in columns]).alias("columns"),
-            _cells(F.col("col")).alias("cells"),
-            F.coalesce("_delete", F.lit(False)).alias(TOMBSTONE),
-        )
-    elements = reader.option("rowTag", "rows").schema(ROWS_SCHEMA).load(path)
-    header = split_names(F.trim("_columns"))
-    tagged = elements.select(header.alias("columns"), F.explode("row").alias("row")).select(
-        "columns", _cells(F.col("row.col")).alias("cells"), F.coalesce("row._delete", F.lit(False)).alias(TOMBSTONE)
-    )
+    found = row_elements(spark, path)
     # The delimiter differs by element, so the split pattern is built from it.
-    given = F.coalesce(F.nullif("_tabrowDelimiter", F.lit("")), F.lit("\t"))
+    given = F.coalesce(F.nullif("delimiter", F.lit("")), F.lit("\t"))
     given = F.replace(F.replace(given, F.lit("\\t"), F.lit("\t")), F.lit("\\n"), F.lit("\n"))
     pattern = F.concat(F.lit("\\Q"), given, F.lit("\\E"))
-    lines = elements.select(header.alias("columns"), pattern.alias("pattern"), F.explode("tabrow").alias("line"))
+    no = F.lit(False)
     split_cells = F.transform(
-        F.split(F.col("line"), F.col("pattern"), -1),
+        F.split(F.col("line"), pattern, -1),
         lambda p: F.struct(
-            (p == "\\N").alias("null"),
-            F.lit(False).alias("empty"),
-            F.lit(False).alias("sql"),
-            F.when(p == "\\N", F.lit("")).otherwise(p).alias("text"),
+            (p == "\\N").alias("null"), no.alias("empty"), no.alias("sql"), F.when(p == "\\N", F.lit("")).otherwise(p).alias("text")
         ),
     )
-    return tagged.unionByName(
-        lines.select("columns", split_cells.alias("cells"), F.lit(False).alias(TOMBSTONE))
-    )
+    header = F.array(*[F.lit(c) for c in columns]) if columns is not None else F.col("columns")
+    return found.select(header.alias("columns"), F.coalesce("cells", split_cells).alias("cells"), F.col("deleted").alias(TOMBSTONE))
 
 
 def cell_of(name: str) -> Column:

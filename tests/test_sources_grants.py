@@ -1,10 +1,13 @@
+import re
+from xml.etree import ElementTree
+
 import pytest
 from pyspark.sql import functions as F
 
 from rowtide import CheckSpec, ColumnSpec, EnumSpec, ForeignKeySpec, TableSpec
 from rowtide.functions import text
 from rowtide.functions.times import interval_microseconds
-from rowtide.functions.types import length_limit, needs_quotes, spark_type
+from rowtide.functions.types import length_limit, spark_type
 from rowtide.operators import diff, grants, verify
 from rowtide.sources import rowsets, sinks
 from rowtide.streaming import changes as feeds
@@ -73,8 +76,86 @@ def test_rows_over_several_lines_need_no_header(spark, tmp_path):
     spec = TableSpec("t", (ColumnSpec("id", "int"),))
     path = str(tmp_path / "rows.xml")
     assert rows(rowsets.declared_table(rowsets.read_declared_rows(spark, path), spec)) == [(1, False)]
-    with pytest.raises(Exception, match="line of its own"):
-        rowsets.read_declared_rows(spark, path, ["id"]).collect()
+    assert rows(rowsets.declared_table(rowsets.read_declared_rows(spark, path, ["id"]), spec)) == [(1, False)]
+
+
+def test_delimited_lines_with_a_given_header(spark, tmp_path):
+    (tmp_path / "rows.xml").write_text('<rows columns="a, b">\n<row><col>1</col><col>x</col></row>\n<tabrow>2\ty</tabrow>\n<tabrow>3\t\\N</tabrow>\n</rows>')
+    spec = TableSpec("t", (ColumnSpec("a", "int"), ColumnSpec("b", "text")))
+    path = str(tmp_path / "rows.xml")
+    want = [(1, "x", False), (2, "y", False), (3, None, False)]
+    assert rows(rowsets.declared_table(rowsets.read_declared_rows(spark, path), spec)) == want
+    assert rows(rowsets.declared_table(rowsets.read_declared_rows(spark, path, ["a", "b"]), spec)) == want
+
+
+MARKUP = r"""<?xml version="1.0"?>
+<!-- <rows columns="x"><row><col>gone</col></row></rows> -->
+<definition><table name='t'><column name="col"/>
+ <rows tabrowDelimiter='&#124;'
+       columns='id  note, flag'>
+  <row><col>1</col><col>a &lt;b&gt; &amp; "c" &#233;</col><col null="true"/>  </row><row
+    delete="true"><col>2</col>
+    <col empty="1"></col><col sql='true'>default</col></row>
+  <row><col>3</col><col><![CDATA[<row><col>x</col> & y]]> end<!-- no
+  <row> --> tail</col><col>two
+lines</col></row><row/>
+  <tabrow>4|n%d|\N</tabrow><!-- --><tabrow>5|<![CDATA[a<b]]>|</tabrow><tabrow/>
+ </rows><rows columns="flag,id"><row><col>z</col><col>6</col></row></rows>
+ <row><col>outside</col></row><rows columns="id"/><row><col>outside</col></row>
+</table></definition>"""
+
+
+def by_element_tree(text):
+    """columns, cells and delete flag of every row, by a parser that holds the file."""
+    out = []
+    for element in ElementTree.fromstring(text).iter("rows"):
+        header = [c for c in re.split(r"[\s,]+", element.get("columns", "").strip()) if c]
+        for child in element:
+            said = "".join(child.itertext())
+            if child.tag == "tabrow":
+                cells = [(p == "\\N", False, False, "" if p == "\\N" else p) for p in said.split(element.get("tabrowDelimiter", "\t"))]
+                out.append((header, cells, False))
+            else:
+                marks = [[c.get(m) in ("true", "1") for m in ("null", "empty", "sql")] for c in child]
+                cells = [(*m, "".join(c.itertext())) for m, c in zip(marks, child, strict=True)]
+                out.append((header, cells, child.get("delete") == "true"))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block", ["64", "257", "128m"])
+def test_files_of_any_shape_cut_anywhere(spark, tmp_path, block):
+    texts = [MARKUP % 1, "<a>" + "\n".join(re.sub("<.xml.*?>", "", MARKUP % n) for n in range(3)) + "</a>"]
+    for n, text in enumerate(texts):
+        (tmp_path / f"{n}.xml").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        found = rowsets.read_declared_rows(spark, str(tmp_path))
+        got = [(list(r["columns"]), [tuple(c) for c in r["cells"]], r["_delete"]) for r in found.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(got, key=repr) == sorted((r for t in texts for r in by_element_tree(t)), key=repr)
+
+
+def test_one_element_is_read_by_many_tasks(spark, tmp_path):
+    body = "".join(f"<row><col>{i}</col><col>n{i}</col></row><tabrow>{-i}|m</tabrow>" for i in range(1, 4000))
+    (tmp_path / "rows.xml").write_text(f'<rows columns="id, name" tabrowDelimiter="|">{body}</rows>')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+        spec = TableSpec("t", (ColumnSpec("id", "int"), ColumnSpec("name", "text")))
+        raw = spark.read.option("lineSep", "<").text(str(tmp_path / "rows.xml"))
+        assert raw.rdd.getNumPartitions() > 8
+        found = rows(rowsets.declared_table(rowsets.read_declared_rows(spark, str(tmp_path / "rows.xml")), spec))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == sorted([(i, f"n{i}", False) for i in range(1, 4000)] + [(-i, "m", False) for i in range(1, 4000)], key=repr)
+
+
+def test_overlapping_sections_are_refused(spark, tmp_path):
+    (tmp_path / "rows.xml").write_text('<rows columns="a"><!-- <![CDATA[ <row><col>1</col></row> --></rows>')
+    with pytest.raises(Exception, match="overlap"):
+        rowsets.read_declared_rows(spark, str(tmp_path / "rows.xml")).collect()
 
 
 def test_alignment(frame):
@@ -161,7 +242,6 @@ def test_declared_types():
         "bigint", "string", "decimal(10,2)", "array<string>", "double",
     ]
     assert length_limit("varchar(20)") == 20 and length_limit("text") is None
-    assert needs_quotes("timestamptz") and needs_quotes("BOOLEAN") and not needs_quotes("int")
 
 
 @pytest.mark.parametrize("a,b", [
