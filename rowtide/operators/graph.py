@@ -12,6 +12,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowtide.functions.cells import all_of
+from rowtide.functions.lexing import statement_tables
 from rowtide.functions.text import name_object, name_schema
 from rowtide.functions.types import reference_type
 from rowtide.session import cut_lineage
@@ -323,31 +324,37 @@ def type_dependents(types: DataFrame, users: DataFrame, keys: list[str]) -> Data
 
 _NAME = r'((?:"[^"]+"|[\w$]+)(?:\s*\.\s*(?:"[^"]+"|[\w$]+))*)'
 
-# What names the table of a statement: forms in order of priority, each with its
-# first occurrence. Statements may run over several lines; ONLY is an optional word.
-STATEMENT_PATTERNS = (
-    rf"\bSELECT\s.*?\sFROM\s+(?:ONLY\s+)?{_NAME}",
-    rf"\bINSERT\s+INTO\s+{_NAME}",
-    rf"\bDELETE\s+FROM\s+(?:ONLY\s+)?{_NAME}",
-    rf"\bUPDATE\s+(?:ONLY\s+)?{_NAME}",
-)
-
-
 def _bare(name: Column) -> Column:
     """A name without quotes and without blanks around its dots."""
     return F.nullif(F.regexp_replace(F.regexp_replace(name, r"\s*\.\s*", "."), '"', ""), F.lit(""))
 
 
-def statement_table(text: Column) -> Column:
-    """First table a statement reads or writes, NULL if it names none."""
-    return F.coalesce(*[_bare(F.regexp_extract(text, "(?is)" + p, 1)) for p in STATEMENT_PATTERNS])
+# What names the table of a statement, in order of priority, and what only reads it.
+_FIRST = ("from", "insert", "delete", "update", "merge", "truncate")
+_READS = ("from", "join", "using")
+
+
+def _comes_by(via: str):
+    return lambda table: table["via"] == via
 
 
 def statement_lineage(df: DataFrame, text: str) -> DataFrame:
     """Adds schema and table of the first table each statement names."""
-    name = statement_table(F.col(text))
+    named = df.withColumn("__tables", statement_tables(F.col(text)))
+    firsts = [F.get(F.filter("__tables", _comes_by(via)), F.lit(0))["name"] for via in _FIRST]
+    named = named.withColumn("__name", F.coalesce(*firsts))
+    name = F.col("__name")
     schema = F.when(name.isNotNull(), name_schema(name))
-    return df.withColumn("table_schema", schema).withColumn("table_name", name_object(name))
+    return named.withColumn("table_schema", schema).withColumn("table_name", name_object(name)).drop("__name", "__tables")
+
+
+def lineage(df: DataFrame, text: str) -> DataFrame:
+    """One row for each table a statement reads or writes: the other columns,
+    ``table_schema``, ``table_name``, and ``role``, which is ``read`` or ``write``."""
+    role = F.when(F.col("t.via").isin(*_READS), "read").otherwise("write")
+    found = df.withColumn("t", F.explode(statement_tables(F.col(text))))
+    name = F.col("t.name")
+    return found.select(*df.columns, name_schema(name).alias("table_schema"), name_object(name).alias("table_name"), role.alias("role")).distinct()
 
 
 # A textual foreign key: the table it refers to, with or without a schema and

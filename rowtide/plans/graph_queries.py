@@ -174,6 +174,33 @@ def _statement_lineage(spark, sf_dir):
     return graph.statement_lineage(frame(spark, sf_dir, "STATEMENTS"), "statement")
 
 
+FIXTURES["SCRIPTS"] = """
+    SELECT conv_id, turn, CASE turn % 6
+        WHEN 0 THEN concat('SELECT extract(year FROM d), ''from no.t'' FROM s.T', CAST(turn AS VARCHAR(5)), ' a JOIN "U" b ON a.x IS DISTINCT FROM b.x')
+        WHEN 1 THEN concat('/* FROM old.t */ WITH w AS (SELECT * FROM base.t', CAST(turn AS VARCHAR(5)), ') INSERT INTO log SELECT * FROM w, live')
+        WHEN 2 THEN concat('DELETE FROM ONLY x.t', CAST(turn AS VARCHAR(5)), ' USING u WHERE trim(both '' '' FROM name) = ''a''')
+        WHEN 3 THEN concat('UPDATE t', CAST(turn AS VARCHAR(5)), ' SET a = (SELECT max(b) FROM y.u) -- FROM z')
+        WHEN 4 THEN concat('select * from f(1), t', CAST(turn AS VARCHAR(5)), ' for update')
+        ELSE concat('PERFORM ', role) END AS statement
+    FROM conversations
+"""
+
+
+@query(
+    "statement_tables",
+    oracle(
+        "SCRIPTS",
+        """SELECT s.conv_id, s.turn, t.table_schema, t.name || CASE WHEN t.numbered THEN CAST(s.turn AS VARCHAR) ELSE '' END AS table_name, t.role
+        FROM SCRIPTS s JOIN (VALUES (0, 's', 'T', TRUE, 'read'), (0, 'public', 'U', FALSE, 'read'), (1, 'base', 't', TRUE, 'read'),
+            (1, 'public', 'log', FALSE, 'write'), (1, 'public', 'live', FALSE, 'read'), (2, 'x', 't', TRUE, 'write'), (2, 'public', 'u', FALSE, 'read'),
+            (3, 'public', 't', TRUE, 'write'), (3, 'y', 'u', FALSE, 'read'), (4, 'public', 't', TRUE, 'read')
+        ) t(form, table_schema, name, numbered, role) ON t.form = s.turn % 6""",
+    ),
+)
+def _statement_tables(spark, sf_dir):
+    return graph.lineage(frame(spark, sf_dir, "SCRIPTS"), "statement").drop("statement")
+
+
 FIXTURES["FK_TEXTS"] = """
     SELECT db, n_name AS constraint_name, CASE WHEN n_nationkey % 2 = 0 THEN 'Public' END AS ref_schema,
         CASE WHEN n_nationkey % 2 = 0 THEN concat('t', CAST(n_nationkey % 6 AS VARCHAR(5))) END AS ref_table,

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowtide import ColumnSpec, PartitionSpec, SequenceSpec, TableSpec
+from rowtide.functions.lexing import _tokens, statement_tables
 from rowtide.operators import graph, inheritance, partitions, sequences
 from rowtide.operators.inheritance import inherited_columns
 from tests.conftest import plan_of, rows
@@ -148,6 +149,74 @@ def test_statement_forms(frame, text, table):
     assert (found["table_schema"] and f"{found['table_schema']}.{found['table_name']}") == table
 
 
+STATEMENTS = [
+    ("SELECT extract(year FROM d) FROM t", "r:t"),
+    ("SELECT trim(both ' ' FROM name), substring(a from 2) FROM s.t2", "r:s.t2"),
+    ("SELECT a IS NOT DISTINCT FROM b, c is distinct from d FROM t3", "r:t3"),
+    ("/* SELECT * FROM no */ SELECT 'x FROM no', $$ from no $$, $q$ from $$ no $q$ -- from no\n FROM t, u v, w", "r:t r:u r:w"),
+    ("SELECT * FROM a LEFT JOIN b.c ON a.x = c.x, d JOIN LATERAL f(1) ON true JOIN e USING (x, y)", "r:a r:b.c r:d r:e"),
+    ("SELECT * FROM (SELECT 1 FROM a, b) x, c WHERE y IN (SELECT z FROM d) GROUP BY p, q", "r:a r:b r:c r:d"),
+    ("WITH w AS (SELECT * FROM w), v(a, b) AS NOT MATERIALIZED (SELECT 1 FROM w, t) SELECT * FROM v, u", "r:w r:t r:u"),
+    ("WITH RECURSIVE w AS (SELECT 1 FROM a UNION SELECT 2 FROM w, b) INSERT INTO c SELECT * FROM w", "r:a r:b w:c"),
+    ("SELECT cast(a AS timestamp WITH time zone) FROM t", "r:t"),
+    ("INSERT INTO log.t1 (a, b) SELECT c, d FROM live RETURNING a, b", "w:log.t1 r:live"),
+    ("INSERT INTO t VALUES (1, 'it''s from x') ON CONFLICT (a) DO UPDATE SET b = excluded.b", "w:t"),
+    ("UPDATE ONLY a.b x SET c = y.d, e = 1 FROM y WHERE x.i = y.i", "w:a.b r:y"),
+    ("DELETE FROM ONLY t USING u, v WHERE a = b", "w:t r:u r:v"),
+    ("MERGE INTO t USING (SELECT 1 FROM s) q ON t.i = q.i WHEN MATCHED THEN UPDATE SET a = 1 WHEN NOT MATCHED THEN INSERT VALUES (1)", "w:t r:s"),
+    ("TRUNCATE TABLE ONLY a.t", "w:a.t"),
+    ('SELECT * FROM "My Schema" . "T.x" FOR UPDATE OF t', "r:My Schema.T.x"),
+    ("SELECT a FROM generate_series(1, 3), lateral unnest(x), t", "r:t"),
+    ("BEGIN FOR r IN SELECT * FROM t LOOP UPDATE u SET a = r.a; END LOOP; DELETE FROM v; END", "r:t w:u w:v"),
+    ("EXECUTE 'x' USING a, b", ""),
+    ("SELECT E'it\\' FROM no' FROM t", "r:t"),
+    ("SELECT 'open FROM t", ""),
+    ("", ""),
+    (None, ""),
+]
+
+
+def test_all_tables_of_statements(frame):
+    df = frame("n int, s string", *[(n, s) for n, (s, _) in enumerate(STATEMENTS)])
+    found = df.select("n", statement_tables(F.col("s")).alias("t")).collect()
+    got = {r["n"]: " ".join(f"{'r' if t['via'] in ('from', 'join', 'using') else 'w'}:{t['name']}" for t in r["t"] or []) for r in found}
+    assert [(s, got[n]) for n, (s, _) in enumerate(STATEMENTS)] == STATEMENTS
+
+
+def plain_tokens(text):
+    """Tokens without comments and strings, character by character."""
+    out, i = [], 0
+    while i < len(text):
+        c, end = text[i], i + 1
+        if text.startswith("--", i):
+            i = (text + "\n").index("\n", i)
+            continue
+        if text.startswith("/*", i):
+            i = (text + "*/").index("*/", i + 2) + 2
+            continue
+        if c == "'":
+            i = (text + "'").index("'", i + 1) + 1
+            continue
+        if c == '"':
+            end = (text + '"').index('"', i + 1) + 1
+        elif c.isalpha() or c == "_":
+            while end < len(text) and (text[end].isalnum() or text[end] in "_$"):
+                end += 1
+        if not c.isspace():
+            out.append(text[i:end])
+        i = end
+    return out
+
+
+def test_tokens_against_a_plain_lexer(frame):
+    rng = random.Random(8)
+    parts = ["a", "From", "_x1", " ", "\n", "'", '"', "--", "/*", "*/", ",", "(", ".", "é", "-", "/"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(600)]
+    df = frame("n int, s string", *enumerate(texts))
+    got = {r["n"]: r["t"] for r in df.select("n", _tokens(F.col("s")).alias("t")).collect()}
+    assert [got[n] for n in range(len(texts))] == [plain_tokens(t) for t in texts]
+
+
 def test_renames_reach_all_forms_of_references(frame):
     texts = [
         ("a", None, None, "FOREIGN KEY (x) REFERENCES public.t (id) ON DELETE CASCADE"),
