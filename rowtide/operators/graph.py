@@ -85,123 +85,105 @@ def follow_pointers(links: DataFrame, keys: list[str], node: str, target: str) -
         reach *= 2
 
 
-def ancestor_pairs(links: DataFrame, keys: list[str], node: str, parent: str) -> DataFrame:
-    """Every (node, ancestor, depth) of a forest; covered depth doubles per
-    round. Parents that go round in a circle are an error: no chain without a
-    circle has more steps than the largest group has links."""
-    pairs = cut_lineage(
-        links.select(
-            *keys, F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("depth")
-        ).filter(F.col("ancestor").isNotNull())
-    )
-    sizes = pairs.groupBy(*keys).count() if keys else pairs.agg(F.count(F.lit(1)).alias("count"))
-    deepest = sizes.agg(F.max("count")).first()[0] or 0
-    jumps, reach = pairs, 1
-    while True:
-        # A jump of exactly `reach` steps, followed by every pair known so far.
-        jump = jumps.select(
-            *[F.col(k).alias(f"__{k}") for k in keys], F.col("node").alias("__node"), F.col("ancestor").alias("__mid")
+# -- levels of a general graph ------------------------------------------------
+
+# Levels carried up between two checkpoints; most graphs are shallow.
+LEVELS_PER_ROUND = (3, 3, 4, 8)
+# No path weighs as much; weights that go round a circle stop here.
+_MOST = 1 << 40
+
+
+def _same_keys(keys: list[str], *extra: Column) -> Column:
+    return all_of([F.col(k) == F.col(f"__{k}") for k in keys] + list(extra))
+
+
+def _renamed(df: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(f"__{c}") for c in columns])
+
+
+def _raked(open_: DataFrame, keys: list[str], levels: int) -> DataFrame:
+    """keys, node, level of all open nodes, after carrying levels up so many times; NULL
+    until all that a node depends on is placed. A foot that is not open is ground."""
+    state = open_.select(*keys, "node").distinct().withColumn("level", F.lit(None).cast("bigint"))
+    for _ in range(levels):
+        below = _renamed(state, keys, "node", "level")
+        ground = F.col("foot").isNull() | F.col("__node").isNull()
+        asks = F.col("weight") + F.when(ground, F.lit(0)).otherwise(F.col("__level"))
+        state = (
+            open_.join(below, _same_keys(keys, F.col("foot") == F.col("__node")), "left")
+            .groupBy(*keys, "node")
+            .agg(F.max(asks).alias("top"), F.bool_and(asks.isNotNull()).alias("all"))
+            .select(*keys, "node", F.when(F.col("all"), F.col("top")).alias("level"))
         )
-        same = all_of([F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("node") == F.col("__mid")])
-        longer = cut_lineage(
-            pairs.join(jump, same).select(
-                *keys, F.col("__node").alias("node"), "ancestor", (F.col("depth") + reach).alias("depth")
-            )
+    return state
+
+
+def _compressed(open_: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    """Open edges after one step: an edge to a placed node becomes the level it asks for, an edge
+    to a node with a single open edge goes on along that one, and placed nodes leave."""
+    foot, weight = F.col("foot"), F.col("weight")
+    none = F.lit(None).cast(open_.schema["foot"].dataType)
+    gone = _renamed(state.filter("level is not null"), keys, "node")
+    below = _renamed(state, keys, "node", "level")
+    still = F.col("__node").isNotNull() & F.col("__level").isNull()
+    lean = (
+        open_.join(gone, _same_keys(keys, F.col("node") == F.col("__node")), "left_anti")
+        .join(below, _same_keys(keys, foot == F.col("__node")), "left")
+        .groupBy(*keys, "node", F.when(still, foot).otherwise(none).alias("foot"))
+        .agg(F.max(weight + F.coalesce("__level", F.lit(0))).alias("weight"))
+    )
+    single = (
+        lean.groupBy(*keys, "node")
+        .agg(
+            F.count("foot").alias("fan"),
+            F.max("foot").alias("next"),
+            F.max(F.when(foot.isNotNull(), weight)).alias("step"),
+            F.max(F.when(foot.isNull(), weight)).alias("asked"),
         )
-        if longer.isEmpty():
-            return pairs
-        if reach >= deepest:
-            raise ValueError(f"no end after {deepest} steps: the parents form a cycle")
-        reach *= 2
-        jumps = longer.filter(F.col("depth") == reach)
-        pairs = pairs.unionByName(longer)
-
+        .filter("fan = 1")
+    )
+    passed = F.col("__node").isNotNull()
 
-# -- levels of a general graph ------------------------------------------------
+    def on(far: Column) -> Column:
+        return F.when(far.isNotNull(), F.least(weight + far, F.lit(_MOST)))
 
-# Levels placed between two checkpoints: few at first, as most graphs are shallow.
-LEVELS_PER_ROUND = (4, 8, 12)
+    # Past a node with a single open edge: along that edge, and what the node asks for besides.
+    ways = F.when(
+        passed,
+        F.array(F.struct(F.col("__next").alias("foot"), on(F.col("__step")).alias("weight")), F.struct(none.alias("foot"), on(F.col("__asked")).alias("weight"))),
+    ).otherwise(F.array(F.struct(foot.alias("foot"), weight.alias("weight"))))
+    moved = lean.join(_renamed(single, keys, "node", "next", "step", "asked"), _same_keys(keys, foot == F.col("__node")), "left")
+    moved = moved.select(*keys, "node", F.explode(ways).alias("way")).filter("way.weight is not null")
+    return moved.groupBy(*keys, "node", F.col("way.foot").alias("foot")).agg(F.max("way.weight").alias("weight"))
 
 
 def _levels(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     """keys, node, level; the level is NULL for a node that cannot be placed.
 
-    Runs of nodes with a single dependency are first folded into weighted edges
-    (by pointer doubling), so a chain costs the logarithm of its length. The
-    rest goes several levels at a time: a round is one job that carries levels
-    up through the open edges, then nodes that became final leave, and their
-    edges shrink to the highest level they ask of the other end.
+    Every round rakes and compresses. Levels are carried up a few steps through
+    the open edges; then edges to placed nodes turn into the level they ask for, so nodes
+    may be left with a single open edge, and every edge into such a node goes on
+    along it. Chains halve in each round, also those that appear only when the
+    branches beside them are placed, so rounds follow the logarithm of a tree's size and
+    not its depth. A round in which nothing can be placed leaves circles and what stands on
+    them. A checkpoint holds open nodes only.
     """
-    edges = cut_lineage(edges.filter(F.col("child") != F.col("parent")).distinct())
-    fan = edges.groupBy(*keys, "child").agg(F.count(F.lit(1)).alias("__fan"), F.min("parent").alias("__only"))
-    single = fan.filter("__fan = 1").select(*keys, F.col("child").alias("node"), F.col("__only").alias("target"))
-    folded = follow_pointers(single, keys, "node", "target")
-
-    def on_keys(*extra):
-        return all_of([F.col(k) == F.col(f"__{k}") for k in keys] + list(extra))
-
-    def renamed(df, *columns):
-        return df.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(f"__{c}") for c in columns])
-
-    # Edges of nodes with several dependencies, their ends moved to the foot of the chain they point into.
-    feet = renamed(folded, "node", "last", "steps")
-    wide = renamed(fan.filter("__fan > 1").withColumnRenamed("child", "wide"), "wide")
-    heavy = edges.join(wide, on_keys(F.col("child") == F.col("__wide")), "left_semi")
-    weighted = (
-        heavy.join(feet, on_keys(F.col("parent") == F.col("__node")), "left")
-        .select(
-            *keys,
-            F.col("child").alias("node"),
-            F.when(F.col("__node").isNull(), F.col("parent")).otherwise(F.col("__last")).alias("foot"),
-            (F.coalesce("__steps", F.lit(0)) + 1).alias("weight"),
-            F.col("__node").isNotNull() & F.col("__last").isNull(),
-        )
-        .toDF(*keys, "node", "foot", "weight", "endless")
-    )
-    has_any = renamed(fan.withColumnRenamed("child", "any"), "any")
-    # Feet without dependencies of their own stand on level 0.
-    ground = nodes.select(*keys, "node").distinct()
-    placed = cut_lineage(
-        ground.join(has_any, on_keys(F.col("node") == F.col("__any")), "left_anti").withColumn("level", F.lit(0))
+    links = edges.filter(F.col("child") != F.col("parent"))
+    open_ = cut_lineage(
+        links.select(*keys, F.col("child").alias("node"), F.col("parent").alias("foot")).distinct().withColumn("weight", F.lit(1).cast("bigint"))
     )
-    newly = placed
-    # Rows with a foot are open edges; the one without holds the highest level asked of the node so far.
-    # An edge into a circle leads to no foot and keeps its node open for good.
-    open_ = cut_lineage(weighted)
+    # Nodes without dependencies stand on level 0.
+    any_ = _renamed(open_.select(*keys, "node").distinct(), keys, "node")
+    ground = nodes.select(*keys, "node").distinct().join(any_, _same_keys(keys, F.col("node") == F.col("__node")), "left_anti")
+    placed = ground.withColumn("level", F.lit(0).cast("bigint"))
     for turn in itertools.count():
-        known = renamed(newly, "node", "level")
-        asked = open_.join(known, on_keys(F.col("foot") == F.col("__node")), "left").select(
-            *keys,
-            "node",
-            F.when(F.col("__level").isNull(), F.col("foot")).alias("foot"),
-            (F.col("weight") + F.coalesce("__level", F.lit(0))).alias("weight"),
-            "endless",
-        )
-        open_ = cut_lineage(asked.groupBy(*keys, "node", "foot", "endless").agg(F.max("weight").alias("weight")))
-        # NULL until all that a node depends on is final.
-        state = open_.select(*keys, "node").distinct().withColumn("level", F.lit(None).cast("int"))
-        for _ in range(LEVELS_PER_ROUND[min(turn, len(LEVELS_PER_ROUND) - 1)]):
-            below = renamed(state, "node", "level")
-            asks = F.when(F.col("foot").isNull(), F.col("weight")).otherwise(F.col("weight") + F.col("__level"))
-            state = (
-                open_.join(below, on_keys(F.col("foot") == F.col("__node")), "left")
-                .groupBy(*keys, "node")
-                .agg(F.max(asks).alias("__top"), F.bool_and(asks.isNotNull() & ~F.col("endless")).alias("__all"))
-                .select(*keys, "node", F.when(F.col("__all"), F.col("__top")).alias("level"))
-            )
-        newly = cut_lineage(state.filter(F.col("level").isNotNull()))
-        if newly.isEmpty():
-            break
-        placed = placed.unionByName(newly)
-        open_ = open_.join(renamed(newly, "node"), on_keys(F.col("node") == F.col("__node")), "left_anti")
-    # Members of folded chains stand above their foot.
-    known = renamed(placed, "node", "level")
-    members = (
-        folded.join(known, on_keys(F.col("last") == F.col("__node")), "left")
-        .select(*keys, "node", (F.col("__level") + F.col("steps")).alias("level"))
-    )
-    stuck = open_.select(*keys, "node").distinct().withColumn("level", F.lit(None).cast("int"))
-    return placed.unionByName(members).unionByName(stuck)
+        state = cut_lineage(_raked(open_, keys, LEVELS_PER_ROUND[min(turn, len(LEVELS_PER_ROUND) - 1)]))
+        every, newly = state.agg(F.count(F.lit(1)), F.count("level")).first()
+        if newly in (0, every):
+            placed = placed.unionByName(state)
+            return placed.withColumn("level", F.col("level").cast("int"))
+        placed = placed.unionByName(state.filter("level is not null"))
+        open_ = cut_lineage(_compressed(open_, state, keys))
 
 
 def _graph(nodes: DataFrame, edges: DataFrame, keys: list[str], node: str, child: str, parent: str):
