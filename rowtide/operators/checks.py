@@ -16,6 +16,7 @@ from rowtide.functions.cells import all_of, any_of, texts_present
 from rowtide.functions.text import strip_check
 from rowtide.functions.types import length_limit, spark_type
 from rowtide.operators.diff import JSON_OPTIONS
+from rowtide.operators.graph import reachable
 from rowtide.operators.pairing import align_names
 from rowtide.session import cut_lineage
 from rowtide.spec import DomainSpec, EnumSpec, ForeignKeySpec, TableSpec, UniqueSpec
@@ -358,85 +359,83 @@ def delete_effects(
     A row that a key with RESTRICT still refers to stays; so does one that a row
     that stays refers to with NO ACTION. What stays keeps every row above it
     whose delete would have taken it along, and what only these would have taken
-    along stays too. Cascades go on in rounds over the rows last reached, a round
-    for each level; links between parent and child are kept as rows.
+    along stays too. The links of cascading keys are made once, from one scan of each child table,
+    and folded (see :func:`graph.reachable`), so rounds follow the logarithm of a
+    chain's length.
     """
     pks = {n: list(specs[n].primary_key) for n in tables}
 
-    def nodes(df: DataFrame, name: str, prefix: str = "") -> list[Column]:
-        key = F.to_json(F.struct(*[F.col(f"{prefix}{k}").alias(k) for k in pks[name]]), JSON_OPTIONS)
-        return [F.lit(name).alias("tbl"), key.alias("node")]
+    def key(columns: list[Column], name: str) -> Column:
+        """A row of a table by its key, whose values may come from elsewhere."""
+        typed = [c.cast(tables[name].schema[k].dataType).alias(k) for c, k in zip(columns, pks[name], strict=True)]
+        return F.struct(F.lit(name).alias("tbl"), F.to_json(F.struct(*typed), JSON_OPTIONS).alias("node"))
+
+    def own_key(name: str) -> Column:
+        return key([F.col(k) for k in pks[name]], name)
 
     def keys_of(found: DataFrame, name: str) -> DataFrame:
         kind = T.StructType([tables[name].schema[k] for k in pks[name]])
-        return found.filter(F.col("tbl") == name).select(F.from_json("node", kind, JSON_OPTIONS).alias("k")).select("k.*")
+        return found.filter(F.col("id.tbl") == name).select(F.from_json("id.node", kind, JSON_OPTIONS).alias("k")).select("k.*")
 
     def rows_of(found: DataFrame, name: str) -> DataFrame:
         wanted = keys_of(found, name).select(*[F.col(k).alias(f"__k_{k}") for k in pks[name]])
         return tables[name].join(wanted, all_of([F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in pks[name]]), "left_semi")
 
-    def references(found: DataFrame, actions: tuple[str, ...]) -> DataFrame | None:
-        """(parent tbl, parent node, tbl, node) of rows that refer to found ones by such keys."""
+    def references(actions: tuple[str, ...], found: DataFrame | None = None) -> DataFrame | None:
+        """(id, foot): rows that refer to others by such keys, or to found ones alone, and the rows they refer to."""
         parts = []
         for child, spec in specs.items():
-            if child not in tables:
-                continue
-            for fk in spec.foreign_keys:
+            for fk in spec.foreign_keys if child in tables else ():
                 if fk.ref_table not in tables or _check_action(fk.on_delete) not in actions:
                     continue
-                parent = rows_of(found, fk.ref_table)
-                p_tbl, p_node = nodes(parent, fk.ref_table)
-                target = parent.select(
-                    p_tbl.alias("p_tbl"), p_node.alias("p_node"), *[F.col(t).alias(f"__p{i}") for i, t in enumerate(fk.target_columns)]
-                )
-                match = all_of([F.col(c) == F.col(f"__p{i}") for i, c in enumerate(fk.columns)])
-                hit = tables[child].join(target, match)
-                parts.append(hit.select("p_tbl", "p_node", *nodes(hit, child)))
+                columns = [F.col(c) for c in fk.columns]
+                if found is None and sorted(fk.target_columns) == sorted(pks[fk.ref_table]):
+                    # The key of the parent stands in the child.
+                    of = dict(zip(fk.target_columns, columns, strict=True))
+                    named = all_of([c.isNotNull() for c in columns])
+                    parent = key([of[k] for k in pks[fk.ref_table]], fk.ref_table)
+                    parts.append(tables[child].filter(named).select(own_key(child).alias("id"), parent.alias("foot")))
+                    continue
+                above = tables[fk.ref_table] if found is None else rows_of(found, fk.ref_table)
+                above = above.select(own_key(fk.ref_table).alias("foot"), *[F.col(t).alias(f"__p{i}") for i, t in enumerate(fk.target_columns)])
+                hit = tables[child].join(above, all_of([c == F.col(f"__p{i}") for i, c in enumerate(columns)]))
+                parts.append(hit.select(own_key(child).alias("id"), "foot"))
         return _union(parts).distinct() if parts else None
 
-    node = ["tbl", "node"]
-    parent = [F.col("p_tbl").alias("tbl"), F.col("p_node").alias("node")]
-    start = [rows.select(*nodes(rows, n)) for n, rows in seeds.items()]
+    start = [rows.select(own_key(n).alias("id")) for n, rows in seeds.items()]
     if not start:
         return DeleteEffects({}, {}, {})
     asked = cut_lineage(_union(start).distinct())
-    reached, links, front = asked, [], asked
-    while not front.isEmpty():
-        taken = references(front, ("CASCADE",))
-        if taken is None:
-            break
-        taken = cut_lineage(taken)
-        links.append(taken)
-        front = cut_lineage(taken.select(*node).distinct().join(reached, node, "left_anti"))
-        reached = cut_lineage(reached.unionByName(front))
-    down = cut_lineage(_union(links)) if links else None
-
-    hard = references(reached, ("RESTRICT",))
-    held = cut_lineage(hard.select(*parent).distinct()) if hard is not None else reached.limit(0)
-    soft = references(reached, ("NO ACTION",))
+    links = references(("CASCADE",))
+    reached, down = asked, None
+    if links is not None:
+        links = cut_lineage(links)
+        reached = cut_lineage(reachable(asked, links))
+        down = cut_lineage(links.join(reached.withColumnRenamed("id", "foot"), "foot", "left_semi"))
+
+    hard = references(("RESTRICT",), reached)
+    held = cut_lineage(hard.select(F.col("foot").alias("id")).distinct()) if hard is not None else reached.limit(0)
+    soft = references(("NO ACTION",), reached)
     soft = cut_lineage(soft) if soft is not None else None
     gone = reached
     while True:
         if soft is not None:
-            stays = soft.join(gone, node, "left_anti").select(*parent)
+            stays = soft.join(gone, "id", "left_anti").select(F.col("foot").alias("id"))
             held = cut_lineage(held.unionByName(stays).distinct())
-        front = held
-        while down is not None and not front.isEmpty():
-            above = down.join(front, node, "left_semi").select(*parent).distinct()
-            front = cut_lineage(above.join(held, node, "left_anti"))
-            held = cut_lineage(held.unionByName(front))
-        front = cut_lineage(asked.join(held, node, "left_anti"))
-        left = front
-        while down is not None and not front.isEmpty():
-            parents = front.select(F.col("tbl").alias("p_tbl"), F.col("node").alias("p_node"))
-            below = down.join(parents, ["p_tbl", "p_node"], "left_semi").select(*node).distinct()
-            front = cut_lineage(below.join(left, node, "left_anti"))
-            left = cut_lineage(left.unionByName(front))
+        if down is not None and not held.isEmpty():
+            up = down.select(F.col("foot").alias("id"), F.col("id").alias("foot"))
+            held = cut_lineage(reachable(held, up))
+        left = asked.join(held, "id", "left_anti")
+        if down is not None and not held.isEmpty():
+            left = reachable(left, down.join(held, "id", "left_anti"))
+        elif down is not None:
+            left = reached
+        left = cut_lineage(left)
         before, gone = gone, left
-        if soft is None or before.join(gone, node, "left_anti").isEmpty():
+        if soft is None or before.join(gone, "id", "left_anti").isEmpty():
             break
 
-    stuck = cut_lineage(reached.join(gone, node, "left_anti"))
+    stuck = cut_lineage(reached.join(gone, "id", "left_anti"))
     deleted = {n: keys_of(gone, n) for n in tables}
     blocked = {}
     for n in tables:

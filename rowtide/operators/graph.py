@@ -186,6 +186,43 @@ def _levels(nodes: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
         open_ = cut_lineage(_compressed(open_, state, keys))
 
 
+# -- what can be reached ------------------------------------------------------
+
+# Rounds that only go on to the next nodes; most cascades end before chains are folded.
+PLAIN_ROUNDS = 1
+
+
+def reachable(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id`` of every node of ``start`` (id) and every node that leads to one of them along
+    ``edges`` (id, foot).
+
+    Every round settles the nodes whose edge ends at a node found in the last one. Then edges to
+    nodes that lead nowhere are dropped, and an edge to an open node with a
+    single edge goes on along that one, so chains halve each time. The edges are
+    rewritten, never joined with the tables they come from; only nodes that are still
+    open stay in a checkpoint. Circles end with the others, as a round that finds nothing is the last.
+    """
+    newly = cut_lineage(start.select("id").distinct())
+    found = newly
+    open_ = edges.select("id", "foot").filter("id <> foot").join(newly, "id", "left_anti").distinct()
+    for turn in itertools.count():
+        known = newly.select(F.col("id").alias("__id"))
+        marked = open_.join(known, F.col("foot") == F.col("__id"), "left").select("id", "foot", F.col("__id").isNotNull().alias("hit"))
+        marked = cut_lineage(marked)
+        newly = cut_lineage(marked.filter("hit").select("id").distinct())
+        if newly.isEmpty():
+            return found
+        found = found.unionByName(newly)
+        open_ = marked.filter("not hit").select("id", "foot").join(newly, "id", "left_anti")
+        if turn < PLAIN_ROUNDS:
+            continue
+        way = open_.groupBy("id").agg(F.count(F.lit(1)).alias("fan"), F.first("foot").alias("next")).withColumn("hit", F.lit(False))
+        ends = way.unionByName(newly.select("id", F.lit(0).cast("bigint").alias("fan"), F.lit(None).cast(way.schema["next"].dataType).alias("next"), F.lit(True).alias("hit")))
+        ends = ends.withColumnRenamed("id", "__id")
+        passed = F.when((F.col("fan") == 1) & ~F.col("hit"), F.col("next")).otherwise(F.col("foot"))
+        open_ = open_.join(ends, F.col("foot") == F.col("__id")).select("id", passed.alias("foot")).filter("id <> foot").distinct()
+
+
 def _graph(nodes: DataFrame, edges: DataFrame, keys: list[str], node: str, child: str, parent: str):
     edges = edges.select(*keys, F.col(child).alias("child"), F.col(parent).alias("parent"))
     ends = edges.select(*keys, F.col("child").alias("node")).unionByName(
