@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -74,20 +75,23 @@ class Element:
     by_form: bool = False
     by_header: bool = False
     article: int = -1
-    containers: tuple[int, ...] = ()
+    container: int = -1  # the innermost hashed container it is in, or is
     number: int = -1  # among hashed containers
     fixed: bool = False  # dropped by more than class and id values
     wrap: int = -1  # the innermost element around it that is marked by class or id
     place: int = 0  # number of the element
+    main_place: int = -1  # of the innermost main element that counts
+    in_main: bool = False  # of the open article and main elements the innermost is a main
     parts: list = field(default_factory=list)
 
 
 @dataclass
 class Page:
-    """Blocks as (text, containers, article, is a heading, wrap), hashes of the containers, and what is known of each article."""
+    """Blocks as (text, container, article, is a heading, wrap), hashes and parents of the containers, and what is known of each article."""
 
     blocks: list
     hashes: list
+    parents: list
     articles: list  # (main or parent element it stands in, is a main, is a comment or teaser) by number
     wrapped: bool  # an article was dropped only for class or id values around it
 
@@ -151,6 +155,8 @@ def read(html: str, unwrap: bool) -> Page:
     stack = [root]
     blocks: list = []
     hashes: list = []
+    parents: list = []
+    open_tags: Counter = Counter()
     buffer: list[str] = []
     articles: list = []
     wrapped = False
@@ -168,13 +174,14 @@ def read(html: str, unwrap: bool) -> Page:
             buffer.clear()
             if text:
                 top = stack[-1]
-                blocks.append((text, top.containers, top.article, top.tag in HEADING, top.wrap))
+                blocks.append((text, top.container, top.article, top.tag in HEADING, top.wrap))
 
     def pop() -> None:
         top = stack[-1]
         if top.tag in BLOCK:
             flush()
         stack.pop()
+        open_tags[top.tag] -= 1
         inner = "".join(x if isinstance(x, str) else f"\x01{x[0]}\x02" for x in top.parts)
         digest = xxhash.xxh3_64_intdigest(f"{top.tag}\x03{' '.join(inner.split())}")
         stack[-1].parts.append((digest,))
@@ -201,11 +208,11 @@ def read(html: str, unwrap: bool) -> Page:
             continue
         tag = tag.lower()
         if close:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    while len(stack) > i:
-                        pop()
+            while open_tags[tag]:
+                if stack[-1].tag == tag:
+                    pop()
                     break
+                pop()
             continue
         if not rest.endswith(">"):
             break  # the page ends within a tag
@@ -215,7 +222,7 @@ def read(html: str, unwrap: bool) -> Page:
             continue
         if tag == "br" or tag in ("td", "th"):
             add_text(" ")
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and open_tags["p"]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
                     while len(stack) > i:
@@ -223,12 +230,13 @@ def read(html: str, unwrap: bool) -> Page:
                     break
                 if stack[i].tag in SCOPE or stack[i].tag in ("li", "td", "th", "blockquote"):
                     break
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in SIBLINGS.get(tag, ()):
+        siblings = SIBLINGS.get(tag, ())
+        for i in range(len(stack) - 1, 0, -1) if any(open_tags[t] for t in siblings) else ():
+            if stack[i].tag in siblings:
                 while len(stack) > i:
                     pop()
                 break
-            if stack[i].tag in SCOPE and tag in SIBLINGS:
+            if stack[i].tag in SCOPE:
                 break
         if tag in BLOCK:
             flush()
@@ -242,7 +250,7 @@ def read(html: str, unwrap: bool) -> Page:
             why = ""  # the title itself
         out = tag in DROPPED or bool(why)
         places += 1
-        element = Element(tag, top.dropped or out, top.by_form, top.by_header, top.article, top.containers, fixed=top.fixed, wrap=top.wrap, place=places)
+        element = Element(tag, top.dropped or out, top.by_form, top.by_header, top.article, top.container, fixed=top.fixed, wrap=top.wrap, place=places)
         if why in ("header", "name") and (tag not in DROPPED or tag == "form"):
             element.wrap = places
         elif out and not (tag == "form" and not why):
@@ -261,30 +269,30 @@ def read(html: str, unwrap: bool) -> Page:
         if tag in HEADING and top.dropped and top.by_header and top.article >= 0 and why not in ("other", "name"):
             element.dropped = False  # the title in the article's own header
         if main and not element.dropped:
-            element.article = len(articles) if top.article < 0 or tag == "article" and stack_main(stack) else top.article
+            element.article = len(articles) if top.article < 0 or tag == "article" and top.in_main else top.article
             if element.article == len(articles):
-                around = next((e.place for e in reversed(stack) if e.tag == "main" and not e.dropped), top.place)
+                around = top.main_place if top.main_place >= 0 else top.place
                 side = tag == "article" and not NOT_ARTICLE.isdisjoint(named(rest))
                 articles.append((places if tag == "main" else around, tag == "main", side))
         if tag in CONTAINER and (top.article < 0 or tag not in ("p", "blockquote", *HEADING)):
             element.number = len(hashes)
             hashes.append(0)
-            element.containers = (*top.containers, element.number)
+            parents.append(top.container)
+            element.container = element.number
+        element.main_place = places if tag == "main" and not element.dropped else top.main_place
+        element.in_main = tag == "main" if tag in ("article", "main") else top.in_main
         stack.append(element)
+        open_tags[tag] += 1
     while len(stack) > 1:
         pop()
     flush()
-    return Page(blocks, hashes, articles, wrapped)
+    return Page(blocks, hashes, parents, articles, wrapped)
 
 
-def stack_main(stack: list[Element]) -> bool:
-    """Whether the open article-like element is a main element, in which an article counts for itself."""
-    return next((e.tag == "main" for e in reversed(stack) if e.tag in ("article", "main")), False)
-
-
-def kept_blocks(page: Page) -> list:
-    """Blocks (text, hashes of their containers) of the article and its siblings, or of the whole page if it has none.
+def kept_blocks(page: Page) -> tuple[list, list]:
+    """Blocks (text, container) of the article and its siblings, or of the whole page if it has none, and the containers (hash, parent).
 
+    A container stands behind its parent; -1 is none.
     Siblings are the articles of the same main element, or of the same parent if there is no main,
     but no comments or teasers. The main's own blocks stay if a heading is among them, or if they are most.
     """
@@ -298,23 +306,40 @@ def kept_blocks(page: Page) -> list:
         headed = {b[2] for b in page.blocks if b[3]}
         keep = {a for a in sizes if page.articles[a][0] == page.articles[best][0] and (a in headed if page.articles[a][1] else not page.articles[a][2])} | {best}
         chosen = [b for b in page.blocks if b[2] in keep]
-    return [(text, [page.hashes[c] for c in containers]) for text, containers, *_ in chosen]
+    needed: set[int] = set()
+    for _, c, *_ in chosen:
+        while c >= 0 and c not in needed:
+            needed.add(c)
+            c = page.parents[c]
+    order = sorted(needed)
+    new = {c: n for n, c in enumerate(order)} | {-1: -1}
+    return [(text, new[c]) for text, c, *_ in chosen], [(page.hashes[c], new[page.parents[c]]) for c in order]
 
 
-def main_text(blocks: list, templates: set[int], most_text: float = MOST_TEXT) -> str:
+def main_text(kept: tuple[list, list], templates: set[int], most_text: float = MOST_TEXT) -> str:
     """Blocks joined by an empty line, without those of template subtrees."""
-    total = sum(len(text) for text, _ in blocks)
+    blocks, containers = kept
+    sizes = [0] * len(containers)
+    for text, c in blocks:
+        if c >= 0:
+            sizes[c] += len(text)
     held: dict[int, int] = {}
-    for text, containers in blocks:
-        for c in templates.intersection(containers):
-            held[c] = held.get(c, 0) + len(text)
-    gone = {c for c, n in held.items() if n <= most_text * total}
-    return "\n\n".join(text for text, containers in blocks if not gone.intersection(containers))
+    for c in range(len(containers) - 1, -1, -1):
+        key, parent = containers[c]
+        if parent >= 0:
+            sizes[parent] += sizes[c]
+        if key in templates:
+            held[key] = held.get(key, 0) + sizes[c]
+    total = sum(len(text) for text, _ in blocks)
+    gone: list[bool] = []
+    for key, parent in containers:
+        gone.append((parent >= 0 and gone[parent]) or (key in held and held[key] <= most_text * total))
+    return "\n\n".join(text for text, c in blocks if c < 0 or not gone[c])
 
 
-def text_digest(blocks: list) -> int:
+def text_digest(kept: tuple[list, list]) -> int:
     """Digest of the kept text, whatever its markup."""
-    return xxhash.xxh3_64_intdigest("\n\n".join(text for text, _ in blocks).encode("utf-8", "replace"))
+    return xxhash.xxh3_64_intdigest("\n\n".join(text for text, _ in kept[0]).encode("utf-8", "replace"))
 
 
 def host_of(url: str | None) -> str:
@@ -353,10 +378,10 @@ def main_texts(
             rows: list[tuple] = []
             for ident, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page = parse(html or "")
-                blocks = kept_blocks(page)
-                held = sorted({signed(h) for _, containers in blocks for h in containers})
-                body = json.dumps(blocks, ensure_ascii=False).encode("utf-8", "replace")
-                rows.append((number, ident, url, host_of(url), signed(text_digest(blocks)), sorted({signed(h) for h in page.hashes}), held, coder.compress(body)))
+                kept = kept_blocks(page)
+                held = sorted({signed(h) for h, _ in kept[1]})
+                body = json.dumps(kept, ensure_ascii=False).encode("utf-8", "replace")
+                rows.append((number, ident, url, host_of(url), signed(text_digest(kept)), sorted({signed(h) for h in page.hashes}), held, coder.compress(body)))
                 number += 1
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
             columns = list(zip(*rows, strict=True)) or [[] for _ in kinds]

@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import random
+import resource
+import time
 
 import numpy as np
 import pytest
@@ -128,6 +130,17 @@ def test_any_markup_is_read(html):
     assert isinstance(boilerplate.main_text(boilerplate.kept_blocks(page), set(page.hashes)), str)
 
 
+@pytest.mark.parametrize("unit", ["<div>", "<div>x", "<p><span>", "</i><ul><li>", "<article>y", "<main><div>z<td>"])
+def test_deep_pages_take_linear_time(unit):
+    html = unit * 200_000
+    started, process = time.process_time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    page = boilerplate.parse(html)
+    kept = boilerplate.kept_blocks(page)
+    boilerplate.main_text(kept, set(page.hashes[:100]))
+    assert time.process_time() - started < 20  # some 3 s on a quiet machine
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - process < 700_000
+
+
 def brute_main_texts(rows, min_pages, min_share):
     parsed = [(i, u, boilerplate.parse(h or "")) for i, u, h in rows]
     counts, pages = {}, {}
