@@ -217,7 +217,9 @@ def test_notices(spark):
     found = sorted(((r.doc_id, r.unit, r.number, r.license) for r in licenses.notices(df).collect()), key=repr)
     want = [(1, "line", 1, "Apache-2.0"), (2, "line", 1, "MIT"), (3, "line", 0, "GPL-2.0"), (None, "line", 0, "MIT")]
     want += [(8, "line", i, "all-rights-reserved") for i in range(3)] + [(8, "paragraph", 0, "all-rights-reserved")]
-    assert [x for x in found if x[0] != 8 or x[1] == "line"] == sorted([x for x in want if x[1] == "line"], key=repr)
+    # the whole paragraph of 1 (0.82) and the whole text of 2 (0.99) are near enough too
+    want += [(1, "paragraph", 0, "Apache-2.0"), (2, "text", 0, "MIT")]
+    assert [x for x in found if x[0] != 8 or x[1] == "line"] == sorted([x for x in want if x[0] != 8 or x[1] == "line"], key=repr)
     parts = licenses.notices(spark.createDataFrame([(1, "intro\n\n" + wrapped.replace(" \n", "\n"))], "doc_id long, text string")).where("unit = 'paragraph'").collect()
     assert [(r.license, r.dice > 0.8) for r in parts] == [("MIT", True)]
     assert licenses.notices(df.limit(0)).collect() == []
