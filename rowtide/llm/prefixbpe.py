@@ -18,9 +18,11 @@ not depend on it.
 
 from __future__ import annotations
 
+import gc
 import json
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -28,12 +30,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from rowtide.llm.rankmerge import byte_symbols
 
 #: Pre-tokens and token pairs whose answers a worker keeps.
 CACHE = 400_000
-PAIRS = 1_000_000
+PAIRS = 500_000
+#: Text that is encoded and decoded between two batches of results.
+SLICE = 4 << 20
 #: Characters that are split into pre-tokens at a time.
 PART = 1 << 18
 #: Characters that the split pattern looks at beyond the start of a match at most, white space and runs aside.
@@ -154,10 +159,20 @@ class Vocabulary:
         return self.whole[token]
 
 
+@dataclass(slots=True)
+class Match:
+    """A place in the automaton: a state, the length matched, the tokens that end here and the moves known so far."""
+
+    state: int
+    size: int
+    chain: tuple[tuple[int, int, dict[int, bool]], ...]
+    moves: dict[int, Match]
+
+
 class Prefixes:
     """Last tokens of prefixes, by the matches of a suffix automaton of the vocabulary.
 
-    A match is a state with the length that is matched; matches are numbered as they come up, and
+    A match is a state with the length that is matched; matches are made as they come up, and
     their moves and tokens are kept.
     """
 
@@ -172,25 +187,22 @@ class Prefixes:
         self.at_state: dict[int, list[int]] = {}
         for token in usable:
             self.at_state.setdefault(self.automaton.state(model.bytes[token]), []).append(token)
-        self.matches = [(0, 0)]
-        self.numbers = {(0, 0): 0}
-        self.moves: dict[int, int] = {}
-        self.chains: list[tuple[tuple[int, int, dict[int, bool]], ...]] = [()]
+        self.start = Match(0, 0, (), {})
+        self.matches = {(0, 0): self.start}
 
-    def move(self, match: int, byte: int) -> int:
+    def move(self, match: Match, byte: int) -> Match:
         """The match after one more byte."""
         moves, link, length = self.automaton.next, self.automaton.link, self.automaton.length
-        state, size = self.matches[match]
+        state, size = match.state, match.size
         while byte not in moves[state]:
             state = link[state]
             size = length[state]
-        found = (moves[state][byte], size + 1)
-        if found not in self.numbers:
-            self.numbers[found] = len(self.matches)
-            self.matches.append(found)
-            self.chains.append(self.chain(*found))
-        self.moves[match << 8 | byte] = self.numbers[found]
-        return self.numbers[found]
+        to = (moves[state][byte], size + 1)
+        found = self.matches.get(to)
+        if found is None:
+            found = self.matches[to] = Match(*to, self.chain(*to), {})
+        match.moves[byte] = found
+        return found
 
     def chain(self, state: int, size: int) -> tuple[tuple[int, int, dict[int, bool]], ...]:
         """(length, token, what it may follow) of the tokens that end where a match ends, longest first."""
@@ -213,13 +225,11 @@ class Prefixes:
 
     def encode(self, piece: bytes) -> list[int]:
         """Ids of a pre-token."""
-        moves, chains = self.moves, self.chains
         last = [-1]  # of each prefix
-        match = 0
+        match = self.start
         for end, byte in enumerate(piece, 1):
-            to = moves.get(match << 8 | byte)
-            match = self.move(match, byte) if to is None else to
-            for size, token, after in chains[match]:
+            match = match.moves.get(byte) or self.move(match, byte)
+            for size, token, after in match.chain:
                 before = last[end - size]
                 good = after.get(before)
                 if good or (good is None and self.follows(token, before)):
@@ -241,7 +251,9 @@ def vocabulary(path: str) -> Vocabulary:
 
 @lru_cache(maxsize=2)
 def prefixes(path: str) -> Prefixes:
-    return Prefixes(vocabulary(path))
+    made = Prefixes(vocabulary(path))
+    gc.freeze()  # it stays as long as the worker; no collection has to look through it
+    return made
 
 
 def pieces(pattern: regex.Pattern, text: str, part: int = PART) -> Iterator[list[str]]:
@@ -344,3 +356,31 @@ def with_ids(docs: DataFrame, path: str, pattern: str, text_col: str = "text", o
 def with_text(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """All rows and columns, with the text that the ids stand for; a column of the same name is replaced."""
     return rows.withColumn(out_col, decoded(F.col(ids_col), path))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """The other columns of docs with the ids of the whole text and the text decoded from them, in one pass.
+
+    The same values as `with_ids` and `with_text` give; columns of these names are replaced.
+    """
+    kept = [c for c in docs.columns if c.lower() not in (text_col.lower(), ids_col.lower(), out_col.lower())]
+    source = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text_col).cast("string").alias(text_col))
+    schema = StructType([*source.schema.fields[:-1], StructField(ids_col, BinaryType()), StructField(out_col, StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, model = Encoder(prefixes(path), pattern), vocabulary(path)
+        for batch in batches:
+            texts = batch.column(len(kept))
+            start = 0
+            while start < batch.num_rows:
+                ids, back, held = [], [], 0
+                while start + len(ids) < batch.num_rows and held < SLICE:
+                    text = texts[start + len(ids)].as_py() or ""
+                    ids.append(encoder.ids(text))
+                    back.append(text_of(model, ids[-1]))
+                    held += len(text)
+                rest = [batch.column(i).slice(start, len(ids)) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(ids, pa.binary()), pa.array(back, pa.string())], names=schema.names)
+                start += len(ids)
+
+    return source.mapInArrow(run, schema)

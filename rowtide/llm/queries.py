@@ -214,7 +214,7 @@ def prefix_bpe(spark, sf_dir):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = prefixbpe.with_text(prefixbpe.with_ids(docs, path, public_tokenizers.PATTERN).drop("text"), path)
+    both = prefixbpe.round_trip(docs, path, public_tokenizers.PATTERN)
     n_tokens = (F.octet_length("ids") / 4).cast("long")
     return both.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -98,6 +98,9 @@ def test_edge_rows(spark):
     assert [len(r["ids"]) // 4 for r in got[:3]] == [0, 0, 3]
     assert got[3]["ids"] == got[4]["ids"]
     assert prefixbpe.with_ids(df.limit(0), **SETTINGS).collect() == []
+    both = prefixbpe.round_trip(df.withColumnRenamed("IDS", "other"), **SETTINGS).collect()
+    assert [(r["doc_id"], r["other"], r["ids"], r["decoded"]) for r in both] == [(r["doc_id"], 7, g["ids"], g["decoded"]) for r, g in zip(both, got, strict=True)]
+    assert prefixbpe.round_trip(df.limit(0), **SETTINGS).columns == ["doc_id", "ids", "decoded"]
 
 
 def test_query(spark, library):
