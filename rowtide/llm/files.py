@@ -23,3 +23,8 @@ def opened_for_write(store: fs.FileSystem, path: str):
 
 def opened_for_read(store: fs.FileSystem, path: str):
     return store.open_input_file(path)
+
+
+def opened_as_stream(store: fs.FileSystem, path: str):
+    """A file that is read from its start to its end in small steps."""
+    return store.open_input_stream(path, compression=None, buffer_size=1 << 20)

@@ -15,22 +15,27 @@ from __future__ import annotations
 import base64
 import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from rowtide.llm.files import folder, opened_for_read, opened_for_write
+from rowtide.llm.files import folder, opened_as_stream, opened_for_write
+from rowtide.llm.prefixbpe import pieces
 
 LENGTH = 2048
 #: Tokens that a task holds while it packs; bounds its memory.
 GROUP_TOKENS = 2_000_000
 
 PACKED = "pack_id string, n_tokens int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, doc_starts array<long>"
+PACKED_NAMES = ("pack_id", "n_tokens", "ids", "cu_seqlens", "positions", "doc_ids", "doc_starts")
+PACKED_TYPES = (pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
 
 class Rooms:
@@ -108,7 +113,8 @@ def encode_whole(encoder, text: str, part: int = 200_000) -> np.ndarray:
     """Ids of a text; very long ones go through the encoder in parts cut before a line break.
 
     A cut stands between a visible character and a line feed that a visible character follows; no
-    token of the byte-level patterns reaches over such a place.
+    token of the byte-level patterns reaches over such a place. A long text without one is split
+    into pre-tokens here, in windows, as the encoder's own splitting cannot take very long runs.
     """
     out, start = [], 0
     while len(text) - start > part:
@@ -117,12 +123,28 @@ def encode_whole(encoder, text: str, part: int = 200_000) -> np.ndarray:
             at = text.find("\n", at + 1)
         if at < 0:
             break
-        out.append(np.array(encoder.encode_ordinary(text[start:at]), np.uint32))
+        out.append(np.concatenate(list(_encoded(encoder, text[start:at], part))))
         start = at
-    out.append(np.array(encoder.encode_ordinary(text[start:]), np.uint32))
+    out += _encoded(encoder, text[start:], part)
     return np.concatenate(out)
 
 
+def _encoded(encoder, text: str, part: int) -> Iterator[np.ndarray]:
+    if len(text) <= 2 * part:
+        yield np.array(encoder.encode_ordinary(text), np.uint32)
+        return
+    for found in pieces(split_pattern(encoder._pat_str), text):
+        ids: list[int] = []
+        for piece in found:
+            ids += encoder._encode_single_piece(piece)
+        yield np.array(ids, np.uint32)
+
+
+@lru_cache(maxsize=4)
+def split_pattern(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern)
+
+
 def token_count(texts: Column, tokenizer_path: str, pattern: str) -> Column:
     """Number of ids that a text is packed as, without an end; null counts as none."""
 
@@ -155,6 +177,12 @@ def pack(
     rows are packed each; null ids stay null. pack_id is unique within a run. Other columns
     are not read.
     """
+    run = packer(tokenizer_path, pattern, end_id, pad_id, length, group_tokens)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PACKED)
+
+
+def packer(tokenizer_path: str, pattern: str, end_id: int | None, pad_id: int = 0, length: int = LENGTH, group_tokens: int = GROUP_TOKENS):
+    """What a task does with its batches of (id, text): yields packed rows."""
     if length < 1:
         raise ValueError("length must be positive")
 
@@ -174,7 +202,7 @@ def pack(
                     pieces, held, group = [], 0, group + 1
         yield from packed(pieces, f"{task:06d}-{group:06d}", length, pad_id)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, PACKED)
+    return run
 
 
 def packed(pieces: list, name: str, length: int, pad_id: int, at_once: int = 500) -> Iterator[pa.RecordBatch]:
@@ -190,53 +218,118 @@ def packed(pieces: list, name: str, length: int, pad_id: int, at_once: int = 500
             values = (f"{name}-{number:06d}", int(ends[-1]), ids.tobytes(), ends, positions.tobytes(), [pieces[i][0] for i in row], [pieces[i][1] for i in row])
             for column, value in zip(columns, values, strict=True):
                 column.append(value)
-        kinds = (pa.string(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        names = ("pack_id", "n_tokens", "ids", "cu_seqlens", "positions", "doc_ids", "doc_starts")
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, PACKED_TYPES, strict=True)], names=list(PACKED_NAMES))
 
 
-def write_binary(rows: DataFrame, path: str) -> DataFrame:
+def write_binary(rows: DataFrame, path: str, id_bytes: int = 4) -> DataFrame:
     """Packed rows as binary files in a shared folder; returns their manifest.
 
-    Each task writes `<name>.ids` and `<name>.pos`, matrices of uint32, and `<name>.cu`: for each
-    row the number of cumulative lengths and then these, as int32. A file has a name of its own
-    per attempt; only files in the manifest, which is kept as a table at path/manifest, belong to the result.
+    Each task writes `<name>.ids`, a matrix of the ids, `<name>.cu`: for each row the number of
+    cumulative lengths and then these, as int32, `<name>.pos`: for each row its position resets as
+    bits, 1 where a token stands at position 0 (padding included), and `<name>.doc`: for
+    each piece of the rows its document, whether that is null, and the token it begins at, as int64. Ids
+    are unsigned integers of id_bytes (2 or 4; one that does not fit is an error); the manifest, a table
+    at path/manifest, tells their bytes. A file has a name of its own per attempt; only files in the manifest belong to the result.
     """
+    return _manifest(rows.select(*PACKED_NAMES).mapInArrow(writer(path, id_bytes), FILES), path)
+
+
+FILES = "name string, rows long, id_bytes int"
+
+
+def _manifest(made: DataFrame, path: str) -> DataFrame:
+    made.where("rows > 0").write.mode("overwrite").parquet(f"{path.rstrip('/')}/manifest")
+    return made.sparkSession.read.parquet(f"{path.rstrip('/')}/manifest")
+
+
+def writer(path: str, width: int):
+    """What a task does with its packed rows: writes its files and yields their line of the manifest."""
     path = path.rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = folder(path)
         name, n = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0
-        with opened_for_write(store, f"{root}/{name}.ids") as ids, opened_for_write(store, f"{root}/{name}.pos") as pos, opened_for_write(store, f"{root}/{name}.cu") as cu:
+        with ExitStack() as stack:
+            ids, pos, cu, doc = (stack.enter_context(opened_for_write(store, f"{root}/{name}.{kind}")) for kind in ("ids", "pos", "cu", "doc"))
             for batch in batches:
-                for a, b, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                    ids.write(a)
-                    pos.write(b)
+                for _, _, a, c, b, d, e in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                    row = np.frombuffer(a, "<u4")
+                    if width == 2 and row.max(initial=0) > 0xFFFF:
+                        raise ValueError(f"id {row.max()} needs 4 bytes: give id_bytes=4")
+                    ids.write(row.astype(f"<u{width}").tobytes())
+                    pos.write(np.packbits(np.frombuffer(b, "<u4") == 0).tobytes())
                     cu.write(np.array([len(c), *c], "<i4").tobytes())
+                    doc.write(np.array([(x or 0, x is None, at) for x, at in zip(d, e, strict=True)], "<i8").tobytes())
                     n += 1
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["name", "rows"])
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([width], pa.int32())], names=["name", "rows", "id_bytes"])
 
-    made = rows.select("ids", "positions", "cu_seqlens").mapInArrow(run, "name string, rows long")
-    made.where("rows > 0").write.mode("overwrite").parquet(f"{path}/manifest")
-    return rows.sparkSession.read.parquet(f"{path}/manifest")
+    return run
 
 
-def read_binary(spark, path: str, length: int = LENGTH) -> DataFrame:
-    """(name, number, ids, cu_seqlens, positions) of the files that the manifest names, ids and positions as arrays."""
+def read_packed(spark, path: str, length: int = LENGTH, at_once: int = 200) -> DataFrame:
+    """The packed rows of the files that the manifest names, as `pack` gives them; pack_id is the file and the row in it."""
     path = path.rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = folder(path)
         for batch in batches:
-            for name, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with opened_for_read(store, f"{root}/{name}.ids") as ids, opened_for_read(store, f"{root}/{name}.pos") as pos, opened_for_read(store, f"{root}/{name}.cu") as cu:
-                    for number in range(rows):
-                        n = int(np.frombuffer(cu.read(4), "<i4")[0])
-                        row = [np.frombuffer(ids.read(4 * length), "<u4").astype(np.int64), np.frombuffer(cu.read(4 * n), "<i4"), np.frombuffer(pos.read(4 * length), "<u4").astype(np.int64)]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([name]), pa.array([number], pa.int64()), pa.array([row[0]], pa.list_(pa.int64())), pa.array([row[1]], pa.list_(pa.int32())), pa.array([row[2]], pa.list_(pa.int64()))],
-                            names=["name", "number", "ids", "cu_seqlens", "positions"],
-                        )
-
-    manifest = spark.read.parquet(f"{path}/manifest").select("name", "rows")
-    return manifest.repartition("name").mapInArrow(run, "name string, number long, ids array<long>, cu_seqlens array<int>, positions array<long>")
+            for name, rows, width in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with ExitStack() as stack:
+                    ids, pos, cu, doc = (stack.enter_context(opened_as_stream(store, f"{root}/{name}.{kind}")) for kind in ("ids", "pos", "cu", "doc"))
+                    for first in range(0, rows, at_once):
+                        columns: list[list] = [[] for _ in PACKED_TYPES]
+                        for number in range(first, min(rows, first + at_once)):
+                            ends = np.frombuffer(cu.read(4 * int.from_bytes(cu.read(4), "little")), "<i4")
+                            pieces_ = np.frombuffer(doc.read(24 * (len(ends) - 1)), "<i8").reshape(-1, 3)
+                            documents = [None if null else d for d, null in pieces_[:, :2].tolist()]
+                            row_ids = np.frombuffer(ids.read(width * length), f"<u{width}").astype("<u4")
+                            resets = np.unpackbits(np.frombuffer(pos.read((length + 7) // 8), np.uint8))[:length]
+                            # each token's distance from the last reset at or before it
+                            last = np.maximum.accumulate(np.where(resets, np.arange(length), 0))
+                            positions = (np.arange(length) - last).astype("<u4")
+                            row = (f"{name}-{number:06d}", int(ends[-1]), row_ids.tobytes(), ends, positions.tobytes(), documents, pieces_[:, 2])
+                            for column, value in zip(columns, row, strict=True):
+                                column.append(value)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, PACKED_TYPES, strict=True)], names=list(PACKED_NAMES))
+
+    manifest = spark.read.parquet(f"{path}/manifest").select("name", "rows", "id_bytes")
+    return manifest.repartition(max(1, manifest.count()), "name").mapInArrow(run, PACKED)  # a task for each file
+
+
+def read_binary(spark, path: str, length: int = LENGTH) -> DataFrame:
+    """(name, number, ids, cu_seqlens, positions) of the files that the manifest names, ids and positions as arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, numbers = zip(*(x.rsplit("-", 1) for x in batch.column(0).to_pylist()), strict=True)
+            arrays = [pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in batch.column(i).to_pylist()], pa.list_(pa.int64())) for i in (1, 3)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names), pa.array([int(n) for n in numbers], pa.int64()), arrays[0], batch.column(2), arrays[1]],
+                names=["name", "number", "ids", "cu_seqlens", "positions"],
+            )
+
+    packed_ = read_packed(spark, path, length).select("pack_id", "ids", "cu_seqlens", "positions")
+    return packed_.mapInArrow(run, "name string, number long, ids array<long>, cu_seqlens array<int>, positions array<long>")
+
+
+def through_files(
+    docs: DataFrame,
+    path: str,
+    tokenizer_path: str,
+    pattern: str,
+    end_id: int | None,
+    pad_id: int = 0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    length: int = LENGTH,
+    group_tokens: int = GROUP_TOKENS,
+    id_bytes: int = 4,
+) -> DataFrame:
+    """Documents packed as `pack` does and written as binary files by the same tasks; the rows read back from these."""
+    pack_rows, write = packer(tokenizer_path, pattern, end_id, pad_id, length, group_tokens), writer(path, id_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return write(pack_rows(batches))
+
+    _manifest(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, FILES), path)
+    return read_packed(docs.sparkSession, path, length)

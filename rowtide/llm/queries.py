@@ -147,8 +147,8 @@ def capture_index(spark, sf_dir):
 
 @query("op2_pack_rows")
 def pack_rows(spark, sf_dir):
-    """Every document as packed rows of 2048 ids."""
-    return packing.pack(table(spark, sf_dir, "documents"), **byte_pairs())
+    """Every document as packed rows of 2048 ids, written as binary files and read back."""
+    return packing.through_files(table(spark, sf_dir, "documents"), scratch_path(spark, "packed"), **byte_pairs(), id_bytes=2)
 
 
 @query("op6_mix_sources")

@@ -193,8 +193,8 @@ def test_neighbour_edge_rows(spark):
 # ---- the pipeline's mixture, by sorting whole leaves --------------------------------------------------------------
 
 
-def order_by_hand(spark, docs, root, share, seed):
-    """(doc_id, text) that the pipeline's mixture takes in one epoch."""
+def order_by_hand(spark, docs, root, share, seed, tokens):
+    """(doc_id, text) that the pipeline's mixture takes in one epoch; tokens counts those of a text."""
     rows = docs.select("doc_id", "lang", "source", "text", mixing.order_key(seed, F.lit(0), F.col("doc_id")).alias("place")).collect()
     refer = {f"src{i}" for i in range(1, 10)}
     by_leaf = {}
@@ -207,7 +207,7 @@ def order_by_hand(spark, docs, root, share, seed):
             if node is None:
                 break
         if node is not None:
-            by_leaf.setdefault(path, []).append((r.place, str(r.doc_id), len((r.text or "").split()), r.doc_id, r.text))
+            by_leaf.setdefault(path, []).append((r.place, str(r.doc_id), tokens(r.text or ""), r.doc_id, r.text))
     supply = {p: sum(x[2] for x in xs) for p, xs in by_leaf.items()}
     budget = mixing.budgets(root, 3, supply, int(share * sum(supply.values())), 1)
     out = []

@@ -273,3 +273,27 @@ def test_binary_files_come_back(spark, tmp_path):
     found = sorted(key((r.ids, r.cu_seqlens, r.positions)) for r in packing.read_binary(spark, str(tmp_path / "b"), length=32).collect())
     assert found == want
     rows.unpersist()
+
+
+def test_packed_rows_come_back_whole(spark, tmp_path):
+    docs = [(i, "some words here " * (i % 30)) for i in range(90)] + [(None, "no id at all"), (91, None), (91, "again")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    rows = packing.pack(df, **queries.byte_pairs(), length=32).persist()
+    plain = lambda df: sorted((tuple(r)[1:] for r in df.collect()), key=repr)
+    packing.write_binary(rows, str(tmp_path / "b"))
+    back = packing.read_packed(spark, str(tmp_path / "b"), length=32)
+    short = packing.through_files(df, str(tmp_path / "c"), **queries.byte_pairs(), length=32, id_bytes=2)
+    assert back.columns == rows.columns and plain(back) == plain(short) == plain(rows)
+    assert back.select("pack_id").distinct().count() == rows.count()
+    rows.unpersist()
+
+
+@pytest.mark.parametrize("run", [" ", "\t", "\n", "x", "\u3000", "-="])
+def test_runs_without_a_break_are_packed(run):
+    settings_ = queries.byte_pairs()
+    encoder = packing.byte_pair_encoder(settings_["tokenizer_path"], settings_["pattern"])
+    for text in (run * 1_000_000, "a" + run * 600_000 + "b\n" + run * 500_000):
+        ids = packing.encode_whole(encoder, text)
+        assert encoder.decode(ids.tolist()) == text
+    short = ("a" + run * 37 + " b") * 20
+    assert list(np.concatenate(list(packing._encoded(encoder, short, 10)))) == encoder.encode_ordinary(short)

@@ -3,7 +3,7 @@
 import duckdb
 
 import corpus_pipeline
-from rowtide.llm import compression, decontam, mixing, queries
+from rowtide.llm import compression, decontam, mixing, packing, queries
 from rowtide.llm.common import written
 from tests.conftest import SMALL
 from tests.llm.test_mixing_search import order_by_hand
@@ -40,7 +40,9 @@ def test_stages_equal_plain_versions(spark):
         assert any(least_edits(x, texts[i]) <= decontam.EDIT_SHARE * len(x) for x in items)
 
     mixed = written(STAGES["mixture"](spark, clean, SMALL), "t4")
-    assert rows_of(mixed) == order_by_hand(spark, clean, queries.MIXTURE, 0.9, 17)
+    settings = queries.byte_pairs()
+    encoder = packing.byte_pair_encoder(settings["tokenizer_path"], settings["pattern"])
+    assert rows_of(mixed) == order_by_hand(spark, clean, queries.MIXTURE, 0.9, 17, lambda text: len(encoder.encode_ordinary(text)))
 
     packed = STAGES["packing"](spark, mixed, SMALL).collect()
     assert put_together(packed, 2048) == encoded(rows_of(mixed))
