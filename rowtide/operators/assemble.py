@@ -205,7 +205,7 @@ def collapse_serials(columns: DataFrame, sequences: DataFrame, scope: list[str])
         ]
     )
     # The sequence stands between quotes in the default, with or without its schema.
-    quoted = F.regexp_extract("dflt", r"(?i)nextval\(\s*'([^']+)'", 1)
+    quoted = F.regexp_extract("dflt", r"(?i)nextval\([\s(]*'([^']+)'", 1)
     owned = columns.filter(generated).select(
         *[F.col(s).alias(f"__{s}") for s in scope],
         F.replace(F.regexp_extract(quoted, r'("[^"]+"|[^".]+)$', 1), F.lit('"'), F.lit("")).alias("__sequence"),
@@ -218,13 +218,32 @@ def collapse_serials(columns: DataFrame, sequences: DataFrame, scope: list[str])
 LENGTH_TYPES = ("varchar", "character varying", "bpchar", "char", "character")
 SCALED_TYPES = ("numeric", "decimal")
 MODIFIER_HEADER = 4
+# An interval's modifier holds its fields above 16 bits and its precision below; these mean all and none.
+ALL_FIELDS, NO_PRECISION = 0x7FFF, 0xFFFF
+# The fields of an interval by their bits.
+INTERVAL_FIELDS = {
+    1 << 2: "year",
+    1 << 1: "month",
+    1 << 3: "day",
+    1 << 10: "hour",
+    1 << 11: "minute",
+    1 << 12: "second",
+    1 << 2 | 1 << 1: "year to month",
+    1 << 3 | 1 << 10: "day to hour",
+    1 << 3 | 1 << 10 | 1 << 11: "day to minute",
+    1 << 3 | 1 << 10 | 1 << 11 | 1 << 12: "day to second",
+    1 << 10 | 1 << 11: "hour to minute",
+    1 << 10 | 1 << 11 | 1 << 12: "hour to second",
+    1 << 11 | 1 << 12: "minute to second",
+}
 
 
 def formatted_type(name: Column, modifier: Column) -> Column:
     """A type with its modifier written out, as the catalog packs it.
 
     Lengths are kept with 4 added, a precision and scale as one number with 4
-    added, times and bit strings as they are. A negative modifier means none.
+    added, an interval's fields beside its precision, times and bit strings as
+    they are. A negative modifier means none.
     """
     packed = modifier - MODIFIER_HEADER
     scale = packed.bitwiseAND(F.lit(0x7FF))
@@ -237,7 +256,16 @@ def formatted_type(name: Column, modifier: Column) -> Column:
         .when(kind.isin(*SCALED_TYPES), F.concat_ws(",", precision.cast("string"), scale.cast("string")))
         .otherwise(modifier.cast("string"))
     )
-    return F.when(modifier >= 0, F.concat(name, F.lit("("), size, F.lit(")"))).otherwise(name)
+    fields = F.shiftright(modifier, 16).bitwiseAND(F.lit(ALL_FIELDS))
+    digits = modifier.bitwiseAND(F.lit(NO_PRECISION))
+    known = F.create_map(*[F.lit(x) for bits, text in INTERVAL_FIELDS.items() for x in (bits, f" {text}")])
+    interval = F.concat(
+        name,
+        F.coalesce(known[fields.cast("int")], F.lit("")),
+        F.when(digits == NO_PRECISION, "").otherwise(F.concat(F.lit("("), digits.cast("string"), F.lit(")"))),
+    )
+    sized = F.when(kind == "interval", interval).otherwise(F.concat(name, F.lit("("), size, F.lit(")")))
+    return F.when(modifier >= 0, sized).otherwise(name)
 
 
 def assemble_columns(

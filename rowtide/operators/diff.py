@@ -331,10 +331,13 @@ def sortable_text(value: Column, kind: T.DataType) -> Column:
     elif isinstance(kind, T.DateType):
         return sortable_text(F.unix_date(value), T.IntegerType())
     elif isinstance(kind, (T.FloatType, T.DoubleType)):
-        # Scaled to whole numbers where that is exact; the sign decides first.
-        size = F.format_string("%400.80f", F.abs(value))
-        flipped = F.translate(size, " 0123456789", "99876543210")
-        text = F.when(value < 0, F.concat(F.lit("0"), flipped)).otherwise(F.concat(F.lit("1"), F.translate(size, " ", "0")))
+        # Sign, exponent and digits: as many digits as tell any two values apart. 0 stands below all exponents.
+        wide = value.cast("double")
+        written = F.format_string("%.17e", F.abs(wide))
+        exponent = F.when(wide == 0, F.lit(0)).otherwise(F.substring(written, 21, 5).cast("int") + 400)
+        size = F.concat(F.lpad(exponent.cast("string"), 3, "0"), F.substring(written, 1, 19))
+        flipped = F.translate(size, "0123456789", "9876543210")
+        text = F.when(wide < 0, F.concat(F.lit("0"), flipped)).otherwise(F.concat(F.lit("1"), size))
         far = F.lit(float("inf"))
         text = F.when(F.isnan(value), F.lit("2")).when(value == far, F.lit("1~")).when(value == -far, F.lit("0")).otherwise(text)
     else:

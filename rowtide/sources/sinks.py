@@ -74,9 +74,18 @@ _PLAIN = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Dou
 
 
 def literal(value: Column, kind: T.DataType) -> Column:
-    """SQL literal by type: numbers bare, everything else quoted, NULL as NULL."""
-    if isinstance(kind, _PLAIN):
+    """SQL literal by type: numbers bare, everything else quoted, NULL as NULL.
+
+    Numbers that have no digits (NaN and the infinities) are quoted, binary values
+    are written in hexadecimal.
+    """
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        odd = F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
+        text = F.when(odd, quote_literal(value.cast("string"))).otherwise(value.cast("string"))
+    elif isinstance(kind, _PLAIN):
         text = value.cast("string")
+    elif isinstance(kind, T.BinaryType):
+        text = F.concat(F.lit("'\\x"), F.lower(F.hex(value)), F.lit("'"))
     elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
         text = quote_literal(F.to_json(value))
     else:

@@ -29,10 +29,14 @@ QUERY_ID = "sql.streaming.queryId"
 
 
 def last_changes(changes: DataFrame, pk: list[str], seq: str) -> DataFrame:
-    """The change with the highest sequence number for each key. Combined before
-    the shuffle, so a key that is touched all the time costs one row per task."""
+    """The change with the highest sequence number for each key; of equal numbers the
+    greatest row, so a replay gives the same. Combined before the shuffle, so a
+    key that is touched all the time costs one row per task."""
     others = [c for c in changes.columns if c not in pk]
-    last = changes.groupBy(*pk).agg(F.max_by(F.struct(*others), seq).alias("__last"))
+    row = F.struct(*others)
+    maps = any("map<" in changes.schema[c].dataType.simpleString() for c in others)
+    order = F.struct(F.col(seq), F.to_json(row) if maps else row)
+    last = changes.groupBy(*pk).agg(F.max_by(row, order).alias("__last"))
     return last.select(*pk, "__last.*").select(*changes.columns)
 
 
@@ -152,6 +156,24 @@ def compact(
     return held
 
 
+def retire(spark: SparkSession, path: str, held: Mapping[str, int]) -> int:
+    """Removes the log folders whose batches a compacted base holds; returns their number.
+
+    ``held`` is what :func:`compact` returned. To be called once readers use that base and
+    those positions; batches that came later stay.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    settings, gone = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    for feed, last in held.items():
+        folder = hadoop.Path(os.path.join(_log(path), f"{FEED}={feed}"))
+        store = folder.getFileSystem(settings)
+        for status in store.listStatus(folder) if store.exists(folder) else ():
+            name, _, number = status.getPath().getName().partition("=")
+            if name == BATCH and number.isdigit() and int(number) <= last:
+                gone += bool(store.delete(status.getPath(), True))
+    return gone
+
+
 # -- constraints --------------------------------------------------------------
 
 

@@ -253,6 +253,7 @@ def test_statements_of_many_tables(frame):
 @pytest.mark.parametrize("kind,values", [
     ("int", [None, -(2**31), -7, 0, 3, 11, 2**31 - 1]), ("string", [None, "", "B", "a", "a b", "aa"]),
     ("double", [None, -1e300, -2.5, -1e-9, 0.0, 1e-9, 2.5, 1e300, float("inf")]), ("boolean", [None, False, True]),
+    ("double", [-float("inf"), -1.0000000000000002, -1.0, -1e-100, -5e-324, 0.0, 5e-324, 1e-200, 1e-100, 0.1, 0.30000000000000004, 1e22, 1.7976931348623157e308]),
     ("decimal(9,2)", [None, Decimal("-12.30"), Decimal("-2.00"), Decimal("0.01"), Decimal("9.99"), Decimal("10.00")]),
     ("date", [None, date(1960, 1, 1), date(2000, 1, 1), date(2000, 10, 1)]),
     ("timestamp", [None, datetime(1960, 1, 1), datetime(2000, 1, 1, 0, 0, 0, 5), datetime(2000, 1, 1, 0, 0, 1)]),

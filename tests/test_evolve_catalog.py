@@ -228,14 +228,16 @@ def test_an_unknown_trigger_event_is_reported(frame):
 def test_owned_sequences_go_with_or_without_their_schema(frame):
     columns = frame("db int, column_name string, data_type string, nullable boolean, dflt string",
                     (1, "a", "integer", False, "nextval('public.t_a_seq'::regclass)"),
-                    (1, "b", "integer", False, "nextval('\"S x\".\"T_b_seq\"'::regclass)"))
-    sequences = frame("db int, sequence_name string", (1, "t_a_seq"), (1, "T_b_seq"), (1, "free"))
+                    (1, "b", "integer", False, "nextval('\"S x\".\"T_b_seq\"'::regclass)"),
+                    (1, "c", "integer", False, "nextval(('public.t_c_seq'::text)::regclass)"))
+    sequences = frame("db int, sequence_name string", (1, "t_a_seq"), (1, "T_b_seq"), (1, "t_c_seq"), (1, "free"))
     assert rows(assemble.collapse_serials(columns, sequences, ["db"])[1], "sequence_name") == [("free",)]
 
 
 @pytest.mark.parametrize("name,modifier,text", [
     ("varchar", 44, "varchar(40)"), ("bpchar", 5, "bpchar(1)"), ("numeric", (10 << 16) + 2 + 4, "numeric(10,2)"),
     ("timestamptz", 3, "timestamptz(3)"), ("bit", 8, "bit(8)"), ("text", -1, "text"), ("varchar", -1, "varchar"),
+    ("interval", 2147418115, "interval(3)"), ("interval", (7176 << 16) + 2, "interval day to second(2)"), ("interval", (4 << 16) + 0xFFFF, "interval year"),
 ])
 def test_type_modifiers(frame, name, modifier, text):
     found = frame("n string, m int", (name, modifier)).select(assemble.formatted_type(F.col("n"), F.col("m")).alias("t"))

@@ -360,6 +360,25 @@ def test_compaction_remembers_deletes(spark, frame, tmp_path):
     assert rows(found, "k", "v") == [(1, "new")]
 
 
+def test_a_base_retires_its_log(spark, frame, tmp_path):
+    source, state, progress, packed = (str(tmp_path / n) for n in ("in", "state", "progress", "packed"))
+    put(frame, source, (1, "a", "I", 1), (1, "b", "U", 1), (2, "b", "I", 2))
+    feeds.run_available(feeds.stream_apply_changes(feed(spark, source), state, progress, ["k"]))
+    held = feeds.compact(spark, state, packed, ["k"])
+    put(frame, source, (3, "c", "I", 3))
+    feeds.run_available(feeds.stream_apply_changes(feed(spark, source), state, progress, ["k"]))
+    assert feeds.retire(spark, state, held) == 1 and feeds.retire(spark, state, held) == 0
+    found = feeds.current_state(spark, state, ["k"], base=spark.read.parquet(packed), after=held)
+    assert rows(found, "k", "v") == [(1, "b"), (2, "b"), (3, "c")]  # of equal numbers the greatest row
+
+
+def test_literals_without_digits(frame):
+    df = frame("d double, b binary", (float("nan"), b"\x00\xff"), (float("-inf"), b""), (1.5, None))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    found = df.select(*[sinks.literal(F.col(c), kinds[c]).alias(c) for c in kinds])
+    assert [tuple(r) for r in found.collect()] == [("'NaN'", r"'\x00ff'"), ("'-Infinity'", r"'\x'"), ("1.5", "NULL")]
+
+
 def test_two_feeds_into_one_state_lose_nothing(spark, frame, tmp_path):
     state = str(tmp_path / "state")
     base = frame("k int, v string", (7, "base"))
