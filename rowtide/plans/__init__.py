@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("diff_queries", "overlay_queries", "check_queries", "evolve_queries", "graph_queries", "catalog_queries", "grant_queries", "feed_queries")
+MODULES = ("diff_queries", "overlay_queries", "check_queries", "evolve_queries", "graph_queries", "catalog_queries", "grant_queries", "feed_queries", "state_queries")
 
 
 def load_all() -> tuple[dict, dict]:
