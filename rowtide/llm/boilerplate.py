@@ -30,10 +30,9 @@ from pyspark.sql import functions as F
 
 from rowtide.llm.common import written
 
-#: A subtree is template text on at least so many pages of its host, and at least this share of them;
+#: A subtree is template text on at least so many pages of its host, whatever the host's size;
 #: pages with the same kept text are one page here, as copies are no evidence of a template.
 MIN_PAGES = 10
-MIN_SHARE = 0.01
 #: A template subtree with more than this share of a page's remaining text is kept on it.
 MOST_TEXT = 0.5
 
@@ -359,7 +358,6 @@ def main_texts(
     url_col: str = "url",
     html_col: str = "html",
     min_pages: int = MIN_PAGES,
-    min_share: float = MIN_SHARE,
     most_text: float = MOST_TEXT,
 ) -> DataFrame:
     """(page_id, url, text, n_chars) of each row.
@@ -393,9 +391,7 @@ def main_texts(
     table = written(source.mapInArrow(run, parsed), "pages")
     # a subtree counts once for each main text, on whichever copies of the page it stands
     subtrees = table.select("host", "digest", F.explode("hashes").alias("hash")).distinct()
-    sites = table.select("host", "digest").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    counts = subtrees.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    templates = counts.join(sites, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
+    templates = subtrees.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "hash")
     # a page whose kept text lies in no counted subtree is not changed by any template and need not move
     plain = table.where("size(held) = 0").select("page_id", "url", "packed", F.lit(None).cast("array<long>").alias("templates"))
     rest = table.where("size(held) > 0")

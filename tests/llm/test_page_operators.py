@@ -141,18 +141,17 @@ def test_deep_pages_take_linear_time(unit):
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - process < 700_000
 
 
-def brute_main_texts(rows, min_pages, min_share):
+def brute_main_texts(rows, min_pages):
     parsed = [(i, u, boilerplate.parse(h or "")) for i, u, h in rows]
-    counts, pages = {}, {}
+    counts = {}
     for _, u, page in parsed:
         host = boilerplate.host_of(u)
-        pages[host] = pages.get(host, 0) + 1
         for x in set(page.hashes):
             counts[host, x] = counts.get((host, x), 0) + 1
     out = []
     for i, u, page in parsed:
         host = boilerplate.host_of(u)
-        found = {x for x in page.hashes if counts[host, x] >= min_pages and counts[host, x] >= min_share * pages[host]}
+        found = {x for x in page.hashes if counts[host, x] >= min_pages}
         out.append((i, u, boilerplate.main_text(boilerplate.kept_blocks(page), found)))
     return sorted(out, key=repr)
 
@@ -168,7 +167,7 @@ def test_repeated_subtrees_go(spark):
     rows += [(600, None, None), (601, "http://[bad", ""), (None, "http://hot.org/x", "<p>last"), (602, "http://x.org", "w " * 200_000), (602, "http://x.org", "<p>repeated id")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, TEXT int")
     found = sorted(((r.page_id, r.url, r.text) for r in boilerplate.main_texts(df.repartition(5), min_pages=8).collect()), key=repr)
-    assert found == brute_main_texts(rows, 8, boilerplate.MIN_SHARE)
+    assert found == brute_main_texts(rows, 8)
     texts = {i: t for i, _, t in found}
     assert texts[3].startswith("words of this page") and "Welcome" not in texts[3] and "Home" not in texts[3]
     assert texts[500] == "one long text that is a copy"
@@ -182,7 +181,7 @@ def test_copies_of_a_page_are_no_template(spark):
     rows = [(i, f"http{'s' * (i % 2)}://a.org/x?utm={i}", plain_page) for i in range(10)]
     rows += [(100 + i, "http://b.org/y", f"<body><div class=nav>{i}</div>{parts}</body>") for i in range(12)]
     rows += [(200 + i, f"http://c.org/{i}", f"<body><div>Welcome</div><div>{'own words ' * 3}{i}</div></body>") for i in range(10)]
-    rows += [(300 + i, "http://c.org/0", rows[22][2]) for i in range(1500)]  # copies do not dilute a host's share either
+    rows += [(300 + i, "http://c.org/0", rows[22][2]) for i in range(1500)]
     found = {r.page_id: r.text for r in boilerplate.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert {found[i] for i in range(10)} == {"Title\n\nfirst paragraph of it\n\nsecond paragraph of it\n\nthird one"}
     assert {found[100 + i] for i in range(12)} == {"one section\n\none box\n\na\n\nb\n\nmore of it\n\ncell"}
@@ -190,6 +189,14 @@ def test_copies_of_a_page_are_no_template(spark):
     assert len(found) == len(rows) and found[1799] == found[200]
 
 
+def test_template_of_a_section_of_a_large_host(spark):
+    """A box on 12 of 2,000 pages of a host goes, as it does on a host of 100."""
+    for n in (100, 2000):
+        rows = [(i, f"http://big.org/{i}", f"<body><div>{'words of its own ' * 4}{i}</div>{'<div>in this section</div>' * (i < 12)}</body>") for i in range(n)]
+        found = {r.page_id: r.text for r in boilerplate.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert all(found[i] == f"{'words of its own ' * 4}{i}" for i in range(n))
+
+
 # ---- packed rows --------------------------------------------------------------------------------------------------
 
 
