@@ -1,10 +1,12 @@
 """Quality, decontamination, token counts and licence notices."""
 
+import math
 import random
 
 import numpy as np
 import public_tokenizers
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -53,6 +55,61 @@ def test_held_out_labels_are_not_learned_from(labelled):
     assert compression.train(docs, labels, sample=150) == compression.train(docs, turned, sample=150)
 
 
+def plain_features(text, good, bad):
+    """The features of one text, worked out without numpy."""
+    body = text.encode()
+    coders = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False, write_content_size=False, write_dict_id=False) for d in (good, bad)]
+    g, b = [sum(len(c.compress(body[i : i + 1024])) for i in range(0, len(body), 1024)) for c in coders]
+    near, dense = (b - g) / max(g + b, 1), math.log((min(g, b) + 8) / (len(body) + 8))
+    return 1, 10 * near, dense, 100 * near**2, dense**2, 10 * near * dense
+
+
+def test_scores_equal_a_plain_version(spark, labelled):
+    docs, labels, _ = labelled
+    model = compression.train(docs, labels, sample=150)
+    texts = ["", "x", prose(random.Random(5), 3000), junk(random.Random(6), 700), "same " * 9000, "\u00e9\u4e2d" * 3000]
+    found = compression.with_score(spark.createDataFrame(enumerate(texts), "doc_id long, text string"), model).collect()
+    for row, text in zip(sorted(found), texts, strict=True):
+        z = sum(w * f for w, f in zip(model.weights, plain_features(text, model.good, model.bad), strict=True))
+        assert row["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
+
+
+def test_curve_is_at_its_optimum():
+    """No step in any direction lowers the penalised loss that the curve is the minimum of."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.ones((400, 1)), rng.normal(size=(400, 5))], axis=1)
+    y = (x @ [0.5, 2, -1, 0, 0.3, 1] + rng.logistic(size=400) > 0).astype(float)
+
+    def loss(w):
+        z = x @ w
+        return np.sum(np.log1p(np.exp(-z)) + (1 - y) * z) + 0.5e-2 * w @ w
+
+    w = compression.curve(x, y)
+    assert all(loss(w) <= loss(w + 1e-3 * step) for step in rng.normal(size=(200, 6)))
+
+
+def test_training_reads_whole_texts(spark):
+    """What tells the classes apart stands behind 40,000 characters that they share."""
+    rng = random.Random(8)
+    front = prose(rng, 6000)[:40_000]
+    rows = [(i, front + (junk(rng, 2500) if i % 2 else prose(rng, 2500)), i % 2) for i in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], 1 - r[2]) for r in rows], "doc_id long, quality int")
+    model = compression.train(docs, labels)
+    scores = {r["doc_id"]: r["score"] for r in compression.with_score(docs, model).collect()}
+    assert np.mean([(scores[i] >= 0.5) == (y == 0) for i, _, y in rows]) > 0.97
+
+
+def test_pieces_of_training_are_bounded_and_from_anywhere(spark):
+    body = "".join(f"{i:08d}" for i in range(640_000))  # 5,000 pieces
+    texts = spark.createDataFrame([(1, body), (2, None), (3, "")], "id long, text string")
+    got = compression.least_pieces(texts, 300)
+    at = sorted(body.index(x.decode()) // 1024 for x in got)
+    assert len(got) == len(set(at)) == 300 and at[0] < 200 and at[-1] > 4800
+    assert got == compression.least_pieces(texts.repartition(3), 300)
+    assert len(compression.least_pieces(texts, 10_000)) == 5000
+
+
 def test_quality_edge_rows(spark, labelled):
     docs, labels, _ = labelled
     model = compression.train(docs, labels, sample=150)
