@@ -247,3 +247,50 @@ def _stream_constraint_check(spark, sf_dir):
     )
     feeds.run_available(writer)
     return spark.read.parquet(path)
+
+
+@query(
+    "stream_reference_check",
+    """
+    WITH clicks AS (SELECT DISTINCT user_id,
+        time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE - INTERVAL 1 MICROSECOND AS until
+        FROM events WHERE event_type = 'click')
+    SELECT event_id, user_id, value, 'purchase_click_fk' AS constraint_name FROM events e
+    WHERE event_type = 'purchase' AND user_id IS NOT NULL AND ts IS NOT NULL AND NOT EXISTS (SELECT 1 FROM clicks c
+        WHERE c.user_id = e.user_id AND c.until BETWEEN e.ts - INTERVAL 36 HOUR AND e.ts + INTERVAL 70 MINUTE)""",
+)
+def _stream_reference_check(spark, sf_dir):
+    """Purchases without a click of the user from 36 hours before to an hour after.
+
+    The earlier half of the events comes in one run and the later half in the
+    next, so state is carried over; a click and a purchase of no real user, far
+    ahead, close both streams.
+    """
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = events.select("event_id", "user_id", "event_type", "value", "ts")
+    middle = events.agg(F.timestamp_seconds((F.min(F.unix_micros("ts")) + F.max(F.unix_micros("ts"))) / 2000000)).first()[0]
+    late = F.coalesce(F.col("ts") >= F.lit(middle), F.lit(True))
+    path, found, progress = (scratch_path(spark, n) for n in ("feed", "violations", "progress"))
+    end = F.lit("2200-01-01 00:00:00").cast("timestamp")
+    none = [F.lit(-1).cast(events.schema[c].dataType).alias(c) for c in ("event_id", "user_id")]
+    close = spark.range(2).select(
+        *none, F.when(F.col("id") == 0, "click").otherwise("purchase").alias("event_type"), F.lit(None).cast("double").alias("value"), end.alias("ts")
+    )
+    for rows in (events.filter(~late), events.filter(late).unionByName(close)):
+        rows.write.mode("append").parquet(path)
+        feed = spark.readStream.schema(events.schema).parquet(path)
+        writer = feeds.stream_reference_check(
+            feed.filter("event_type = 'purchase'"),
+            feed.filter("event_type = 'click'"),
+            ForeignKeySpec(("user_id",), "clicks", ("user_id",), "purchase_click_fk"),
+            found,
+            progress,
+            child_time="ts",
+            parent_time="ts",
+            before="36 hours",
+            after="1 hour",
+            bucket="10 minutes",
+            delay="1 hour",
+        )
+        feeds.run_available(writer)
+    return spark.read.parquet(found).select("event_id", "user_id", "value", "constraint_name")

@@ -215,6 +215,57 @@ def stream_constraint_check(rows: DataFrame, path: str, checkpoint: str, **rules
     )
 
 
+def unreferenced(
+    children: DataFrame,
+    parents: DataFrame,
+    fk: ForeignKeySpec,
+    child_time: str,
+    parent_time: str,
+    *,
+    before: str,
+    after: str,
+    bucket: str,
+    delay: str,
+) -> DataFrame:
+    """Rows of a stream whose parent does not come in another stream, decided by event time.
+
+    A parent counts from ``before`` ahead of the child to ``after`` behind it,
+    where its time is taken as the end of the ``bucket`` it lies in, and
+    ``after`` begins a bucket later. So a child that comes ahead of its parent
+    waits, and is reported once both streams are ``delay`` past that span.
+    Parents of one key and bucket are one row in the state, so a child meets a
+    few rows at most, however often its key occurs. Keys with a NULL refer to
+    nothing and do not move event time on; rows without a time, or later than
+    ``delay``, are not judged.
+    """
+    target = [F.col(f"`{t}`").alias(f"__p{j}") for j, t in enumerate(fk.target_columns)]
+    known = parents.select(*target, F.col(f"`{parent_time}`").alias("__at")).withWatermark("__at", delay)
+    names = [f"__p{j}" for j in range(len(target))]
+    known = known.select(*names, F.window("__at", bucket).alias("__span")).dropDuplicates([*names, "__span"])
+    known = known.select(*names, F.window_time("__span").alias("__end"))
+    rows = children.filter(all_of([F.col(f"`{c}`").isNotNull() for c in (*fk.columns, child_time)]))
+    rows = rows.withWatermark(child_time, delay)
+    ahead, behind, width = [F.expr(f"INTERVAL {x}") for x in (before, after, bucket)]
+    at = rows[f"`{child_time}`"]
+    match = all_of([rows[f"`{c}`"] == known[n] for c, n in zip(fk.columns, names, strict=True)])
+    match = match & (known["__end"] >= at - ahead) & (known["__end"] <= at + behind + width)
+    missing = rows.join(known, match, "left_outer").filter(F.col("__end").isNull())
+    return missing.select(*children.columns, F.lit(fk.name).alias("constraint_name"))
+
+
+def stream_reference_check(
+    children: DataFrame, parents: DataFrame, fk: ForeignKeySpec, path: str, checkpoint: str, **times: str
+) -> DataStreamWriter:
+    """Writer that appends the rows of :func:`unreferenced` to the files at ``path``."""
+    found = unreferenced(children, parents, fk, **times)
+    return (
+        found.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+    )
+
+
 def run_available(writer: DataStreamWriter) -> None:
     """Process everything that is there and stop."""
     query = writer.trigger(availableNow=True).start()
