@@ -213,6 +213,97 @@ def test_decontamination_edge_rows(spark):
     assert sorted(r["item_id"] for r in decontam.benchmark_matches(docs, bench, block_chars=40).where("doc_id = 3").collect()) == [-1, -1, 7, 7]
 
 
+def plain_ends(item, text):
+    """(least edits, end) of item against stretches of text, for every end."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, t in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != t)))
+        row = new
+    return [(e, j) for j, e in enumerate(row)]
+
+
+@given(st.data())
+@settings(max_examples=60, deadline=None)
+def test_every_place_of_an_item_is_found_in_repetitive_texts(data):
+    """Equal places from the left are all found, and every near end outside them lies in or beside a match."""
+    piece = st.sampled_from(["-", "--", "ab", "abc ", "-" * 30, "ab" * 20, "x", "abcdefgh"])
+    made = lambda least, most: "".join(data.draw(st.lists(piece, min_size=least, max_size=most)))
+    items = [x for _ in range(3) if (x := plain(made(2, 8)))]
+    text = plain(made(0, 6) + (items[0] if items else "") + made(0, 30))
+    index = decontam.Index(list(enumerate(items)), decontam.Q, decontam.EDIT_SHARE)
+    found = index.matches(text)
+    for i, item in enumerate(items):
+        k = int(decontam.EDIT_SHARE * len(item))
+        while k and len(item) - decontam.Q + 1 - k * decontam.Q < 1:
+            k -= 1
+        mine = [(a, b, e) for j, a, b, e in found if j == i]
+        assert all(x[1] <= y[0] for x, y in zip(sorted(mine), sorted(mine)[1:], strict=False))
+        covered = set().union(*(range(a, b) for a, b, _ in mine)) if mine else set()
+        assert all(least_edits(item, text[a:b]) <= e <= k for a, b, e in mine)
+        at = 0
+        while (at := text.find(item, at)) >= 0:
+            assert covered.intersection(range(at, at + len(item)))
+            at += 1
+        for edits, end in plain_ends(item, text):
+            if edits <= k:  # its stretch holds the character before its end
+                assert covered.intersection(range(max(0, end - len(item) - k), end)), (i, end)
+
+
+def test_windows_of_a_text_change_nothing(monkeypatch):
+    rng = random.Random(5)
+    items = [(i, "".join(rng.choice("abcdefgh ") for _ in range(rng.choice([60, 200])))) for i in range(6)]
+    items.append((6, "-" * 80))
+    text = ""
+    for _ in range(60):
+        item = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 6)):
+            item[rng.randrange(len(item))] = "z"
+        text += "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 90))) + "".join(item)
+    index = decontam.Index(items, decontam.Q, decontam.EDIT_SHARE)
+    whole = index.matches(text)
+    monkeypatch.setattr(decontam, "WINDOW", 97)
+    monkeypatch.setattr(decontam, "ALIGNED", 41)
+    assert index.matches(text) == whole and len(whole) > 20
+
+
+def test_long_runs_against_items_of_runs():
+    """A million dashes, and as many of a repeated pair, against a hundred items of them."""
+    import resource
+    import time
+
+    items = [(i, "-" * (200 + i)) for i in range(50)] + [(50 + i, "ab" * (100 + i)) for i in range(50)]
+    index = decontam.Index(items, decontam.Q, decontam.EDIT_SHARE)
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.monotonic()
+    dashes = index.matches("-" * 1_000_000)
+    pairs = index.matches("ab" * 500_000)
+    assert time.monotonic() - began < 60  # both texts; 30 s each
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20  # kB
+    assert [x[1:] for x in dashes if x[0] == 0] == [(a, a + 200, 0) for a in range(0, 1_000_000, 200)]
+    assert len([x for x in pairs if x[0] == 50]) == 5_000 and {x[0] for x in dashes + pairs} == set(range(100))
+    assert len(decontam.Index([(1, "-")], decontam.Q, decontam.EDIT_SHARE).matches("-" * 100_000)) == 100_000
+
+
+def test_blocks_of_a_benchmark_are_passes_of_their_own(spark):
+    rng = random.Random(8)
+    items = [(i % 17, "".join(rng.choice("abcdefgh ") for _ in range(rng.choice([5, 50, 120])))) for i in range(40)]
+    items += [(1, items[1][1].upper()), (3, None), (None, "")]
+    texts = [" ".join(rng.choice(items[:40])[1] for _ in range(3)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0], None, ""])), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, decontam.benchmark_matches(docs, bench).distinct().collect()))
+    ten = sorted(map(tuple, decontam.benchmark_matches(docs, bench, block_chars=300).distinct().collect()))
+    assert one == ten and len(one) > 60
+    rows = [{r["doc_id"]: r["benchmark_matches"] for r in decontam.with_matches(docs, bench, block_chars=c).collect()} for c in (300, 2_000_000)]
+    assert rows[0] == rows[1] and len(rows[0]) == 33
+    clean = [sorted(r["doc_id"] for r in decontam.drop_contaminated(docs, bench, block_chars=c).collect()) for c in (300, 2_000_000)]
+    assert clean[0] == clean[1] == [31, 32]
+    path, blocks = decontam.item_blocks(bench, "item_id", "text", 300)
+    parts = [decontam.block_items(path, b) for b in range(blocks)]
+    assert blocks >= 8 and sum(map(len, parts)) == 41 and max(sum(len(t) for _, t in p) for p in parts) < 1_500
+
+
 # ---- token counts -------------------------------------------------------------------------------------------------
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
