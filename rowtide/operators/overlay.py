@@ -3,6 +3,10 @@
 Layer 0 is the base. A layer supplies the columns in its header, so whether a
 value counts is known from the header and never from the value being NULL.
 Layers are folded by one aggregate on the key, combined before its shuffle.
+
+A key may occur once in a layer (``on_duplicate='fail'``, proved, or
+``'trust'``) unless the layer is taken by ``'each'``: then every row of the key
+is a version of its own and all of them count, as in a join.
 """
 
 from __future__ import annotations
@@ -46,6 +50,80 @@ def _when_supplied(numbers: list[int], total: int) -> Column:
     return F.when(F.col(LAYER).isin(*numbers), F.col(LAYER))
 
 
+def _modes(layers: list[DataFrame], on_duplicate: str | list[str]) -> list[str]:
+    """What is done about repeated keys, layer by layer."""
+    modes = [on_duplicate] * len(layers) if isinstance(on_duplicate, str) else list(on_duplicate)
+    if len(modes) != len(layers):
+        raise ValueError("on_duplicate is one word, or one for each layer")
+    return modes
+
+
+def _versions(layer: DataFrame, first: int, pk: list[str], tombstone: str) -> tuple[DataFrame, dict[str, str]]:
+    """One layer in the form of :func:`_composite`, row by row."""
+    stacked, supplied = stack_layers([layer], pk)
+    flag = next((c for c in supplied if c.lower() == tombstone.lower()), None)
+    number = F.lit(first)
+    buried = F.lit(-1) if flag is None else F.when(F.coalesce(F.col(f"`{flag}`"), F.lit(False)), number).otherwise(-1)
+    values = [c for c in supplied if c not in pk and c != flag]
+    rows = stacked.select(
+        *pk,
+        buried.alias("__buried"),
+        number.alias("__top"),
+        number.alias("__last"),
+        *[F.col(f"`{c}`").alias(f"__v_{c}") for c in values],
+    )
+    return rows, {c: "__last" for c in values}
+
+
+def _one_over_another(
+    lower: tuple[DataFrame, dict[str, str]], upper: tuple[DataFrame, dict[str, str]], pk: list[str]
+) -> tuple[DataFrame, dict[str, str]]:
+    """Two composites as one: a row for every pair of versions of a key."""
+    (below, last_below), (above, last_above) = lower, upper
+    right = above.select(*[F.col(f"`{c}`").alias(f"__up_{c}") for c in above.columns])
+    both = below.join(right, all_of([F.col(k).eqNullSafe(F.col(f"__up_{k}")) for k in pk]), "full_outer")
+
+    def up(c: str) -> Column:
+        return F.col(f"`__up_{c}`")
+
+    columns = [F.greatest(F.col(c), up(c)).alias(c) for c in ("__buried", "__top")]
+    last = {c: f"__last_{c}" for c in [*last_below, *[c for c in last_above if c not in last_below]]}
+    for c, name in last.items():
+        value, number = F.col(f"`__v_{c}`"), F.col(f"`{last_below[c]}`") if c in last_below else None
+        if c in last_above:
+            newer = up(last_above[c])
+            value = up(f"__v_{c}") if number is None else F.when(newer.isNotNull(), up(f"__v_{c}")).otherwise(value)
+            number = newer if number is None else F.greatest(number, newer)
+        columns += [number.alias(name), value.alias(f"__v_{c}")]
+    keys = [F.when(up("__top").isNotNull(), up(k)).otherwise(F.col(k)).alias(k) for k in pk]
+    return both.select(*keys, *columns), last
+
+
+def _all_versions(
+    layers: list[DataFrame], first: int, pk: list[str], tombstone: str, modes: list[str]
+) -> tuple[DataFrame, dict[str, str]]:
+    """:func:`_composite` with all versions of the keys that a layer taken by
+    ``each`` repeats. Layers between such ones are folded as ever."""
+    if "each" not in modes:
+        return _composite(layers, first, pk, tombstone)
+    names: dict[str, str] = {}
+    for layer in layers:
+        for c in layer.columns:
+            names.setdefault(c.lower(), c)
+    runs: list[tuple[int, list[DataFrame]]] = []
+    for i, layer in enumerate(layers):
+        layer = align_names(layer, list(names.values()))
+        if i and "each" not in modes[i - 1 : i + 1]:
+            runs[-1][1].append(layer)
+        else:
+            runs.append((first + i, [layer]))
+    found = None
+    for number, run in runs:
+        one = _versions(run[0], number, pk, tombstone) if len(run) == 1 else _composite(run, number, pk, tombstone)
+        found = one if found is None else _one_over_another(found, one, pk)
+    return found
+
+
 def _composite(layers: list[DataFrame], first: int, pk: list[str], tombstone: str) -> tuple[DataFrame, dict[str, str]]:
     """The layers folded to one row per key, and for every value column the name
     of the aggregate that holds its last supplier.
@@ -75,7 +153,7 @@ def _composite(layers: list[DataFrame], first: int, pk: list[str], tombstone: st
 
 
 def overlay_rows(
-    layers: list[DataFrame], pk: list[str], tombstone: str = TOMBSTONE, on_duplicate: str = "fail"
+    layers: list[DataFrame], pk: list[str], tombstone: str = TOMBSTONE, on_duplicate: str | list[str] = "fail"
 ) -> DataFrame:
     """Composite rows: the last layer wins for each column it supplies, unseen
     keys are appended, and a tombstone removes what the layers below built. A
@@ -85,27 +163,27 @@ def overlay_rows(
     join, so a large base need not move for small layers (Spark broadcasts them
     if they are measured to be small). Keys the base lacks are found by its keys
     alone. Keys have to be unique within a layer; ``on_duplicate='trust'`` skips
-    the proof.
+    the proof, ``'each'`` makes a row of every combination of a key's versions.
+    A list gives each layer its own word.
     """
     if not layers:
         raise ValueError("at least one layer is needed")
-    layers = [align_names(d, pk) for d in layers]
-    if on_duplicate == "fail":
-        layers = [require_unique(d, pk, f"layer {i}") for i, d in enumerate(layers)]
+    layers, modes = [align_names(d, pk) for d in layers], _modes(layers, on_duplicate)
+    layers = [require_unique(d, pk, f"layer {i}") if m == "fail" else d for i, (d, m) in enumerate(zip(layers, modes))]
     base = live_rows(layers[0], tombstone)
     if len(layers) == 1:
         return base
     base_columns = [c for c in base.columns if c not in pk]
     aligned = [align_names(d, base_columns) for d in layers[1:]]
-    upper, last = _composite(aligned, 1, pk, tombstone)
+    upper, last = _all_versions(aligned, 1, pk, tombstone, modes[1:])
     alive = F.col("__top") > F.col("__buried")
     columns = [*base_columns, *[c for c in last if c not in base_columns]]
 
     def from_upper(c: str) -> Column:
         """Whether a layer above the last tombstone supplies the column."""
-        return F.col(last[c]) > F.col("__buried")
+        return F.col(f"`{last[c]}`") > F.col("__buried")
 
-    keys = upper.select(*[F.col(k).alias(f"__{k}") for k in pk], *[c for c in upper.columns if c not in pk])
+    keys = upper.select(*[F.col(k).alias(f"__{k}") for k in pk], *[f"`{c}`" for c in upper.columns if c not in pk])
     same = all_of([F.col(k).eqNullSafe(F.col(f"__{k}")) for k in pk])
     found = F.col("__top").isNotNull()
     met = base.join(keys, same, "left").filter(~found | alive)
@@ -122,12 +200,12 @@ def overlay_rows(
     return met.select(*pk, *merged).unionByName(unseen.select(*pk, *appended))
 
 
-def _unique_layers(layers: list[DataFrame], key: list[str], on_duplicate: str) -> list[DataFrame]:
+def _unique_layers(
+    layers: list[DataFrame], key: list[str], modes: list[str], unproved: tuple[str, ...] = ("trust",)
+) -> list[DataFrame]:
     """The layers, each proved to have one row per key unless that is trusted."""
     layers = [align_names(d, key) for d in layers]
-    if on_duplicate == "trust":
-        return layers
-    return [require_unique(d, key, f"layer {i}") for i, d in enumerate(layers)]
+    return [d if m in unproved else require_unique(d, key, f"layer {i}") for i, (d, m) in enumerate(zip(layers, modes))]
 
 
 def overlay_overwrite(
@@ -136,7 +214,7 @@ def overlay_overwrite(
     """The listed attributes are taken together from the last layer that has the
     key, blanks included; other columns keep their first value. Keys have to be
     unique within a layer; ``on_duplicate='trust'`` skips the proof."""
-    layers = _unique_layers(layers, key, on_duplicate)
+    layers = _unique_layers(layers, key, _modes(layers, on_duplicate))
     stacked, supplied = stack_layers(layers, key)
     others = [c for c in supplied if c not in key and c not in attributes]
     total = len(layers)
@@ -168,9 +246,10 @@ def overlay_replace(layers: list[DataFrame], owner: list[str]) -> DataFrame:
 def overlay_update_only(base: DataFrame, overlay: DataFrame, key: list[str], on_duplicate: str = "fail") -> DataFrame:
     """Overlay values replace those of matching base rows; overlay rows without
     a base row are ignored. A key may occur once in the overlay (the base may
-    repeat it); ``on_duplicate='trust'`` skips the proof."""
+    repeat it); ``on_duplicate='trust'`` skips the proof, ``'each'`` gives a base
+    row once for every overlay row of its key."""
     overlay = align_names(overlay, base.columns)
-    if on_duplicate != "trust":
+    if on_duplicate not in ("trust", "each"):
         overlay = require_unique(overlay, key, "overlay")
     values = [c for c in overlay.columns if c in base.columns and c not in key]
     found = overlay.select(*[F.col(k).alias(f"__{k}") for k in key], F.struct(*values or [F.lit(True).alias("_")]).alias("__found"))
@@ -185,7 +264,11 @@ def overlay_update_only(base: DataFrame, overlay: DataFrame, key: list[str], on_
 
 
 def collect_addendums(
-    layers: list[DataFrame], k: int, pk: list[str], tombstone: str = TOMBSTONE, on_duplicate: str = "fail"
+    layers: list[DataFrame],
+    k: int,
+    pk: list[str],
+    tombstone: str = TOMBSTONE,
+    on_duplicate: str | list[str] = "fail",
 ) -> DataFrame:
     """What the last ``k`` layers contribute, composited among themselves into one
     layer that gives the same result over the ones below.
@@ -193,13 +276,15 @@ def collect_addendums(
     A key that they leave deleted stays, flagged in the tombstone column, as it
     also deletes what lies below. One that a later layer brings back is flagged in
     ``<tombstone>_below``: it starts afresh (see :func:`overlay_addendums`).
+    ``on_duplicate`` is that of :func:`overlay_rows`.
     """
     if not 0 < k <= len(layers):
         raise ValueError("k has to be between 1 and the number of layers")
-    folded, last = _composite(_unique_layers(layers[-k:], pk, on_duplicate), 0, pk, tombstone)
+    modes = _modes(layers, on_duplicate)[-k:]
+    folded, last = _all_versions(_unique_layers(layers[-k:], pk, modes, ("trust", "each")), 0, pk, tombstone, modes)
     dead = F.col("__top") <= F.col("__buried")
-    values = [F.when(~dead & (F.col(last[c]) > F.col("__buried")), F.col(f"`__v_{c}`")).alias(c) for c in last]
-    supplied = [F.when(~dead & (F.col(last[c]) > F.col("__buried")), F.lit(c)) for c in last]
+    values = [F.when(~dead & (F.col(f"`{last[c]}`") > F.col("__buried")), F.col(f"`__v_{c}`")).alias(c) for c in last]
+    supplied = [F.when(~dead & (F.col(f"`{last[c]}`") > F.col("__buried")), F.lit(c)) for c in last]
     return folded.select(
         *pk, *values, dead.alias(tombstone), (~dead & (F.col("__buried") >= 0)).alias(f"{tombstone}_below"),
         texts_present(supplied).alias("_supplied"),

@@ -1,11 +1,14 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from rowtide import CheckSpec, ColumnSpec, DomainSpec, EnumSpec, ForeignKeySpec, TableSpec, UniqueSpec
+from check import oracle_result, spark_result
 from rowtide.functions.text import strip_check
 from rowtide.operators import checks, graph, overlay
+from rowtide.plans import load_all
 from tests.conftest import plan_of, rows
 
 # -- layers -------------------------------------------------------------------
@@ -298,3 +301,52 @@ def test_repeated_overlay_keys_are_refused(frame):
     ):
         with pytest.raises(Exception, match="not unique"):
             run().collect()
+
+
+def test_each_version_of_a_repeated_key_counts(frame):
+    base = frame("k int, v string, w int", (1, "a", 1), (2, "b", 2), (3, "c", 3), (None, "n", 0))
+    first = frame("k int, V string", (1, "x"), (3, "y"), (None, "m"))
+    second = frame(
+        "k int, u string, _delete boolean",
+        (1, "one", False), (1, "gone", True), (2, "p", None), (2, "q", None), (9, "r", False), (9, "s", False), (None, "t", False),
+    )
+    modes = ["fail", "fail", "each"]
+    expected = sorted(
+        [(1, "x", 1, "one"), (2, "b", 2, "p"), (2, "b", 2, "q"), (3, "y", 3, None), (9, None, None, "r"), (9, None, None, "s"), (None, "m", 0, "t")],
+        key=repr,
+    )
+    layers = [base, first, second]
+    assert rows(overlay.overlay_rows(layers, ["k"], on_duplicate=modes), "k", "v", "w", "u") == expected
+    added = overlay.collect_addendums(layers, 2, ["k"], on_duplicate=modes)
+    assert rows(added, "k", "u", "_delete") == sorted(
+        [(1, "one", False), (1, None, True), (2, "p", False), (2, "q", False), (3, None, False), (9, "r", False), (9, "s", False), (None, "t", False)],
+        key=repr,
+    )
+    assert rows(overlay.overlay_addendums(base, added, ["k"]), "k", "v", "w", "u") == expected
+    # A layer above the repeated one meets all its versions; those below are folded as ever.
+    third = frame("k int, w int", (2, 7), (1, 8))
+    four = overlay.overlay_rows([base, first, second, third], ["k"], on_duplicate=["fail", "fail", "each", "fail"])
+    assert rows(four.filter("k < 3"), "k", "v", "w", "u") == sorted(
+        [(1, "x", 8, "one"), (1, None, 8, None), (2, "b", 7, "p"), (2, "b", 7, "q")], key=repr
+    )
+    changed = frame("k int, v string", (1, "x"), (1, "y"), (7, "z"))
+    assert rows(overlay.overlay_update_only(base, changed, ["k"], on_duplicate="each"), "k", "v") == sorted(
+        [(1, "x"), (1, "y"), (2, "b"), (3, "c"), (None, "n")], key=repr
+    )
+    for copies in ([base, changed, second], [base, first, second, second]):
+        with pytest.raises(Exception, match="not unique|one for each layer"):
+            overlay.overlay_rows(copies, ["k"], on_duplicate=modes).collect()
+
+
+def test_layer_queries_where_appended_keys_fall_on_orders(spark, tmp_path):
+    orders = spark.range(0, 1_000_400, 5).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 7).alias("o_custkey"), F.lit("O").alias("o_orderstatus"),
+        F.lit(1.5).alias("o_totalprice"), F.lit("2020-01-01").cast("timestamp").alias("o_orderdate"), F.lit("1").alias("o_orderpriority"),
+    )
+    orders.filter("o_orderkey < 1000 OR o_orderkey >= 1000000").write.parquet(f"{tmp_path}/orders.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    queries, oracles = load_all()
+    for name in ("collect_addendums",):
+        columns, found = spark_result(queries[name](spark, str(tmp_path)))
+        assert (columns, found) == oracle_result(duck, oracles[name])
